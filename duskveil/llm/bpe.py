@@ -184,6 +184,20 @@ def encoded(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:
     spark = common.prepare(docs.sparkSession)
     found = shared_chunks(docs, most).select("chunk").toArrow().column(0).to_numpy()  # at most ``most`` hashes
     table = spark.sparkContext.broadcast(np.sort(found))
+    small = "<u2" if encoding(path).n_vocab <= 1 << 16 else "<u4"  # of ids on their way
+
+    def marked(t: bytes, known: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(ends of the chunks, their hashes, whether they are in the table)"""
+        ends = chunks_of(t)
+        marks = np.array([_hash(t[a:e]) for a, e in zip([0, *ends], ends)], np.int64)
+        again = known[np.minimum(np.searchsorted(known, marks), len(known) - 1)] == marks if len(known) and len(marks) else np.zeros(len(marks), bool)
+        return ends, marks, again
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, known = encoding(path), table.value
+        for b in batches:
+            rows = [(i, t) for i, t in zip(b.column(0).to_pylist(), common.text_bytes(b.column(1))) if not marked(t, known)[2].any()]
+            yield common.batch(out, [i for i, _ in rows], [encode(enc, t).astype("<u4").tobytes() for _, t in rows])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, known, sent = encoding(path), table.value, set()
@@ -191,11 +205,8 @@ def encoded(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for doc_id, t in zip(b.column(0).to_pylist(), common.text_bytes(b.column(1))):
-                ends = chunks_of(t)
-                marks = np.array([_hash(t[a:e]) for a, e in zip([0, *ends], ends)], np.int64)
-                again = known[np.minimum(np.searchsorted(known, marks), len(known) - 1)] == marks if len(known) and len(marks) else np.zeros(len(marks), bool)
+                ends, marks, again = marked(t, known)
                 if not again.any():
-                    rows.append((None, doc_id, 1, 0, None, None, encode(enc, t).astype("<u4").tobytes()))
                     continue
                 key = xxhash.xxh64_intdigest(t, seed=hash(doc_id) & 0x7FFFFFFF) >> 1
                 s = 0
@@ -209,7 +220,7 @@ def encoded(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:
                         first = int(marks[s]) not in sent and not sent.add(int(marks[s]))
                         rows.append((key, doc_id, len(ends), s, int(marks[s]), piece if first else None, None))
                     else:
-                        rows.append((key, doc_id, len(ends), s, None, None, encode(enc, piece).astype("<u4").tobytes()))
+                        rows.append((key, doc_id, len(ends), s, None, None, encode(enc, piece).astype(small).tobytes()))
                     s = e
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_DOC_ARROW)], schema=_DOC_ARROW)
 
@@ -217,7 +228,7 @@ def encoded(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:
         enc = encoding(path)
         schema = pa.schema([("chunk", pa.int64()), ("ids", pa.binary())])
         for b in batches:
-            yield common.batch(schema, b.column(0), [encode(enc, t).astype("<u4").tobytes() for t in common.text_bytes(b.column(1))])
+            yield common.batch(schema, b.column(0), [encode(enc, t).astype(small).tobytes() for t in common.text_bytes(b.column(1))])
 
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
@@ -236,20 +247,22 @@ def encoded(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:
                     rows += ended()
                     parts, copies = {}, {}
                 now = (key, doc_id)
-                parts[seq] = np.frombuffer(ids, "<u4")
+                parts[seq] = np.frombuffer(ids, small)
                 copies[seq] = copies.get(seq, 0) + 1  # repeated rows have one key
             yield common.batch(out, [r[0] for r in rows], [r[1] for r in rows])
         if now is not None:
             rows = ended()
             yield common.batch(out, [r[0] for r in rows], [r[1] for r in rows])
 
-    pieces = common.stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, _DOC), "pieces")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    pieces = common.stored(texts.mapInArrow(split, _DOC), "pieces")  # only of documents that hold chunks of the table
+    direct = texts.mapInArrow(alone, "doc_id long, ids binary")
     texts = pieces.where("text is not null").select("chunk", "text").dropDuplicates(["chunk"])
     ids = common.stored(texts.mapInArrow(once, "chunk long, ids binary"), "chunk_ids")
     shared = pieces.where("chunk is not null").select("key", "doc_id", "seq", "chunk").join(ids, "chunk").select("key", "doc_id", "seq", "ids")
-    own = pieces.where("key is not null and chunk is null").select("key", "doc_id", "seq", "ids")
+    own = pieces.where("chunk is null").select("key", "doc_id", "seq", "ids")
     made = shared.unionByName(own).repartition("key").sortWithinPartitions("key", "doc_id", "seq").mapInArrow(assemble, "doc_id long, ids binary")
-    return pieces.where("key is null").select("doc_id", "ids").unionByName(made)
+    return direct.unionByName(made)
 
 
 def digests(ids: DataFrame, path: str) -> DataFrame:
