@@ -1,10 +1,11 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals and exact reranking.
 
 Coarse centroids and the codebooks are fitted by k-means on at most ``FIT`` vectors (chosen by a hash of vec_id); every
-vector is then indexed: its list is the centroid of the largest inner product with the residual's smallest norm (the
-nearest centroid), its code the nearest codeword of each part of the residual. A query probes the lists whose centroids
-have the largest inner products with it; in each list an asymmetric table of inner products with the codewords ranks the
-members, and the best ``RERANK`` are scored exactly, in double precision, on the original vectors.
+vector is then indexed: its list is that of the nearest centroid, its code the nearest codeword of each part of the
+residual. A query probes the lists whose centroids have the largest inner products with it: as many as give ``RECALL`` of
+the true neighbours within the fitting sample, so clustered vectors are found in few lists and isotropic ones in more. In
+each list an asymmetric table of inner products with the codewords ranks the members, and the best ``RERANK`` are scored
+exactly, in double precision, on the original vectors.
 
 Equal vectors are one entry of the index that keeps its smallest ids (one more than the neighbours asked for), which is
 exact, as ties go to the smaller id. Lists are cut into blocks of ``BLOCK`` entries and each block meets the queries of
@@ -27,8 +28,9 @@ from . import common
 
 #: Vectors that fitting reads, entries per list aimed at and the most lists, parts of a residual, words of a codebook.
 FIT, PER_LIST, LISTS, PARTS, WORDS = 16384, 256, 4096, 16, 64
-#: Lists that a query probes, entries that a query reranks in each list's block, entries of a block, queries of a block.
-PROBES, RERANK, BLOCK, QUERIES = 24, 60, 4096, 512
+#: Recall on the fitting sample that sets how many lists a query probes; entries that a query reranks in each list's block;
+#: entries of a block; queries scored at a time; results that a task holds before it drops all but each query's best.
+RECALL, RERANK, BLOCK, QUERIES, HELD = 0.96, 64, 4096, 64, 1 << 20
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -62,6 +64,7 @@ class Index:
     coarse: np.ndarray  # lists x d
     books: list[np.ndarray]  # of each part of the residual: words x width
     cuts: np.ndarray
+    probes: int
 
     def lists(self, x: np.ndarray) -> np.ndarray:
         return ((self.coarse * self.coarse).sum(1) - 2 * (x @ self.coarse.T)).argmin(1)
@@ -94,8 +97,15 @@ def fit(vectors: DataFrame, n: int, most: int = FIT, seed: int = 5) -> Index | N
     coarse = kmeans(x, lists, seed)
     d = x.shape[1]
     cuts = np.linspace(0, d, min(PARTS, d) + 1).astype(int)
-    index = Index(coarse, [], cuts)
-    r = x - coarse[index.lists(x)]
+    q = x[:256]
+    inner = q @ x.T
+    inner[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    true = np.argsort(-inner, axis=1)[:, : min(20, max(1, len(x) - 1))]
+    place = np.argsort(np.argsort(-(q @ coarse.T), axis=1), axis=1)
+    index = Index(coarse, [], cuts, len(coarse))
+    own = index.lists(x)
+    index.probes = int(np.quantile(place[np.arange(len(q))[:, None], own[true]], RECALL)) + 1
+    r = x - coarse[own]
     index.books = [kmeans(r[:, a:b], WORDS, seed + a + 1, 6) for a, b in zip(cuts[:-1], cuts[1:])]
     return index
 
@@ -109,7 +119,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = PROBES) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query(vec_id, v) the k nearest found among vectors(vec_id, v), not itself.
 
     Where lists together hold few entries more are probed, so every query gets k or all there are.
@@ -125,7 +135,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sent = spark.sparkContext.broadcast(index)  # at most LISTS centroids and fixed codebooks
-    probes = len(index.coarse) if n <= 40 * k else min(probes, len(index.coarse))
+    probes = len(index.coarse) if n <= 40 * k else min(probes or index.probes, len(index.coarse))
     rerank = max(RERANK, 2 * k)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,29 +171,46 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         now, entries_v, entries_ids, codes = None, [], [], []
-        x = ids = code = None
+        x = ids = code = single = None
 
         def ready() -> None:
-            nonlocal x, ids, code
+            nonlocal x, ids, code, single
             if x is None:
-                x, ids = np.concatenate(entries_v), [i for part in entries_ids for i in part]
+                x, ids = np.concatenate(entries_v), [np.array(i, np.int64) for part in entries_ids for i in part]
+                single = all(len(i) == 1 for i in ids)
+                ids = np.concatenate(ids) if single else ids
                 code = np.frombuffer(b"".join(codes), np.uint8).reshape(len(x), -1).astype(np.int64)
 
-        def answer(qid: np.ndarray, q: np.ndarray) -> tuple[list, list, list]:
+        def answer(qid: np.ndarray, q: np.ndarray) -> None:
             ready()
-            table = own.tables(q.astype(np.float32))
-            parts = np.arange(table.shape[1])
-            out: tuple[list, list, list] = ([], [], [])
-            for a in range(len(q)):
-                near = table[a][parts, code].sum(1)
-                best = np.argpartition(-near, rerank)[:rerank] if len(near) > rerank else np.arange(len(near))
-                score = (x[best] * q[a]).sum(1)
-                rows = sorted(((-float(s), i) for s, e in zip(score, best) for i in ids[e] if i != qid[a]))[:k]
-                out[0].extend([int(qid[a])] * len(rows))
-                out[1].extend(i for _, i in rows)
-                out[2].extend(-s for s, _ in rows)
-            return out
-
+            for s in range(0, len(q), QUERIES):
+                part, own_ids = q[s : s + QUERIES], qid[s : s + QUERIES]
+                table = own.tables(part.astype(np.float32))
+                near = table[:, 0, code[:, 0]]
+                for p in range(1, table.shape[1]):
+                    near += table[:, p, code[:, p]]
+                best = np.argpartition(-near, rerank, axis=1)[:, :rerank] if near.shape[1] > rerank else np.broadcast_to(np.arange(near.shape[1]), near.shape)
+                score = (x[best] * part[:, None, :]).sum(-1)
+                found = (np.repeat(own_ids, best.shape[1]), ids[best.ravel()]) if single else None
+                if found is not None:
+                    keep = found[0] != found[1]
+                    held.append((found[0][keep], found[1][keep], score.ravel()[keep]))
+                    continue
+                many = [ids[e] for e in best.ravel()]
+                size = np.fromiter(map(len, many), np.int64, len(many))
+                vec, ask = np.concatenate(many), np.repeat(np.repeat(own_ids, best.shape[1]), size)
+                keep = vec != ask
+                held.append((ask[keep], vec[keep], np.repeat(score.ravel(), size)[keep]))
+
+        def best_of(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ask, vec, score = (np.concatenate([r[c] for r in rows]) for c in range(3))
+            order = np.lexsort((vec, -score, ask))
+            ask, vec, score = ask[order], vec[order], score[order]
+            first = np.concatenate([[True], ask[1:] != ask[:-1]])
+            place = np.arange(len(ask)) - np.maximum.accumulate(np.where(first, np.arange(len(ask)), 0))
+            return ask[place < k], vec[place < k], score[place < k]
+
+        held: list = []
         for b in batches:
             if not b.num_rows:
                 continue
@@ -198,7 +225,13 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
                     entries_ids.append(part.column(5).to_pylist())
                     codes += part.column(6).to_pylist()
                 elif entries_v:
-                    yield common.batch(_FOUND_ARROW, *answer(part.column(3).to_numpy(zero_copy_only=False), _matrix(part.column(4))))
+                    answer(part.column(3).to_numpy(zero_copy_only=False), _matrix(part.column(4)))
+                    if sum(len(h[0]) for h in held) > HELD:
+                        held[:] = [best_of(held)]
+                        if len(held[0][0]) > HELD // 2:
+                            yield common.batch(_FOUND_ARROW, *held.pop())
+        if held:
+            yield common.batch(_FOUND_ARROW, *best_of(held))
 
     found = both.mapInArrow(search, _FOUND)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -29,19 +29,18 @@ def warc_record(url: Column, payload: Column) -> Column:
     return F.concat(head, payload, F.lit("\r\n\r\n")).cast("binary")
 
 
-def placed(records: DataFrame, id_col: str, per_segment: int = 4096) -> DataFrame:
-    """records(id, record binary) laid out in segments of ids: adds segment, start and bytes. A segment holds the records
-    of per_segment ids."""
-    made = records.withColumn("segment", F.coalesce(F.floor(F.col(id_col) / per_segment), F.lit(0)).cast("long")).withColumn("bytes", F.octet_length("record").cast("long"))
-    order = Window.partitionBy("segment").orderBy(F.col(id_col), F.sha2("record", 256)).rowsBetween(Window.unboundedPreceding, -1)
-    return made.withColumn("start", F.coalesce(F.sum("bytes").over(order), F.lit(0)).cast("long"))
+def hashed(records: DataFrame, record: str = "record") -> DataFrame:
+    """records with bytes and digest in place of the record, so that no record is shuffled."""
+    whole = F.coalesce(F.col(record), F.lit(b""))
+    return records.withColumn("bytes", F.octet_length(whole).cast("long")).withColumn("digest", F.sha2(whole, 256)).drop(record)
 
 
-def hashed(records: DataFrame) -> DataFrame:
-    """(segment, start, bytes, digest) of records(segment, start, record)."""
-    record = F.coalesce("record", F.lit(b""))
-    zero = F.lit(0).cast("long")
-    return records.select(F.coalesce("segment", zero).alias("segment"), F.coalesce("start", zero).alias("start"), F.octet_length(record).cast("long").alias("bytes"), F.sha2(record, 256).alias("digest"))
+def placed(digests: DataFrame, id_col: str, per_segment: int = 4096) -> DataFrame:
+    """digests(id, bytes, digest) laid out in segments of ids, each of the records of per_segment ids: adds segment and
+    start."""
+    made = digests.withColumn("segment", F.coalesce(F.floor(F.col(id_col) / per_segment), F.lit(0)).cast("long"))
+    order = Window.partitionBy("segment").orderBy(F.col(id_col), "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return made.withColumn("start", F.coalesce(F.sum("bytes").over(order), F.lit(0)).cast("long"))
 
 
 def tree(digests: DataFrame) -> list[DataFrame]:
@@ -74,6 +73,8 @@ def _parent(level: int) -> tuple[Column, Column]:
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """(segment, start, bytes, kind, digest, found): what differs in right from left, both (segment, start, bytes, digest);
     kind is altered, missing or extra."""
+    columns = [F.coalesce("segment", F.lit(0)).cast("long").alias("segment"), F.coalesce("start", F.lit(0)).cast("long").alias("start"), F.col("bytes").cast("long"), "digest"]
+    left, right = (x.select(*columns) for x in (left, right))
     left, right = common.stored(left, "left"), common.stored(right, "right")
     kept = [[common.stored(x.coalesce(8) if k > 2 else x, f"level{k}") for k, x in enumerate(tree(t))] for t in (left, right)]
     top = len(kept[0]) - 1

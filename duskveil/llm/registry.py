@@ -72,11 +72,13 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archive of all pages against a replica in which records chosen by a hash are altered or missing."""
     pages = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    whole = merkle.placed(pages.select("page_id", "url", "html", merkle.warc_record(F.col("url"), F.col("html")).alias("record")), "page_id")
     pick = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
-    broken = merkle.warc_record(F.col("url"), F.concat(F.coalesce("html", F.lit("")), F.lit(" ")))
-    replica = whole.where(~pick.eqNullSafe(F.lit("0b"))).withColumn("record", F.when(pick == "0a", broken).otherwise(F.col("record")))
-    return merkle.audit(merkle.hashed(whole), merkle.hashed(replica))
+    damaged = F.when(pick == "0a", F.concat(F.coalesce("html", F.lit("")), F.lit(" "))).otherwise(F.col("html"))
+    both = pages.select("page_id", pick.alias("pick"), merkle.warc_record(F.col("url"), F.col("html")).alias("one"), merkle.warc_record(F.col("url"), damaged).alias("other"))
+    both = merkle.hashed(both, "other").select("page_id", "pick", "one", F.col("bytes").alias("found_bytes"), F.col("digest").alias("found"))
+    whole = common.stored(merkle.placed(merkle.hashed(both, "one"), "page_id"), "manifest")
+    replica = whole.where(~F.col("pick").eqNullSafe(F.lit("0b"))).select("segment", "start", F.col("found_bytes").alias("bytes"), F.col("found").alias("digest"))
+    return merkle.audit(whole.select("segment", "start", "bytes", "digest"), replica)
 
 
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
