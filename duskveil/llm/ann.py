@@ -4,8 +4,8 @@ Coarse centroids and the codebooks are fitted by k-means on at most ``FIT`` vect
 vector is then indexed: its list is that of the nearest centroid, its code the nearest codeword of each part of the
 residual. A query probes the lists whose centroids have the largest inner products with it: as many as give ``RECALL`` of
 the true neighbours within the fitting sample, so clustered vectors are found in few lists and isotropic ones in more. In
-each list an asymmetric table of inner products with the codewords ranks the members, and the best ``RERANK`` are scored
-exactly, in double precision, on the original vectors.
+each list an asymmetric table of inner products with the codewords ranks the members, and the best ``RERANK``, and all that two standard
+errors of the approximation cannot tell from them, are scored exactly, in double precision, on the original vectors.
 
 Equal vectors are one entry of the index that keeps its smallest ids (one more than the neighbours asked for), which is
 exact, as ties go to the smaller id. Lists are cut into blocks of ``BLOCK`` entries and each block meets the queries of
@@ -28,9 +28,9 @@ from . import common
 
 #: Vectors that fitting reads, entries per list aimed at and the most lists, parts of a residual, words of a codebook.
 FIT, PER_LIST, LISTS, PARTS, WORDS = 16384, 256, 4096, 16, 64
-#: Recall on the fitting sample that sets how many lists a query probes; entries that a query reranks in each list's block;
+#: Recall on the fitting sample that sets how many lists a query probes; least entries that a query reranks in each list's block;
 #: entries of a block; queries scored at a time; results that a task holds before it drops all but each query's best.
-RECALL, RERANK, BLOCK, QUERIES, HELD = 0.96, 64, 4096, 64, 1 << 20
+RECALL, RERANK, BLOCK, QUERIES, HELD = 0.96, 20, 4096, 32, 1 << 20
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -65,6 +65,7 @@ class Index:
     books: list[np.ndarray]  # of each part of the residual: words x width
     cuts: np.ndarray
     probes: int
+    sigma: float  # of the error of an approximate inner product with a unit vector
 
     def lists(self, x: np.ndarray) -> np.ndarray:
         return ((self.coarse * self.coarse).sum(1) - 2 * (x @ self.coarse.T)).argmin(1)
@@ -102,11 +103,14 @@ def fit(vectors: DataFrame, n: int, most: int = FIT, seed: int = 5) -> Index | N
     inner[np.arange(len(q)), np.arange(len(q))] = -np.inf
     true = np.argsort(-inner, axis=1)[:, : min(20, max(1, len(x) - 1))]
     place = np.argsort(np.argsort(-(q @ coarse.T), axis=1), axis=1)
-    index = Index(coarse, [], cuts, len(coarse))
+    index = Index(coarse, [], cuts, len(coarse), 0.0)
     own = index.lists(x)
     index.probes = int(np.quantile(place[np.arange(len(q))[:, None], own[true]], RECALL)) + 1
     r = x - coarse[own]
     index.books = [kmeans(r[:, a:b], WORDS, seed + a + 1, 6) for a, b in zip(cuts[:-1], cuts[1:])]
+    codes = index.codes(x, own)
+    error = sum(((r[:, a:b] - book[codes[:, p]]) ** 2).sum(1) for p, (a, b, book) in enumerate(zip(cuts[:-1], cuts[1:], index.books)))
+    index.sigma = float(np.sqrt(error.mean() / d))
     return index
 
 
@@ -136,7 +140,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sent = spark.sparkContext.broadcast(index)  # at most LISTS centroids and fixed codebooks
     probes = len(index.coarse) if n <= 40 * k else min(probes or index.probes, len(index.coarse))
-    rerank = max(RERANK, 2 * k)
+    rerank = max(RERANK, k)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -189,18 +193,19 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
                 near = table[:, 0, code[:, 0]]
                 for p in range(1, table.shape[1]):
                     near += table[:, p, code[:, p]]
-                best = np.argpartition(-near, rerank, axis=1)[:, :rerank] if near.shape[1] > rerank else np.broadcast_to(np.arange(near.shape[1]), near.shape)
-                score = (x[best] * part[:, None, :]).sum(-1)
-                found = (np.repeat(own_ids, best.shape[1]), ids[best.ravel()]) if single else None
-                if found is not None:
-                    keep = found[0] != found[1]
-                    held.append((found[0][keep], found[1][keep], score.ravel()[keep]))
-                    continue
-                many = [ids[e] for e in best.ravel()]
-                size = np.fromiter(map(len, many), np.int64, len(many))
-                vec, ask = np.concatenate(many), np.repeat(np.repeat(own_ids, best.shape[1]), size)
+                if near.shape[1] > rerank:
+                    least = -np.partition(-near, rerank - 1, axis=1)[:, rerank - 1] - 2 * own.sigma * np.sqrt((part * part).sum(1))
+                    which, best = np.nonzero(near >= least[:, None])
+                else:
+                    which, best = (i.ravel() for i in np.indices(near.shape))
+                score = (x[best] * part[which]).sum(-1)
+                ask, vec = own_ids[which], ids[best] if single else None
+                if not single:
+                    many = [ids[e] for e in best]
+                    size = np.fromiter(map(len, many), np.int64, len(many))
+                    vec, ask, score = np.concatenate(many), np.repeat(ask, size), np.repeat(score, size)
                 keep = vec != ask
-                held.append((ask[keep], vec[keep], np.repeat(score.ravel(), size)[keep]))
+                held.append((ask[keep], vec[keep], score[keep]))
 
         def best_of(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ask, vec, score = (np.concatenate([r[c] for r in rows]) for c in range(3))
