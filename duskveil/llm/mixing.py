@@ -2,7 +2,7 @@
 
 A classifier learned from the labelled table tells for every document the posterior probability of each domain. Domains
 are the labels' classes: ``low`` (quality 0), ``good`` (quality 1), ``toxic`` (toxic 1). With n_i tokens, posteriors
-p_id and a rate r_i >= 0, the expected tokens of domain d are sum_i r_i n_i p_id. Projected gradient descent fits the
+p_id and a rate r_i >= 0, the expected tokens of domain d are sum_i r_i n_i p_id. Projected gradient descent with momentum fits the
 rates by least squares to the target totals, with a pull towards rate 1 that makes the answer unique:
 
     minimise  1/2 sum_d (sum_i r_i n_i p_id / N - T_d)^2 + pull/2 sum_i n_i / N (r_i - 1)^2,   r_i >= 0
@@ -133,11 +133,17 @@ class Rates:
     step: float
     pull: float
 
+    def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rates, the point at which the next residual is taken): projected gradient steps with momentum."""
+        r = y = np.ones(len(p))
+        for t, residual in enumerate(self.history):
+            new = np.maximum(0.0, y - self.step * (p @ residual + self.pull * (y - 1)))
+            y = new + t / (t + 3) * (new - r)
+            r = new
+        return r, y
+
     def of(self, p: np.ndarray) -> np.ndarray:
-        r = np.ones(len(p))
-        for residual in self.history:
-            r = np.maximum(0.0, r - self.step * (p @ residual + self.pull * (r - 1)))
-        return r
+        return self.replay(p)[0]
 
 
 def fit(members: DataFrame, targets: dict[str, float] | None = None, total: float = 1.0, steps: int = STEPS, pull: float = PULL) -> Rates:
@@ -155,7 +161,7 @@ def fit(members: DataFrame, targets: dict[str, float] | None = None, total: floa
             for b in batches:
                 n, *p = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
                 p = np.stack(p, 1)
-                yield common.batch(schema, *[[x] for x in (own.of(p) * n) @ p / n_all])
+                yield common.batch(schema, *[[x] for x in (own.replay(p)[1] * n) @ p / n_all])
 
         sums = members.select("n_tokens", *[f"p_{d}" for d in DOMAINS]).mapInArrow(work, "p_low double, p_good double, p_toxic double")
         got = sums.agg(*[F.sum(f"p_{d}") for d in DOMAINS]).first()
