@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-_MODULES = ("text", "detection", "substitution", "review", "measurement", "structure", "names", "telemetry")
+_MODULES = ("text", "detection", "review", "measurement", "structure", "names", "telemetry")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

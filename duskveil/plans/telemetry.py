@@ -52,12 +52,12 @@ def ring(spark, sf_dir):
 
 @query("X_windowed_events", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed(spark, sf_dir):
-    return st.windowed(events(spark, sf_dir)).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return st.windowed(events(spark, sf_dir)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("X_sessions", "WITH o AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
 def sessions(spark, sf_dir):
-    return st.sessions(events(spark, sf_dir))
+    return st.sessions(events(spark, sf_dir)).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @query("X_asof_screen", "SELECT event_id, (SELECT e.event_id FROM events e WHERE e.user_id = p.user_id AND e.event_type = 'view' AND (e.ts, e.event_id) < (p.ts, p.event_id) ORDER BY e.ts DESC, e.event_id DESC LIMIT 1) AS screen FROM events p WHERE event_type = 'click'")
