@@ -13,13 +13,18 @@ def matches(text: Column, rx: str, group: int = 0) -> Column:
     """array<struct<s, e, t>> of the matches of a pattern that matches no empty text: their starts follow from the pieces
     between them. With a group the span is that of the group's text, first found in the match."""
     m, g = F.regexp_extract_all(text, F.lit(rx), F.lit(0)), F.split(text, rx, -1)
-    size = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
-    start = lambda i: size(F.slice(g, F.lit(1), i + 1)) + size(F.slice(m, F.lit(1), i))
-    whole = F.transform(m, lambda x, i: F.struct(start(i).alias("s"), (start(i) + F.length(x)).alias("e"), x.alias("t")))
+    pieces = F.zip_with(F.slice(g, F.lit(1), F.size(m)), m, lambda x, t: F.struct(F.length(x).alias("skip"), t.alias("t")))
+    none = F.array().cast("array<struct<s:int,e:int,t:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + x["skip"]
+        e = s + F.length(x["t"])
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["t"].alias("t")))).alias("out"))
+
+    whole = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
     if group:
         k = F.regexp_extract_all(text, F.lit(rx), F.lit(group))
         whole = F.zip_with(whole, k, lambda x, t: F.struct((x["s"] + F.instr(x["t"], t) - 1).alias("s"), (x["s"] + F.instr(x["t"], t) - 1 + F.length(t)).alias("e"), t.alias("t")))
-    none = F.array().cast("array<struct<s:int,e:int,t:string>>")
     return F.when(text.rlike(rx), F.transform(whole, lambda x: F.struct(x["s"].cast("int").alias("s"), x["e"].cast("int").alias("e"), x["t"].alias("t")))).otherwise(none)
 
 

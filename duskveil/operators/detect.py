@@ -32,6 +32,7 @@ class Detector:
     valid: str | None = None
     prio: int = 3
     on: bool = True
+    cue: str | None = None  # text without this string, or without digits for "0-9", has no match: a cheap test first
 
 
 HEBREW = [
@@ -61,11 +62,11 @@ HEBREW = [
 
 #: Plain patterns without look-around: the same in every regular-expression dialect.
 NEUTRAL = [
-    Detector("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", prio=0),
-    Detector("CREDIT_CARD", r"\b\d(?:[ -]?\d){11,18}\b", valid="luhn", prio=1),
-    Detector("NATIONAL_ID", r"\b\d{9}\b", valid="id", prio=1),
-    Detector("PHONE", r"\+1 \(\d{3}\) \d{3}-\d{4}"),
-    Detector("IP", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", valid="octets"),
+    Detector("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", prio=0, cue="@"),
+    Detector("CREDIT_CARD", r"\b\d(?:[ -]?\d){11,18}\b", valid="luhn", prio=1, cue="0-9"),
+    Detector("NATIONAL_ID", r"\b\d{9}\b", valid="id", prio=1, cue="0-9"),
+    Detector("PHONE", r"\+1 \(\d{3}\) \d{3}-\d{4}", cue="+1 ("),
+    Detector("IP", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", valid="octets", cue="0-9"),
 ]
 
 #: Families of types (fixed values).
@@ -104,7 +105,11 @@ HIT = "struct<s:int,rk:int,prio:int,neg:int,e:int,type:string,t:string,ok:boolea
 def hits(text: Column, detectors: list[Detector], ref_year: int = 2026) -> Column:
     """array of HIT of all detectors, unresolved; null text has none."""
     def of(d: Detector) -> Column:
-        return F.transform(spans.matches(text, d.rx, d.group), lambda m: F.struct(m["s"].alias("s"), F.lit(1).alias("rk"), F.lit(d.prio).alias("prio"), (m["s"] - m["e"]).alias("neg"), m["e"].alias("e"), F.lit(d.type).alias("type"), m["t"].alias("t"), F.coalesce(_valid(d.valid, m["t"], ref_year), F.lit(False)).alias("ok")).cast(HIT))
+        found = F.transform(spans.matches(text, d.rx, d.group), lambda m: F.struct(m["s"].alias("s"), F.lit(1).alias("rk"), F.lit(d.prio).alias("prio"), (m["s"] - m["e"]).alias("neg"), m["e"].alias("e"), F.lit(d.type).alias("type"), m["t"].alias("t"), F.coalesce(_valid(d.valid, m["t"], ref_year), F.lit(False)).alias("ok")).cast(HIT))
+        if d.cue is None:
+            return found
+        cue = text.rlike("[0-9]") if d.cue == "0-9" else F.contains(text, F.lit(d.cue))
+        return F.when(cue, found).otherwise(F.array().cast(f"array<{HIT}>"))
 
     return F.coalesce(F.concat(*map(of, detectors)), F.array().cast(f"array<{HIT}>"))
 
