@@ -108,13 +108,21 @@ class Model:
 
 
 def features_of(word: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Rows of the weights that each token's history names; start: where texts begin."""
+    """features x tokens: rows of the weights that each token's history names; start: where texts begin."""
     one = np.concatenate([[_END], word[:-1]])
     two = np.concatenate([[_END, _END], word[:-2]])[: len(word)]
     two[start] = _END
     mask = np.uint64(BUCKETS - 1)
     made = [common.mix(one), common.mix(two ^ np.uint64(0x5851F42D4C957F2D)), common.mix(one * np.uint64(31) + two)]
-    return np.stack([(m & mask).astype(np.int64) + k * BUCKETS for k, m in enumerate(made)], 1)
+    return np.stack([(m & mask).astype(np.uint16) + np.uint16(k * BUCKETS) for k, m in enumerate(made)])
+
+
+def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of the weights that each token's features name; rows: features x tokens."""
+    z = weights.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += weights.take(r, axis=0)
+    return z
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -126,13 +134,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def descend(weights: np.ndarray, bias: np.ndarray, acc: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
     """One Adagrad step on a mini-batch, in place; only rows that occur are touched."""
-    g = _softmax(weights[rows].sum(1) + bias)
-    g[np.arange(len(g)), cls] -= 1
+    g = _softmax(logits(weights, rows) + bias)
+    n = len(g)
+    g[np.arange(n), cls] -= 1
     flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat, kind="stable")  # 16-bit integers: a radix sort
     found = flat[order]
     first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-    step = np.add.reduceat(g[order // FEATURES], first, axis=0)
+    size = np.diff(np.append(first, len(found)))
+    step = g.take(order[first] % n, axis=0)  # most rows occur once
+    many = np.repeat(size > 1, size)
+    if many.any():
+        step[size > 1] = np.add.reduceat(g.take(order[many] % n, axis=0), np.cumsum(np.append(0, size[size > 1][:-1])), axis=0)
     at = found[first]
     acc[at] += step * step
     weights[at] -= RATE * step / np.sqrt(acc[at])
@@ -184,7 +197,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
                 rows, cls = features_of(word, start), own.classes(word, cls)
                 tokens += len(word)
                 for s in range(0, len(word), MINI):
-                    descend(weights, own.bias, acc, rows[s : s + MINI], cls[s : s + MINI])
+                    descend(weights, own.bias, acc, rows[:, s : s + MINI], cls[s : s + MINI])
             if tokens:
                 delta = (weights - own.weights).reshape(blocks, -1).astype(np.float16)
                 yield common.batch(schema, list(range(blocks)), [tokens] * blocks, [d.tobytes() for d in delta])
@@ -226,7 +239,8 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             rows, cls = features_of(word, start), own.classes(word, cls)
             value = np.empty(len(word))
             for s in range(0, len(word), MINI):
-                z = own.weights[rows[s : s + MINI]].sum(1) + own.bias
+                z = logits(own.weights, rows[:, s : s + MINI])
+                z += own.bias
                 top = z.max(1)
                 c = cls[s : s + MINI]
                 value[s : s + MINI] = (z[np.arange(len(c)), c] - top - np.log(np.exp(z - top[:, None]).sum(1))) / np.log(10)

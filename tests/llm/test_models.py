@@ -76,7 +76,7 @@ def test_model_is_normalised(spark):
     assert m.n == counts.agg({"n": "sum"}).first()[0] and m.class_n.sum() == m.n and m.class_v.sum() == m.v
     word, cls = maxent.tokens_of(b"a b c")
     rows = maxent.features_of(word, np.array([0]))
-    p = maxent._softmax(m.weights[rows].sum(1) + m.bias)
+    p = maxent._softmax(maxent.logits(m.weights, rows) + m.bias)
     assert np.allclose(p.sum(1), 1, atol=1e-5)
     known = {r.word: r.n for r in counts.collect()}
     own = m.classes(np.array(list(known), np.int64).view(np.uint64), np.array([r.cls for r in counts.collect()]))
