@@ -161,7 +161,7 @@ def _hash(chunk: bytes) -> int:
 
 
 def shared_chunks(docs: DataFrame, most: int = TABLE) -> DataFrame:
-    """(chunk, times): hashes of chunks that occur more than once in the corpus, the ``most`` most frequent."""
+    """(chunk, times): hashes of chunks that occur more than once in the corpus, about the ``most`` most frequent."""
     schema = pa.schema([("chunk", pa.int64()), ("times", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,7 @@ def shared_chunks(docs: DataFrame, most: int = TABLE) -> DataFrame:
     common.prepare(docs.sparkSession)
     counted = docs.select(F.col("text").cast("string")).mapInArrow(work, "chunk long, times long")
     counted = counted.groupBy("chunk").agg(F.sum("times").alias("times")).where("times > 1")
-    return counted.orderBy(F.desc("times"), "chunk").limit(most)
+    return common.greatest(common.stored(counted, "chunks"), "times", "chunk", most) if most else counted.limit(0)
 
 
 def encoded(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:

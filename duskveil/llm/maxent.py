@@ -153,7 +153,8 @@ def descend(weights: np.ndarray, bias: np.ndarray, acc: np.ndarray, rows: np.nda
 
 def _head(counts: DataFrame) -> Model:
     total = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()  # at most HEAD rows of 20 bytes
+    top = common.greatest(counts, "n", "word", HEAD).toArrow()  # about HEAD rows of 20 bytes
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
     word = top.column("word").to_numpy().view(np.uint64)
     n, cls = top.column("n").to_numpy(), top.column("cls").to_numpy().astype(np.int64)
     single = np.flatnonzero(cls != 0)[:OWN]
