@@ -79,7 +79,7 @@ def _sample(docs: DataFrame, lang: Column, most: int) -> DataFrame:
 
 def train(docs: DataFrame, lang_col: str = "lang", most: int = SAMPLE, epochs: int = 12, seed: int = 1) -> Model:
     """Learns from text and non-null languages of docs (doc_id only chooses the sample)."""
-    spark = common.prepare(docs.sparkSession)
+    common.prepare(docs.sparkSession)
     schema = pa.schema([("lang", pa.string()), ("at", pa.binary()), ("count", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def train(docs: DataFrame, lang_col: str = "lang", most: int = SAMPLE, epochs: i
     rng = np.random.default_rng(seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
     y = np.array([langs.index(r[0]) for r in rows])
-    at = [np.frombuffer(r[1], "<u2").astype(np.int64) for r in rows]
+    at = [np.frombuffer(r[1], "<u2") for r in rows]
     val = [np.frombuffer(r[2], "<f4") / np.frombuffer(r[2], "<f4").sum() for r in rows]
     unseen = max(1, len(rows) // 5) if len(rows) > 4 else 0
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
@@ -117,7 +117,7 @@ def train(docs: DataFrame, lang_col: str = "lang", most: int = SAMPLE, epochs: i
         for s in range(0, len(order), 64):
             part = order[s : s + 64]
             cut = np.cumsum([0, *[len(at[i]) for i in part]])
-            i, v = np.concatenate([at[k] for k in part]), np.concatenate([val[k] for k in part])[:, None]
+            i, v = np.concatenate([at[k] for k in part]).astype(np.int64), np.concatenate([val[k] for k in part])[:, None]
             mean = np.add.reduceat(emb[i] * v, cut[:-1], axis=0)
             g = softmax(mean @ out + bias)
             g[np.arange(len(part)), y[part]] -= 1
@@ -134,7 +134,6 @@ def train(docs: DataFrame, lang_col: str = "lang", most: int = SAMPLE, epochs: i
     truth = y[list(held)]
     scale = min(np.geomspace(0.2, 5, 40), key=lambda t: -np.log(softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean())
     floor = float(np.quantile(softmax(z / scale).max(1), REJECT))
-    del spark
     return Model(langs, weights.astype(np.float32), bias, float(scale), min(floor, 0.5))
 
 
