@@ -68,17 +68,6 @@ def nameish(tokens: DataFrame, lexicon: DataFrame, by: list[str], definite: str
     return kept.join(used, [kept[c] == used[f"_{c}"] for c in by] + [kept["w"] == used["_w"]], "left_anti").select(*by, "w")
 
 
-def body_names(tokens: DataFrame, by: list[str], verbs: list[str], roles: list[str], preps: list[str], least: int = 3) -> DataFrame:
-    """(by, name, n, points) of capital-like candidates by evidence: three points beside a speech verb or a role, two after
-    a preposition of persons, one beside nothing; a bonus for repeats; kept with strong evidence and ``least`` points."""
-    w = Window.partitionBy(*by).orderBy("tok_ix")
-    rows = tokens.withColumn("next", F.lead("w").over(w)).withColumn("prev", F.lag("w").over(w)).where(F.col("w").rlike(r"^\p{Lu}\p{L}{2,13}$"))
-    points = F.when(F.col("next").isin(verbs), 3).when(F.col("prev").isin(roles), 3).when(F.col("prev").isin(preps), 2).otherwise(0)
-    g = rows.withColumn("pt", points).groupBy(*by, F.col("w").alias("name")).agg(F.count("*").alias("n"), F.max("pt").alias("best"))
-    bonus = F.when(F.col("n") >= 3, 2).when(F.col("n") == 2, 1).otherwise(0)
-    return g.where("best >= 2").withColumn("points", F.col("best") + bonus).where(F.col("points") >= least).select(*by, "name", "n", "points")
-
-
 def likely_org(name: Column, heads: list[str]) -> Column:
     """Whether a body's head word begins a name or a plural ends its first word."""
     first = F.element_at(F.split(name, r"\s+"), 1)

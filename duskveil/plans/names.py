@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import spans, text as tx
+from ..operators import evidence as ev
 from ..operators import names as nm
-from .registry import query, read, sql_values, values
+from .registry import literal, query, read, sql_values, values
 
 
 def tokens(spark, sf_dir, lang="en"):
@@ -90,14 +91,106 @@ def g7(spark, sf_dir):
     return got.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-_EV = f"""WITH {_TOK}, x AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY tok_ix) AS nx, lag(w) OVER (PARTITION BY doc_id ORDER BY tok_ix) AS pv FROM t),
-e AS (SELECT doc_id, w AS name, CASE WHEN nx IN ('the', 'and') THEN 3 WHEN pv IN ('of', 'to') THEN 3 WHEN pv IN ('in', 'er') THEN 2 ELSE 0 END AS pt FROM x WHERE regexp_matches(w, '^\\p{{Lu}}\\p{{L}}{{2,13}}$')),
-g AS (SELECT doc_id, name, count(*) AS n, max(pt) AS best FROM e GROUP BY ALL)"""
+#: The ladder on the tables: words of theirs in the parts that a language's lexicons play, with "h" and "t" as prefixes.
+LADDER = ev.Lexicons(
+    speech=["is", "was", "are"], attribution=["by"], roles=["this"], roles2=["at an"], kin=["re"], persons=["from"], care=["tion"], relative=["that"], common=["the", "and", "to", "a", "in", "it", "be", "as"], stop=["on", "th"],
+    namelike=["on"], places=["ononst"], firsts=["inoranes"], lead=["The"], trail=["for"], placeholders=["thatin"], prefixes="ht", definite="h", of="of", with_="with", from_the="^ha[a-z]{2,}$", joined="e", negation="^(?:not|inoran)$",
+    first_person="(?:ti|ou)$", plural="(?:es|ed)$", infinitive="^re[a-z]{3,}$", surname="ble$", title="^(?:Of|Is) ", public="^(?:er|in the) |^hehely$",
+)
+_KNOWN = ["Orre", "rewh nt"]
+
+
+def _ladder_sql(lex: ev.Lexicons, known: list[str]) -> str:
+    """The ladder in SQL, for two prefix letters."""
+    among = lambda x, words: f"coalesce({x} IN ({', '.join(map(literal, words))}), false)"
+    like = lambda x, rx: f"coalesce(regexp_matches({x}, {literal(rx)}), false)"
+    parts = known + [p for k in known for p in k.split() if len(p) >= 3]
+    letters = list(lex.prefixes)
+    pre = lambda x: among(f"{x}[1]", letters)
+    cut = lambda x: f"CASE WHEN {pre(x)} THEN {x}[2:] ELSE {x} END"
+
+    def stem(st: str, when: str) -> list[str]:
+        plain = f"NOT {among(st, lex.namelike)}"
+        words = [f"length({st}) >= 2 AND {among(st, lex.common)} AND {plain}", f"length({st}) >= 3 AND {plain} AND {among(st, lex.stop + lex.speech + lex.attribution)}", f"length({st}) >= 3 AND {among(st, lex.persons + lex.kin + lex.care + lex.relative)}"]
+        return [f"({when} AND {w})" for w in words]
+
+    one, two = pre("x"), f"{pre('x')} AND {among('x[2]', letters)}"
+    wrong = [*stem("x", "true"), *stem("x[2:]", one), *stem("x[3:]", two), f"({one} AND length(x) >= 4 AND h1)", f"({two} AND length(x) >= 5 AND h2)", "(x[1] = 'h' AND (length(x) < 5 OR p1))", "h0", among("x", lex.places), among("x", lex.roles), "length(x) NOT BETWEEN 3 AND 14"]
+    public = lambda x: f"({like(x, lex.public)} OR {like('(' + cut(x) + ')', lex.public)})"
+
+    def candidate(n: int) -> str:
+        raw, used, name = ["w", "w1"][:n], ["u", "u1"][:n], "u" if n == 1 else "(u || ' ' || u1)"
+        nx, gx = f"w{n}", f"gap{n}"
+        nxt, prv = f"(CASE WHEN NOT {like(gx, '[,.;:()]')} THEN {nx} END)", f"(CASE WHEN NOT {like('gap', '[,.;:()]')} THEN b1 END)"
+        prv2 = f"(CASE WHEN {prv} IS NOT NULL AND NOT {like('bgap', '[,.;:()]')} THEN b2 END)"
+        bad = [*(f"NOT {o}" for o in ["uok", "uok1"][:n]), *(f"{like(x, lex.negation)} OR {like(x, lex.first_person)} AND length({x}) >= 6 OR {among(x, lex.placeholders)}" for x in used), among(name, parts), like(f"({name} || ' ')", lex.title), public(name), f"({prv} IS NOT NULL AND {public(f'({prv} || chr(32) || {name})')})", f"({prv2} IS NOT NULL AND {public(f'({prv2} || chr(32) || {prv} || chr(32) || {name})')})"]
+        if n == 1:
+            bad.append(f"{like('w', lex.from_the)} AND NOT {among('w', lex.firsts)}")
+        else:
+            tail = "regexp_replace(w1, '^e', '')"
+            verb = f"NOT ({among(tail, lex.firsts)} OR {like(tail, lex.surname)}) AND ({among(tail, lex.speech + lex.common)} OR {like(tail, lex.infinitive)})"
+            bad += [like("gap1", "[.!?;:,()]"), "bare1", among("w", lex.lead), like(tail, lex.negation), among(tail, lex.stop + lex.common + lex.speech + lex.trail), verb]
+            bad += [f"{among(x, known)} OR {among('(' + cut(x) + ')', known)}" for x in raw] + [f"{like(x, lex.plural)} AND NOT {among(x, lex.firsts)}" for x in used]
+        speak = " OR ".join(among(x, lex.speech) for x in used)
+        ladder = [
+            (among(nxt, lex.speech), 3, "before a verb"), (among(prv, lex.attribution), 3, "after an attribution"), (among(prv, lex.roles), 3, "after a role"), (among(f"({prv2} || ' ' || {prv})", lex.roles2), 3, "after a role of two words"),
+            (f"{prv} = 'of' AND {among(prv2, lex.kin)}", 3, "after kin"), (among(prv, lex.persons), 3, "after a preposition of persons"), *([(f"{prv} = 'with' AND NOT udef AND NOT udef1", 3, "after with")] if n == 2 else []),
+            (f"{among(nx, lex.relative)} AND NOT ({speak}) AND NOT {among(prv, lex.common)} AND contains({gx}, ',')", 3, "before a clause"), (f"{prv} = 'of' AND u <> w", 2, "after of, with a prefix"),
+            (f"{among('b1', lex.care)} AND NOT {like('gap', '[,.;:]')} OR {among('b2', lex.care)} AND NOT {like('(bgap || gap)', '[,.;:]')}", 2, "near care"),
+        ]
+        level = "CASE " + " ".join(f"WHEN {t} THEN {i}" for i, (t, _, _) in enumerate(ladder)) + " END"
+        letter = f"({pre('w')} AND length(w) >= 4 AND w[2] <> 'h' AND NOT sdef AND sok AND others)"
+        near = " + ".join(f"CAST({among(x, parts)} OR {among(f'regexp_replace({x}, chr(94) || chr(101), chr(0))'.replace('chr(0)', repr('')), parts)} AS INTEGER)" for x in (prv, nxt))
+        scores, reasons = [p for _, p, _ in ladder], [r for *_, r in ladder]
+        inner = f"{{'name': {name}, 'lv': {level}, 'letter': {letter}, 'near': {near}, 'scores': {scores}, 'reasons': {literal(reasons)}}}"
+        return f"CASE WHEN {raw[-1]} IS NOT NULL AND NOT ({' OR '.join('(' + b + ')' for b in bad)}) THEN {inner} END"
+
+    points = lambda c: f"(coalesce({c}.scores[{c}.lv + 1], 0) + CASE WHEN {c}.letter THEN 2 ELSE 0 END + {c}.near)"
+    return f"""
+WITH l AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS block, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+m AS (SELECT doc_id, block, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}]+(?:[''-][\\p{{L}}\\p{{M}}]+)*') AS ws, string_split_regex(text, '[\\p{{L}}\\p{{M}}]+(?:[''-][\\p{{L}}\\p{{M}}]+)*') AS gs FROM l),
+t AS (SELECT doc_id, block, generate_subscripts(ws, 1) - 1 AS ix, unnest(ws) AS w, unnest(gs[:len(ws)]) AS gap FROM m),
+d AS (SELECT DISTINCT doc_id, w FROM t),
+f AS (SELECT doc_id, w AS x FROM d UNION SELECT doc_id, w[2:] FROM d WHERE {pre('w')}),
+k AS (SELECT f.doc_id, f.x, a.w IS NOT NULL AS h0, b.w IS NOT NULL AS h1, c.w IS NOT NULL AS h2, e.w IS NOT NULL AS p1 FROM f LEFT JOIN d a ON a.doc_id = f.doc_id AND a.w = 'h' || f.x LEFT JOIN d b ON b.doc_id = f.doc_id AND b.w = 'h' || f.x[2:] LEFT JOIN d c ON c.doc_id = f.doc_id AND c.w = 'h' || f.x[3:] LEFT JOIN d e ON e.doc_id = f.doc_id AND e.w = f.x[2:]),
+nm AS (SELECT doc_id, x, h0, NOT ({' OR '.join(wrong)}) AS ok FROM k),
+wf AS (SELECT d.doc_id, d.w, {pre('d.w')} AND s.w IS NOT NULL AS bare, a.ok, a.h0 AS def, coalesce(b.ok, false) AS sok, coalesce(b.h0, false) AS sdef, s.w IS NOT NULL OR o.w IS NOT NULL AS others
+FROM d JOIN nm a ON a.doc_id = d.doc_id AND a.x = d.w LEFT JOIN nm b ON b.doc_id = d.doc_id AND b.x = d.w[2:] AND {pre('d.w')} LEFT JOIN d s ON s.doc_id = d.doc_id AND s.w = d.w[2:] LEFT JOIN d o ON o.doc_id = d.doc_id AND o.w = CASE WHEN d.w[1] = 'h' THEN 't' WHEN d.w[1] = 't' THEN 'h' END || d.w[2:]),
+r AS (SELECT t.*, wf.* EXCLUDE (doc_id, w), CASE WHEN bare THEN t.w[2:] ELSE t.w END AS u, CASE WHEN bare THEN sok ELSE ok END AS uok, CASE WHEN bare THEN sdef ELSE def END AS udef FROM t JOIN wf ON wf.doc_id = t.doc_id AND wf.w = t.w),
+n AS (SELECT *, lead(w) OVER q AS w1, lead(w, 2) OVER q AS w2, lead(gap) OVER q AS gap1, lead(gap, 2) OVER q AS gap2, lead(u) OVER q AS u1, lead(uok) OVER q AS uok1, lead(udef) OVER q AS udef1, lead(bare) OVER q AS bare1, lag(w) OVER q AS b1, lag(w, 2) OVER q AS b2, lag(gap) OVER q AS bgap, lag(ok) OVER q AS bok FROM r WINDOW q AS (PARTITION BY doc_id, block ORDER BY ix)),
+c AS (SELECT doc_id, block, ix, {candidate(2)} AS c2, {candidate(1)} AS c1 FROM n),
+v AS (SELECT doc_id, block, ix, CASE WHEN c2 IS NOT NULL AND {points('c2')} > 0 THEN c2 WHEN c1 IS NOT NULL AND {points('c1')} > 0 THEN c1 END AS z FROM c),
+h AS (SELECT doc_id, z.name AS name, block, ix, {points('z')} AS pts, z.lv IS NOT NULL AS strong, CASE WHEN z.lv IS NOT NULL THEN z.reasons[z.lv + 1] WHEN z.letter THEN 'prefix without the definite letter' ELSE 'beside a known name' END AS why FROM v WHERE z IS NOT NULL),
+y AS (SELECT doc_id, name, why, min((block, ix)) AS pos FROM h GROUP BY ALL),
+yy AS (SELECT doc_id, name, array_to_string(list_slice(list(why ORDER BY pos), 1, 2), '; ') AS why FROM y GROUP BY ALL),
+g AS (SELECT doc_id, name, count(*) AS n, sum(pts) + CASE WHEN count(*) >= 3 THEN 2 WHEN count(*) = 2 THEN 1 ELSE 0 END AS points, min((block, ix)) AS pos, min(block) AS block FROM h GROUP BY ALL HAVING bool_or(strong)),
+e AS (SELECT doc_id, w, min((block, b1)) AS x FROM (SELECT * FROM n WHERE ix > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, block, w ORDER BY ix) = 1) WHERE NOT {like('gap', '[.!?;:]')} AND length(b1) >= 3 AND b1[1] <> 'h' AND bok AND NOT {among('b1', lex.roles + lex.speech + parts + lex.placeholders)} AND NOT bare GROUP BY ALL),
+o AS (SELECT g.doc_id, CASE WHEN e.w IS NOT NULL AND NOT contains(name, ' ') THEN e.x[2] || ' ' || name ELSE name END AS name, n, points, why, pos, block FROM g JOIN yy USING (doc_id, name) LEFT JOIN e ON e.doc_id = g.doc_id AND e.w = g.name WHERE points >= 3 AND NOT {public('name')} QUALIFY row_number() OVER (PARTITION BY g.doc_id, CASE WHEN e.w IS NOT NULL AND NOT contains(name, ' ') THEN e.x[2] || ' ' || name ELSE name END ORDER BY points DESC, pos) = 1),
+u AS (SELECT DISTINCT doc_id, unnest(string_split(name, ' ')) AS name FROM o WHERE contains(name, ' '))
+SELECT doc_id, name, n, CAST(points AS BIGINT) AS points, why, CAST(block AS INTEGER) AS block FROM o WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = o.doc_id AND u.name = o.name)"""
+
+
+def _lines(df):
+    return df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "text"))
+
+
+@query("G8_body_names", _ladder_sql(LADDER, _KNOWN))
+def g8(spark, sf_dir):
+    return ev.body_names(_lines(read(spark, sf_dir, "documents")), ["doc_id"], LADDER, _KNOWN).drop("s")
 
 
-@query("G8_body_names", _EV + " SELECT doc_id, name, n, CAST(best + CASE WHEN n >= 3 THEN 2 WHEN n = 2 THEN 1 ELSE 0 END AS INTEGER) AS points FROM g WHERE best >= 2 AND best + CASE WHEN n >= 3 THEN 2 WHEN n = 2 THEN 1 ELSE 0 END >= 3")
-def g8(spark, sf_dir):
-    return nm.body_names(tokens(spark, sf_dir), ["doc_id"], ["the", "and"], ["of", "to"], ["in", "er"])
+#: Hebrew samples: a speaker seen twice, a role, kin, a full name for a surname, a pair cut by a comma, a public body, a first person.
+_HE = ev.Lexicons(
+    speech=["אמר", "אמרה", "ביקשה"], attribution=["לדברי"], roles=["המורה"], roles2=["עובדת סוציאלית"], kin=["אמא"], persons=["אצל"], care=["ליווי"], relative=["שהוא"], common=["ילדה", "בית"], stop=["הוא"], lead=["לכן"], trail=["לפני"],
+    placeholders=["פלוני"], title="^(?:מר|ד\"ר) ", public="^ביטוח לאומי|^משרד ", **ev.HEBREW,
+)
+_HE_BLOCKS = [(1, 0, "ארבל אמרה שלום"), (1, 1, "נטעלי ארבל הלכה"), (2, 0, "המורה ברקת באה"), (3, 0, "אמא של דקלון הגיעה"), (4, 0, "המכתב אבד. תמרון אמר"), (5, 0, "ביטוח לאומי אמר"), (6, 0, "שדיברתי אמר"), (7, 0, "ליווי אלמוגית כאן"), (8, 0, "ליווי אלמוגית כאן"), (8, 1, "שוב ליווי אלמוגית כאן"), (9, 0, "פלוני אמר"), (10, 0, None), (10, 1, "")]
+_HE_NAMES = [(1, "נטעלי ארבל"), (2, "ברקת באה"), (3, "דקלון"), (4, "תמרון"), (8, "אלמוגית כאן")]
+
+
+@query("G8_hebrew_names", f"SELECT * FROM {sql_values('doc_id, name', _HE_NAMES)}")
+def g8_hebrew(spark, sf_dir):
+    return ev.body_names(values(spark, "doc_id int, block int, text string", _HE_BLOCKS), ["doc_id"], _HE).select("doc_id", "name")
 
 
 _ORG = [(1, "Bank Tavor", True), (2, "Workers House", True), (3, "Dana Levi", False), (4, "עמותות דן", True)]
