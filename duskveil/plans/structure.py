@@ -39,6 +39,43 @@ _NAMES = ["word/document.xml", "word/header1.xml", "word/footer.xml", "word/comm
 _N_ROWS = [(i, n) for i, n in enumerate(_NAMES)]
 
 
+@query("S2_zip_writer", "SELECT doc_id AS id, octet_length(encode(text)) AS size, sha256(text) AS content FROM documents WHERE text IS NOT NULL")
+def s2(spark, sf_dir):
+    """Every text as the only member of a package, read back; the reader checks the member's CRC-32."""
+    import pandas as pd
+
+    def work(it):
+        for pdf in it:
+            rows = [(int(i), raw) for i, t in zip(pdf["doc_id"], pdf["text"]) for _, _, raw in docx.members(docx.package([("text.txt", t.encode())]))]
+            yield pd.DataFrame(rows, columns=["id", "raw"])
+
+    made = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").mapInPandas(work, "id long, raw binary")
+    return made.select("id", F.octet_length("raw").cast("long").alias("size"), F.sha2("raw", 256).alias("content"))
+
+
+_XML = [(1, '<a xmlns:w="urn:w" k="1>0"><w:p>x &amp; y</w:p></a>', True, '<a xmlns:w="urn:w" k="1>0">'), (2, "<a><b></a>", False, ""), (3, "<!-- <x> --><r><b/></r>", True, "<r>"), (4, "", False, ""), (5, '<?xml version="1.0"?><r xmlns:u="urn:unused">t</r>', True, '<r xmlns:u="urn:unused">')]
+
+
+@query("S3_xml", f"SELECT id, ok, tag, ok AS same FROM {sql_values('id, xml, ok, tag', _XML)}")
+def s3(spark, sf_dir):
+    """Parts parsed and written again: damaged ones are told, the root's tag and the content stay."""
+    import pandas as pd
+
+    def one(i, xml):
+        try:
+            out = docx.serialise(docx.parse_xml(xml.encode()), xml)
+        except ValueError:
+            return i, False, "", False
+        flat = lambda x: [(e.tag, e.text) for e in docx.parse_xml(x.encode()).iter()]
+        return i, True, docx.root_tag(out), flat(out) == flat(xml)
+
+    def work(it):
+        for pdf in it:
+            yield pd.DataFrame([one(int(i), x) for i, x in zip(pdf["id"], pdf["xml"])], columns=["id", "ok", "tag", "same"])
+
+    return values(spark, "id int, xml string, ok boolean, tag string", _XML).select("id", "xml").mapInPandas(work, "id int, ok boolean, tag string, same boolean")
+
+
 @query("S4_text_parts", rf"SELECT id, name, regexp_matches(name, '^word/(document|header[0-9]*|footer[0-9]*|footnotes|endnotes|glossary/document|settings|numbering|styles|diagrams/.+|charts/.+)\.xml$') AS is_text FROM {sql_values('id, name', _N_ROWS)}")
 def s4(spark, sf_dir):
     return values(spark, "id int, name string", _N_ROWS).select("id", "name", docx.is_text_part(F.col("name")).alias("is_text"))

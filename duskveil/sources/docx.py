@@ -23,6 +23,7 @@ W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 TEXT_PARTS = r"^word/(document|header\d*|footer\d*|footnotes|endnotes|glossary/document|settings|numbering|styles|diagrams/.+|charts/.+)\.xml$"
 DROPPED = r"^(word/comments.*|word/people|docProps/custom)\.xml$|^customXml/|^docProps/thumbnail\."
 BLANKED = ["creator", "title", "subject", "description", "keywords", "lastModifiedBy", "category", "contentStatus", "Company", "Manager", "Template", "Application", "AppVersion", "identifier"]
+HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\r\n'
 LABELS = {"word/document.xml": "body", "word/footnotes.xml": "footnotes", "word/endnotes.xml": "endnotes", "word/comments.xml": "comments", "docProps/core.xml": "properties"}
 
 
@@ -68,6 +69,34 @@ def package(parts: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+def root_tag(xml: str) -> str:
+    """The opening tag of the root as it is written, or an empty text."""
+    m = re.search(r"""<[^?!/](?:"[^"]*"|'[^']*'|[^>"'])*>""", re.sub(r"<!--.*?-->", "", xml, flags=re.S))
+    return m.group() if m else ""
+
+
+def parse_xml(content: bytes) -> ET.Element:
+    """The root of an XML part; ValueError if it is damaged."""
+    try:
+        return ET.fromstring(content)
+    except ET.ParseError as e:
+        raise ValueError(f"damaged XML: {e}") from e
+
+
+def serialise(root: ET.Element, original: str) -> str:
+    """The part as text under the original's root tag, which declares all namespaces that the original had."""
+    kept = root_tag(original)
+    prefixes = dict(re.findall(r"""\sxmlns:([\w.-]+)=["']([^"']*)["']""", kept))
+    for prefix, uri in prefixes.items():
+        if not re.fullmatch(r"ns\d+", prefix):  # reserved by the writer
+            ET.register_namespace(prefix, uri)
+    made = ET.tostring(root, encoding="unicode")
+    own = root_tag(made)
+    if kept and not kept.endswith("/>") and not own.endswith("/>"):
+        made = made.replace(own, kept, 1)
+    return HEAD + made
+
+
 def _tag(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2]
 
