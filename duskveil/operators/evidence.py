@@ -9,6 +9,7 @@ Lexicons are lists of a fixed size: they become hash sets in the generated code.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -284,3 +285,95 @@ def _expanded(found: DataFrame, rows: DataFrame, by: list[str], lex: Lexicons, k
     follows = rows.where("ix > 0").withColumn("rank", F.row_number().over(place)).where("rank = 1").where(~_any(*no))
     wholes = follows.groupBy(*by, F.col("w").alias("name")).agg(F.min(F.struct("block", F.col("before").alias("p"))).alias("x"))
     return found.join(wholes, [*by, "name"], "left").withColumn("name", F.when(F.col("x").isNotNull() & ~F.contains("name", F.lit(" ")), F.concat_ws(" ", "x.p", "name")).otherwise(F.col("name")))
+
+
+# --- predictions of a model, cleaned ----------------------------------------------------------------------------------
+
+#: Kinds of a model's types, pairs of prefix letters that are written together, ends of relative participles.
+KINDS = {"PER": "NAME", "ORG": "ORG", "GPE": "PLACE", "LOC": "PLACE", "FAC": "PLACE"}
+PAIRS = "^(?:ו[בהלמכ]|כש|מה|לכ)"
+PARTICIPLE = "(?:ת|ות|ים)$"
+
+
+def _words(c: Column) -> Column:
+    return F.split(c, r"\s+")
+
+
+def _strip_ends(c: Column, bad_first: Callable[[Column], Column] | None, bad_last: Callable[[Column], Column] | None) -> Column:
+    """A value without words at its ends that a test rejects; one word stays."""
+
+    def drop(ws: Column, test: Callable[[Column], Column]) -> Column:
+        keep = F.transform(ws, lambda w, i: F.when(~F.coalesce(test(w), F.lit(False)) | (i == F.size(ws) - 1), i))
+        return F.slice(ws, F.array_min(keep) + 1, F.size(ws))
+
+    ws = _words(c)
+    if bad_last:
+        ws = F.reverse(drop(F.reverse(ws), bad_last))
+    return F.array_join(drop(ws, bad_first) if bad_first else ws, " ")
+
+
+def _put(x: DataFrame, value: Column, name: str = "v") -> DataFrame:
+    """x with a column replaced, through a generator: later tests are not copied into what the value is made of."""
+    return x.select(*[c for c in x.columns if c != name], F.inline_outer(F.array(F.struct(value.alias(name)))))
+
+
+def clean_predictions(ents: DataFrame, texts: DataFrame, lex: Lexicons, role: str = "", org_head: str = "", group_head: str = "", least: float = 0.6, by: str = "doc_id") -> DataFrame:
+    """(by, value, kind, n, score, review, cut) of ents(by, s, e, type, score) over texts(by, text).
+
+    A span grows to whole words; a prefix letter, or a pair of them, goes where the growth, the document or a lexicon says
+    that it is one; of several sentences the last stays; titles, leading words, roles and verbs at the ends go; words
+    that are no names, placeholders, values without a letter of the language, groups and public bodies are dropped; a
+    person of more than four words or with a dash is a body; a body without a head is for review. Equal values are
+    counted, and a value inside a longer one of its kind goes. Null texts and spans outside the text give nothing.
+    """
+    letter = "[\u0591-\u05bd\u05bf-\u05c7\u05d0-\u05ea]" if lex.word_class == "he" else r"[\p{L}\p{M}]"
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("type"))
+    x = ents.where((F.col("score") >= least) & (F.col("s") < F.col("e"))).withColumn("kind", kind).where("kind is not null").join(texts.select(by, "text"), by)
+    left, right = F.regexp_extract(F.substring("text", F.lit(1), F.col("s")), f"({letter}*)$", 1), F.regexp_extract(_rest_at(F.col("text"), F.col("e")), f"^({letter}*)", 1)
+    x = x.select(by, "kind", "score", F.concat(left, F.substring("text", F.col("s") + 1, F.col("e") - F.col("s")), right).alias("v"), (right != "").alias("cut"), F.array_join(F.slice(F.concat(F.array(F.lit("")), F.array(F.lit("")), F.filter(_words(F.substring("text", F.lit(1), F.col("s") - F.length(left))), lambda w: w != "")), -2, 2), " ").alias("back"))
+    x = _put(x, tx.trim_edges(F.col("v"))).withColumn("whole", F.col("v")).withColumn("f", F.get(_words(F.col("v")), 0)).where(F.length("v") >= 2)
+    docs = texts.join(x.select(by).distinct(), by, "left_semi").select(by, F.explode(F.array_distinct(F.regexp_extract_all(tx.norm(F.col("text")), F.lit(tx.WORDS[lex.word_class]), F.lit(0)))).alias("w"))
+    facts = form_facts(docs.select(by, "w").distinct(), [by], lex)
+    for k in (1, 2):
+        x = x.withColumn("form", _rest(F.col("f"), k)).join(facts.select(by, "form", F.col("present").alias(f"p{k}"), F.col("prefixes").alias(f"q{k}")), [by, "form"], "left").drop("form")
+    head = lambda c: _like(c, org_head) | _like(c, group_head)
+    stem, stem2 = _rest(F.col("v"), 1), _rest(F.col("v"), 2)
+    known = lambda v, f: _has(v, lex.places) | _has(f, lex.firsts) | head(v)
+    seen = F.coalesce(F.col("p1"), F.lit(False)) | F.coalesce(F.size(F.array_except("q1", F.array(F.substring("f", 1, 1)))) > 0, F.lit(False))
+    one = _prefixed(F.col("f"), lex) & (F.length("f") >= 4) & (F.col("cut") | seen | known(stem, _rest(F.col("f"), 1)))
+    two = _prefixed(F.col("f"), lex) & (F.length("f") >= 5) & _like(F.col("f"), PAIRS) & (F.coalesce(F.col("p2"), F.lit(False)) | known(stem2, _rest(F.col("f"), 2)))
+    x = _put(x, F.when(one, stem).when(two, stem2).otherwise(F.col("v"))).drop("p1", "q1", "p2", "q2", "f")
+    x = _put(x, tx.trim_edges(F.regexp_extract(F.regexp_replace("v", r"[.!?:;\n\s]+$", ""), r"([^.!?:;\n]*)$", 1)))
+    if lex.title:
+        x = _put(x, tx.trim_edges(F.regexp_replace("v", lex.title, "")))
+    x = _put(x, _strip_ends(F.col("v"), lambda w: _has(w, lex.lead), None))
+    single = ~F.contains("v", F.lit(" "))
+    first = F.get(_words(F.col("v")), 0)
+    rest = _rest(first)
+    bad = (single & _has(F.col("v"), lex.stop + lex.common + lex.speech)) | (_prefixed(first, lex) & (F.length(first) >= 4) & _has(rest, lex.speech + lex.common))
+    if lex.word_class == "he":
+        bad = bad | (first.startswith("ש") & (F.length(first) >= 5) & _like(rest, PARTICIPLE) & ~_has(rest, lex.firsts))
+    x = x.where(~bad)
+    if role:
+        is_role = lambda w: _like(w, role)
+        x = _put(x.where(~F.forall(_words(F.col("v")), is_role)), _strip_ends(F.col("v"), is_role, is_role))
+    x = _put(x, _strip_ends(F.col("v"), None, lambda w: verb_tail(w, lex)))
+    x = x.where((F.length("v") >= 2) & ~_has(F.col("v"), lex.placeholders) & F.col("v").rlike(letter))
+    x = x.where(~(F.contains("v", F.lit(" ")) & F.forall(_words(F.col("v")), lambda w: F.length(F.regexp_replace(w, "['\"\u05f3\u05f4]", "")) <= 1)))
+    x = x.withColumn("kind", F.when((F.col("kind") == "NAME") & (_like(F.col("v"), r"\s[-\u2013]\s") | (F.size(_words(F.col("v"))) > 4)), "ORG").otherwise(F.col("kind")))
+    x = _put(x, F.col("kind"), "kind")
+    org = F.col("kind") == "ORG"
+    x = x.where(~(org & _like(F.col("v"), group_head))).withColumn("review", org & ~_like(F.col("v"), org_head) if org_head else F.lit(False))
+    other = F.col("kind") != "NAME"
+    near = [F.concat_ws(" ", F.element_at(_words(F.col("back")), -1), "v"), F.concat_ws(" ", F.trim("back"), "v"), F.col("v"), F.col("whole")]
+    x = x.where(~(other & _any(*[_public(F.trim(c), lex) for c in near])))
+    x = _put(x, F.when(other, _strip_ends(F.col("v"), None, lambda w: _has(w, lex.trail + lex.speech))).otherwise(F.col("v")))
+    g = x.groupBy(by, F.col("v").alias("value"), "kind").agg(F.count("*").alias("n"), F.max("score").alias("score"), F.bool_or("review").alias("review"), F.bool_or("cut").alias("cut"))
+    words = g.where(F.contains("value", F.lit(" "))).select(F.col(by).alias("_by"), F.col("kind").alias("_kind"), F.col("value").alias("_long"), F.explode(F.array_distinct(_words(F.col("value")))).alias("_word"))
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    inside = (g[by] == words["_by"]) & (g["kind"] == words["_kind"]) & (F.get(_words(g["value"]), 0) == words["_word"]) & (g["value"] != words["_long"]) & F.contains(pad(words["_long"]), pad(g["value"]))
+    return g.join(words, inside, "left_anti")
+
+
+def _rest_at(c: Column, at: Column) -> Column:
+    return F.substring(c, at + 1, F.length(c))

@@ -250,6 +250,20 @@ def n5(spark, sf_dir):
     return nm.clean_entities(values(spark, "type string, text string, score double", _ENTS), ["Dr", "Mr"]).select("value", "kind", F.col("n").cast("int").alias("n"), "score")
 
 
+#: Predictions in Hebrew: a span to grow, a prefix letter that the growth tells, a title, a verb at the end, a public body
+#: known by the word before it, a role alone, a group, a body without a head, a value inside a longer one, a low score.
+_HE_TEXTS = [(1, "אתמול ראיתי את ד\"ר דנה לוי אמרה"), (2, "נסענו לחיפה. חיפה יפה"), (3, "פנה אל משרד הרווחה"), (4, "המורה כאן"), (5, "חסידות נורבין"), (6, "מכון תבור וגם נורבין"), (7, "דנה לוי ודנה"), (8, "לכן רון"), (9, None)]
+_HE_ENTS = [(1, 15, 29, "PER", 0.9), (2, 7, 11, "GPE", 0.8), (2, 13, 17, "GPE", 0.7), (3, 12, 18, "ORG", 0.9), (4, 0, 5, "PER", 0.9), (5, 0, 12, "ORG", 0.9), (6, 0, 9, "ORG", 0.9), (6, 14, 20, "ORG", 0.9), (7, 0, 7, "PER", 0.9), (7, 9, 12, "PER", 0.8), (8, 0, 7, "PER", 0.9), (8, 5, 7, "PER", 0.5), (9, 0, 3, "PER", 0.9)]
+_HE_CLEAN = [(1, "דנה לוי", "NAME", 1, 0.9, False, True), (2, "חיפה", "PLACE", 2, 0.8, False, False), (6, "מכון תבור", "ORG", 1, 0.9, False, False), (6, "נורבין", "ORG", 1, 0.9, True, False), (7, "דנה לוי", "NAME", 1, 0.9, False, False), (8, "רון", "NAME", 1, 0.9, False, False)]
+
+
+@query("N5_hebrew_clean", f"SELECT doc_id, value, kind, n, CAST(score AS DOUBLE) AS score, review, cut FROM {sql_values('doc_id, value, kind, n, score, review, cut', _HE_CLEAN)}")
+def n5_hebrew(spark, sf_dir):
+    texts = values(spark, "doc_id int, text string", _HE_TEXTS)
+    ents = values(spark, "doc_id int, s int, e int, type string, score double", _HE_ENTS)
+    return ev.clean_predictions(ents, texts, _HE, "^(?:ה?מורה)$", "^(?:מכון|עמותת)(?: |$)", "^(?:חסידות)(?: |$)").withColumn("n", F.col("n").cast("int"))
+
+
 @query("N6_fold", "SELECT * FROM (VALUES ('שארסן', 'ארסן', 'yes'), ('הדס', 'דס', 'unknown')) AS v(form, base, verdict)")
 def n6(spark, sf_dir):
     return nm.fold_evidence(values(spark, "value string, n int", [("שארסן", 1), ("ארסן", 4), ("הדס", 5), ("דס", 1), ("נועה", 2)]))

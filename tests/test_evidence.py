@@ -44,3 +44,12 @@ def test_empty(spark):
 def test_long_text(spark):
     got = found(spark, [(1, 0, "the and went " * 20_000 + "Dana said")])
     assert got == {(1, "Dana"): (1, 3, "before a verb")}
+
+
+def test_predictions(spark):
+    texts = spark.createDataFrame([(1, "met Mr Dana Tavor today. Dana left"), (2, None)], "doc_id int, text string")
+    ents = [(1, 4, 17, "PER", 0.9), (1, 25, 29, "PER", 0.8), (1, 7, 10, "PER", 0.2), (1, 0, 3, "XYZ", 0.9), (2, 0, 3, "PER", 0.9), (1, 7, 7, "PER", 0.9)]
+    ents = spark.createDataFrame(ents, "doc_id int, s int, e int, type string, score double")
+    got = ev.clean_predictions(ents, texts, LEX).collect()
+    assert [(r.doc_id, r.value, r.kind, r.n, r.score) for r in got] == [(1, "Dana Tavor", "NAME", 1, 0.9)]
+    assert ev.clean_predictions(ents.limit(0), texts, LEX).collect() == []
