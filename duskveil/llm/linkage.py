@@ -94,11 +94,19 @@ def bucket_links(table: DataFrame, near_of: Callable, block: int = 2048, items:
     near_of(ids, payload) gives the near function of ``forest`` for one unit; payload holds what items(id, payload
     binary) has of the ids, or None. Empty tables give no links; a repeated row is the same as one.
     """
-    spark, loaded = common.prepare(table.sparkSession), items is not None
+    common.prepare(table.sparkSession)
     members = table.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared_keys(block), "key long, id long, block long")
     members = common.stored(members, "buckets")
     wide = members.groupBy("key").agg(F.max("block").alias("last")).where("last > 0")
     units = members.join(wide, "key", "left").select("key", "id", "block", F.coalesce("last", F.lit(0)).alias("last"))
+    return unit_links(units, near_of, items)
+
+
+def unit_links(units: DataFrame, near_of: Callable, items: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among the ids of each key of units(key, id, block, last): every pair of the blocks 0 to last is one
+    unit of work. near_of and items as in ``bucket_links``."""
+    loaded = items is not None
+    common.prepare(units.sparkSession)
     units = units.select("key", "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other"))
     units = units.select("key", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     if loaded:

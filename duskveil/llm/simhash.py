@@ -28,6 +28,8 @@ from . import common, linkage
 SEED = 42
 #: Values of a min-wise signature, values of a segment, segments. At similarity 0.8: found with probability 0.998.
 VALUES, ROWS, SEGMENTS = 128, 5, 16
+#: Standard errors under the limit at which 128 values still leave a pair to its whole sets; bytes of sets of one block.
+MARGIN, BLOCK_BYTES = 4.5, 16 << 20
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -134,7 +136,7 @@ def minwise(hashed: np.ndarray, probes: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, mark, id, keys array<bigint>, payload binary): id is a hash of the shingle set, so equal sets are one
-    class; mark is a hash of the text."""
+    class; mark is a hash of the text; payload holds the set's size and its min-wise values."""
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("id", pa.int64()), ("keys", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +153,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                 sig = minwise(got, probes)
                 bands = sig[: ROWS * SEGMENTS].reshape(SEGMENTS, ROWS)
                 keys.append(np.array([xxhash.xxh64_intdigest(bytes([s]) + bands[s].tobytes()) for s in range(SEGMENTS)], np.uint64).view(np.int64).tolist())
-                loads.append((sig & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                loads.append(_packed(len(got), sig))
             yield common.batch(schema, b.column(0), b.column(2), common.signed(np.array(ids, np.uint64)), keys, loads)
 
     common.prepare(docs.sparkSession)
@@ -163,26 +165,107 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
 
 
+def _packed(size: int, sig: np.ndarray) -> bytes:
+    """The set's size and the low 16 bits of its min-wise values."""
+    return size.to_bytes(4, "big") + (sig & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
+_SKETCH = np.dtype([("size", ">u4"), ("sig", "<u2", VALUES)])
+
+
+def _doubtful(least: float):
+    """The pairs that may have a similarity of ``least``: sizes allow it (exactly), and the share of equal min-wise values
+    is no more than ``MARGIN`` standard errors under it. Sets of few shingles repeat values, which widens the error."""
+
+    def near_of(ids: np.ndarray, payload: list):
+        held = np.frombuffer(b"".join(payload), _SKETCH)
+        size, sig = held["size"].astype(np.float64), held["sig"]
+        full = VALUES * -np.expm1(size * np.log1p(-1 / VALUES))  # bins with a value of their own
+        more = VALUES / full - 1  # bins that borrow from each
+        error = np.sqrt(least * (1 - least) * full * (1 + 3 * more + more * more)) / VALUES
+
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            fits = np.minimum(size[others], size[i]) / np.maximum(size[others], size[i]) >= least
+            fits[fits] = (sig[others[fits]] == sig[i]).mean(1) >= least - MARGIN * np.maximum(error[others[fits]], error[i])
+            return fits
+
+        return near
+
+    return near_of
+
+
 def _similar(least: float):
+    """The pairs whose shingle sets have a similarity of ``least`` or more, counted on the whole sets."""
+
     def near_of(ids: np.ndarray, payload: list):
-        sig = np.frombuffer(b"".join(payload), "<u2").reshape(len(ids), VALUES)
-        return lambda i, others: (sig[others] == sig[i]).mean(1) >= least
+        head = _SKETCH.itemsize
+        doubtful = _doubtful(least)(ids, [p[:head] for p in payload])
+        sets = [np.frombuffer(p, "<u8", offset=head) for p in payload]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            out = doubtful(i, others)
+            left = others[out]
+            exact = np.zeros(len(left), bool)
+            for at in range(0, len(left), 256):
+                part = left[at : at + 256]
+                flat = np.concatenate([sets[j] for j in part])
+                hit = sets[i][np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)] == flat
+                both = np.add.reduceat(hit, np.cumsum(size[part]) - size[part], dtype=np.int64)
+                exact[at : at + 256] = both / (size[part] + size[i] - both) >= least
+            out[out] = exact
+            return out
+
+        return near
 
     return near_of
 
 
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """(id, payload binary): of docs(id, text) the size, min-wise values and sorted hashes of the shingle set."""
+    schema = pa.schema([("id", pa.int64()), ("payload", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes = _probes()
+        for b in batches:
+            got = [np.unique(shingle_hashes(t, k)) for t in common.text_bytes(b.column(1))]
+            yield common.batch(schema, b.column(0), [_packed(len(g), minwise(g, probes)) + g.astype("<u8").tobytes() for g in got])
+
+    return docs.select("id", "text").mapInArrow(work, "id long, payload binary")
+
+
+def exact_links(docs: DataFrame, classes: DataFrame, doubts: DataFrame, k: int, least: float) -> DataFrame:
+    """Links (a, b) between classes(id, low, mark, size) of a similarity of ``least`` or more, on whole shingle sets.
+
+    doubts are links that hold every pair in question together; each of their components is cut into blocks of about
+    ``BLOCK_BYTES`` of sets and all pairs of blocks are compared, so a set travels once unless its component is large.
+    """
+    groups = linkage.components(doubts).withColumnRenamed("root", "key")
+    groups = groups.unionByName(groups.select("key", F.col("key").alias("id"))).distinct()
+    asked = common.stored(groups.join(classes.select("id", "low", "mark", "size"), "id"), "asked")
+    sizes = asked.groupBy("key").agg(F.ceil(F.sum(F.col("size") * 8 + _SKETCH.itemsize) / BLOCK_BYTES).cast("long").alias("blocks"))
+    texts, rows = _marked(docs), asked.select("id", "low", F.col("mark").alias("of"))
+    texts = texts.join(rows, (texts["mark"] == rows["of"]) & texts["doc_id"].eqNullSafe(rows["low"])).select("id", "text")
+    items = common.stored(_sets(texts.dropDuplicates(["id"]), k), "sets")
+    units = asked.join(sizes, "key").select("key", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), (F.col("blocks") - 1).alias("last"))
+    return linkage.unit_links(units, _similar(least), items)
+
+
 def near_classes(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, mark, component_id): classes of texts whose sets of k-word shingles have a similarity of ``least`` or more.
 
-    The similarity is the share of 128 equal min-wise values (standard error 0.035 at 0.8). Texts without words are one
+    The similarity is that of the whole sets; min-wise values only find the pairs to compare. Texts without words are one
     class with equal sets, linked to nothing else. mark is xxhash64 of the text, null as empty.
     """
     made = common.stored(signatures(docs, k), "signatures")
-    classes = made.groupBy("id").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys"), F.first("payload").alias("payload"))
-    classes = common.stored(classes, "classes")
+    one = F.min(F.struct("doc_id", "mark"))  # a row of the class, whose text gives the set
+    classes = made.groupBy("id").agg(F.min("doc_id").alias("low"), one.alias("one"), F.first("keys").alias("keys"), F.first("payload").alias("payload"))
+    size = F.conv(F.hex(F.substring("payload", 1, 4)), 16, 10).cast("long")
+    classes = common.stored(classes.withColumn("size", size), "classes")
     table = classes.select(F.explode("keys").alias("key"), "id")
-    links = linkage.bucket_links(table, _similar(least), items=classes.select("id", "payload"))
-    roots = linkage.components(links)
+    doubts = common.stored(linkage.bucket_links(table, _doubtful(least), items=classes.select("id", "payload")), "doubts")
+    rows = classes.select("id", F.col("one.doc_id").alias("low"), F.col("one.mark").alias("mark"), "size")
+    roots = linkage.components(exact_links(docs, rows, doubts, k, least))
     named = classes.select("id", "low").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "root").select("id", "component_id")

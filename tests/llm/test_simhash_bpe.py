@@ -94,6 +94,29 @@ def test_near_classes_and_dedup(spark, docs):
     assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == [0, 2]
 
 
+def test_near_classes_at_the_limit(spark, monkeypatch):
+    """Pairs of a similarity just over and just under 0.8 are told apart on their whole sets, whatever the cut in blocks."""
+    rng = random.Random(11)
+    texts = []
+    for base in range(60):
+        n = rng.choice([12, 40, 90, 200, 400, 900])
+        words = [f"b{base}w{i}" for i in range(n)]
+        texts.append(words)
+        for v in range(3):
+            cut = rng.randrange(round(0.16 * n), round(0.25 * n) + 1)
+            texts.append([*words[: n - cut], *([] if v else [f"b{base}v{v}x{i}" for i in range(rng.randrange(3))])])
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    same = lambda a, b: len(a & b) / len(a | b)
+    of = {(i, j): same(sets[i], sets[j]) for i in range(len(texts)) for j in range(i // 4 * 4, i)}
+    assert sum(0.75 <= s < 0.8 for s in of.values()) > 20 and sum(0.8 <= s < 0.85 for s in of.values()) > 20
+    want = brute_components([p for p, s in of.items() if s >= 0.8], len(texts))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for size in (2000, 16 << 20):
+        monkeypatch.setattr(simhash, "BLOCK_BYTES", size, raising=False)
+        got = {r.doc_id: r.component_id for r in simhash.near_classes(df).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_minwise_estimates_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 800, dtype=np.uint64)
