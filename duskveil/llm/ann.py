@@ -3,8 +3,8 @@
 Coarse centroids and the codebooks are fitted by k-means on at most ``FIT`` vectors (chosen by a hash of vec_id); every
 vector is then indexed: its list is that of the nearest centroid, its code the nearest codeword of each part of the
 residual. A query probes the lists whose centroids have the largest inner products with it: as many as give ``RECALL`` of
-the true neighbours within the fitting sample, so clustered vectors are found in few lists and isotropic ones in more. In
-each list an asymmetric table of inner products with the codewords ranks the members, and the best ``RERANK``, and all that two standard
+the true neighbours among vectors that took no part in the fitting (``TUNE`` at most), so clustered vectors are found in few
+lists and isotropic ones in more; and more where they hold too few entries. In each list an asymmetric table of inner products with the codewords ranks the members, and the best ``RERANK``, and all that two standard
 errors of the approximation cannot tell from them, are scored exactly, in double precision, on the original vectors.
 
 Equal vectors are one entry of the index that keeps its smallest ids (one more than the neighbours asked for), which is
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors that fitting reads, entries per list aimed at and the most lists, parts of a residual, words of a codebook.
-FIT, PER_LIST, LISTS, PARTS, WORDS = 16384, 256, 4096, 16, 64
-#: Recall on the fitting sample that sets how many lists a query probes; least entries that a query reranks in each list's block;
+#: Vectors that fitting reads, vectors kept out of it that set the number of probes, entries per list aimed at and the most lists, parts of a residual, words of a codebook.
+FIT, TUNE, PER_LIST, LISTS, PARTS, WORDS = 16384, 8192, 256, 4096, 16, 64
+#: Recall on the vectors kept out that sets how many lists a query probes; least entries that a query reranks in each list's block;
 #: entries of a block; queries scored at a time; results that a task holds before it drops all but each query's best.
 RECALL, RERANK, BLOCK, QUERIES, HELD = 0.96, 20, 4096, 32, 1 << 20
 
@@ -86,26 +86,31 @@ class Index:
         return out
 
 
-def fit(vectors: DataFrame, n: int, most: int = FIT, seed: int = 5) -> Index | None:
-    """Fits on about ``most`` of n vectors(vec_id, v)."""
+def fit(vectors: DataFrame, n: int, most: int | None = None, seed: int = 5) -> Index | None:
+    """Fits on about ``most`` (``FIT``) of n vectors(vec_id, v), and sets the probes on up to ``TUNE`` others."""
+    most = (most or FIT) + TUNE
     share = min(1.0, most / max(1, n))
     rows = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(10**9)) < int(1e9 * share)).orderBy("vec_id").limit(2 * most)
     got = rows.select(F.col("v").cast("array<float>")).toArrow().column(0).combine_chunks()
     if not len(got):
         return None
     x = got.flatten().to_numpy().reshape(len(got), -1).astype(np.float32)
+    x = x[np.random.default_rng(seed).permutation(len(x))]
+    kept = min(TUNE, len(x) // 3)
+    out, x = x[:kept], x[kept:]
     lists = int(min(LISTS, max(1, n // PER_LIST)))
     coarse = kmeans(x, lists, seed)
     d = x.shape[1]
     cuts = np.linspace(0, d, min(PARTS, d) + 1).astype(int)
-    q = x[:256]
-    inner = q @ x.T
-    inner[np.arange(len(q)), np.arange(len(q))] = -np.inf
-    true = np.argsort(-inner, axis=1)[:, : min(20, max(1, len(x) - 1))]
-    place = np.argsort(np.argsort(-(q @ coarse.T), axis=1), axis=1)
     index = Index(coarse, [], cuts, len(coarse), 0.0)
+    if kept > 1 and len(coarse) > 1:  # otherwise all lists
+        q = out[:256]
+        inner = q @ out.T
+        inner[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        true = np.argsort(-inner, axis=1)[:, : min(20, kept - 1)]
+        place = np.argsort(np.argsort(-(q @ coarse.T), axis=1), axis=1)
+        index.probes = int(np.quantile(place[np.arange(len(q))[:, None], index.lists(out)[true]], RECALL)) + 1
     own = index.lists(x)
-    index.probes = int(np.quantile(place[np.arange(len(q))[:, None], own[true]], RECALL)) + 1
     r = x - coarse[own]
     index.books = [kmeans(r[:, a:b], WORDS, seed + a + 1, 6) for a, b in zip(cuts[:-1], cuts[1:])]
     codes = index.codes(x, own)
@@ -126,7 +131,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query(vec_id, v) the k nearest found among vectors(vec_id, v), not itself.
 
-    Where lists together hold few entries more are probed, so every query gets k or all there are.
+    A query whose lists hold fewer than k + 1 entries probes the next ones too, so every query gets k or all there are.
     """
     spark = common.prepare(vectors.sparkSession)
     # the smallest ids of each vector: of 32 parts of its rows first, so that no group is gathered whole
@@ -140,7 +145,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sent = spark.sparkContext.broadcast(index)  # at most LISTS centroids and fixed codebooks
     probes = len(index.coarse) if n <= 40 * k else min(probes or index.probes, len(index.coarse))
-    rerank = max(RERANK, k)
+    rerank = max(RERANK, k + 1)  # the query may be among them
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -152,19 +157,26 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
                 yield common.batch(schema, at.astype(np.int32), b.column(0), b.column(1), [c.tobytes() for c in own.codes(x, at)])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own, held = sent.value, held_sent.value
         schema = pa.schema([("query_id", pa.int64()), ("v", pa.list_(pa.float64())), ("lists", pa.list_(pa.int32()))])
         for b in batches:
             if b.num_rows:
                 q = _matrix(b.column(1)).astype(np.float32)
-                best = np.argsort(-(q @ own.coarse.T), axis=1, kind="stable")[:, :probes]
-                yield common.batch(schema, b.column(0), b.column(1), best.astype(np.int32).tolist())
+                best = np.argsort(-(q @ own.coarse.T), axis=1, kind="stable").astype(np.int32)
+                before = np.cumsum(held[best], axis=1) - held[best]
+                need = np.maximum(probes, (before < k + 1).sum(1))
+                yield common.batch(schema, b.column(0), b.column(1), [row[:m].tolist() for row, m in zip(best, need)])
 
     indexed = entries.mapInArrow(enter, "list int, v array<double>, ids array<long>, code binary")
     indexed = indexed.withColumn("place", F.pmod(F.xxhash64("v", F.lit(3)), F.lit(1 << 30)))
     indexed = common.stored(indexed, "index")
-    sizes = indexed.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    sizes = common.stored(sizes, "lists")  # a row per list: at most LISTS
+    sizes = indexed.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), F.col("count").alias("n"))
+    sizes = common.stored(sizes.select("list", "blocks", "n"), "lists")  # a row per list: at most LISTS
+    held = np.zeros(len(index.coarse), np.int64)
+    for r in sizes.collect():
+        held[r["list"]] = r["n"]
+    held_sent = spark.sparkContext.broadcast(held)
+    sizes = sizes.select("list", "blocks")
     indexed = indexed.join(F.broadcast(sizes), "list").withColumn("block", F.pmod("place", F.col("blocks")).cast("int"))
     asked = queries.mapInArrow(probe, "query_id long, v array<double>, lists array<int>").select("query_id", "v", F.explode("lists").alias("list"))
     asked = asked.join(F.broadcast(sizes), "list").select("query_id", "v", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
