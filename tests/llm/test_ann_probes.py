@@ -34,3 +34,28 @@ def test_few_entries_widen(spark, monkeypatch):
     df = table(spark, x)
     got = ann.neighbours(df, df.selectExpr("vec_id AS query_id", "v"), 20, probes=1).groupBy("query_id").count().collect()
     assert len(got) == 1000 and all(r["count"] == 20 for r in got)
+
+
+def test_small_groups_get_all_they_can(spark):
+    """Three tight groups of 600, 590 and 10 vectors: the lists of the smallest hold fewer than are asked for."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + 0.01 * rng.normal(size=(n, 16)) for c, n in ((rng.normal(size=16), 600), (rng.normal(size=16), 590), (rng.normal(size=16), 10))])
+    df = table(spark, x)
+    got = ann.neighbours(df, df.where("vec_id % 20 = 0 OR vec_id >= 1190").selectExpr("vec_id AS query_id", "v"), 20).toPandas()
+    assert set(got.groupby("query_id").size()) == {20} and got.query_id.nunique() == 70
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += (g.score >= np.sort(s)[::-1][19] - 1e-9).sum()
+    assert hit / len(got) >= 0.9
+    assert ann.neighbours(df.limit(12), df.limit(12).selectExpr("vec_id AS query_id", "v"), 20).count() == 12 * 11
+
+
+def test_cells_hold_lists_whole_or_cut():
+    held = np.array([3000, 2000, 9000, 0, 100, 4096, 50])
+    cell, cells = ann.layout(np.random.default_rng(1).normal(size=(7, 4)), held)
+    load = np.zeros(cell.max() + cells.max() + 1, np.int64)
+    for c, m, n in zip(cell, cells, held):
+        load[c : c + m] += -(-n // m)
+    assert cells.tolist() == [1, 1, 3, 1, 1, 1, 1] and load.max() <= ann.BLOCK
