@@ -70,15 +70,11 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive of all pages against a replica in which records chosen by a hash are altered or missing."""
-    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    pick = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
-    damaged = F.when(pick == "0a", F.concat(F.coalesce("html", F.lit("")), F.lit(" "))).otherwise(F.col("html"))
-    both = pages.select("page_id", pick.alias("pick"), merkle.warc_record(F.col("url"), F.col("html")).alias("one"), merkle.warc_record(F.col("url"), damaged).alias("other"))
-    both = merkle.hashed(both, "other").select("page_id", "pick", "one", F.col("bytes").alias("found_bytes"), F.col("digest").alias("found"))
-    whole = common.stored(merkle.placed(merkle.hashed(both, "one"), "page_id"), "manifest")
-    replica = whole.where(~F.col("pick").eqNullSafe(F.lit("0b"))).select("segment", "start", F.col("found_bytes").alias("bytes"), F.col("found").alias("digest"))
-    return merkle.audit(whole.select("segment", "start", "bytes", "digest"), replica)
+    """An archive of all pages, written as WARC bytes, against a replica in which records chosen by their digest are altered
+    or lost; both are read back with their own offsets."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", merkle.warc_record(F.col("url"), F.col("html")).alias("record"))
+    blocks = common.stored(merkle.archived(pages, "page_id"), "warc")
+    return merkle.audit(merkle.manifest(blocks), merkle.manifest(merkle.with_faults(blocks, "0a", "0b")))
 
 
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,17 +118,19 @@ SELECT conv_id, count(*) AS n_turns,
 FROM f GROUP BY conv_id""",
         "op9_warc_audit": """
 WITH r AS (
-  SELECT page_id, CAST(floor(page_id / 4096) AS BIGINT) AS segment, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS pick,
+  SELECT coalesce(page_id, -1) AS page_id,
     'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
       || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
     coalesce(html, '') AS html, chr(13) || chr(10) || chr(13) || chr(10) AS gap
   FROM pages
 ), m AS (
-  SELECT *, head || strlen(html) || gap || html || gap AS record, head || (strlen(html) + 1) || gap || html || ' ' || gap AS broken FROM r
+  SELECT page_id, CAST(floor(page_id / 4096) AS BIGINT) AS segment, head || strlen(html) || gap || html || gap AS record FROM r
 ), p AS (
-  SELECT *, coalesce(sum(strlen(record)) OVER (PARTITION BY segment ORDER BY page_id, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM m
+  SELECT *, substr(sha256(record), 1, 2) AS pick,
+    coalesce(sum(strlen(record)) OVER (PARTITION BY segment ORDER BY page_id, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM m
 )
 SELECT segment, CAST(start AS BIGINT) AS start, CAST(strlen(record) AS BIGINT) AS bytes, CASE pick WHEN '0a' THEN 'altered' ELSE 'missing' END AS kind,
-  sha256(record) AS digest, CASE pick WHEN '0a' THEN sha256(broken) END AS found
+  sha256(record) AS digest, CASE pick WHEN '0a' THEN sha256(left(record, length(record) - 1) || 'X') END AS found
 FROM p WHERE pick IN ('0a', '0b')""",
     } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -30,20 +32,43 @@ def test_planted_license_lines_are_found(spark):
 
 
 def test_audit_finds_what_differs(spark):
-    rows = [(i, f"record {i}" * (i % 5 + 1)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "id long, body string").selectExpr("id", "cast(body as binary) as record")
-    left = merkle.placed(merkle.hashed(df), "id", 512).cache()
-    right = left.where("id <> 1500").withColumn("digest", merkle.F.when(merkle.F.col("id").isin(3, 2999), "bad").otherwise(merkle.F.col("digest")))
-    extra = spark.createDataFrame([(9, 7, 4, "new")], "segment long, start long, bytes long, digest string")
-    cols = ["segment", "start", "bytes", "digest"]
-    got = {(r.segment, r.start): r.kind for r in merkle.audit(left.select(cols), right.select(cols).unionByName(extra)).collect()}
-    at = {r.id: (r.segment, r.start) for r in left.collect()}
-    assert got == {at[1500]: "missing", at[3]: "altered", at[2999]: "altered", (9, 7): "extra"}
-    assert merkle.audit(left.select(cols), left.select(cols)).count() == 0
-    assert merkle.audit(left.select(cols).limit(0), left.select(cols).limit(0)).count() == 0
-    assert merkle.audit(left.select(cols), left.select(cols).limit(0)).count() == 3000
-    null = spark.createDataFrame([(None, None, None)], "id long, url string, html string").select("id", merkle.warc_record(merkle.F.col("url"), merkle.F.col("html")).alias("record"))
-    assert merkle.placed(merkle.hashed(null), "id").first().segment == 0
+    F = merkle.F
+    rows = [(i, f"http://x/{i}", f"record {i}" * (i % 5 + 1)) for i in range(3000)] + [(None, None, None), (-7, "u", ""), (5, "http://x/5", "record 5"), (9, "long", "w " * 900_000)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "id long, url string, html string, start int, digest string").repartition(5)
+    pages = df.select("id", "start", "digest", merkle.warc_record(F.col("url"), F.col("html")).alias("record"))
+    blocks = merkle.archived(pages, "id", per_segment=512).cache()
+    left = merkle.manifest(blocks).cache()
+    want, at, last = {}, 0, None  # by brute force
+    ordered = sorted(((-1 if r.id is None else r.id), hashlib.sha256(r.record).hexdigest(), len(r.record)) for r in pages.collect())
+    for i, digest, n in ordered:
+        at = 0 if i // 512 != last else at
+        last = i // 512
+        want[(last, at)] = (n, digest)
+        at += n
+    assert {(r.segment, r.start): (r.bytes, r.digest) for r in left.collect()} == want
+    bad = {k: v for k, v in want.items() if v[1][:2] in ("0a", "0b")}
+    got = {(r.segment, r.start): (r.bytes, r.digest, r.kind) for r in merkle.audit(left, merkle.manifest(merkle.with_faults(blocks, "0a", "0b"))).collect()}
+    assert got == {k: (*v, "altered" if v[1][:2] == "0a" else "missing") for k, v in bad.items()} and bad
+    assert merkle.audit(left, left).count() == 0 and merkle.audit(left.limit(0), left.limit(0)).count() == 0
+    assert {r.kind for r in merkle.audit(left, left.limit(0)).collect()} == {"missing"} and merkle.audit(left.limit(0), left).count() == len(rows)
+
+
+def test_audit_pairs_records_of_one_offset(spark):
+    make = lambda rows: spark.createDataFrame(rows, "segment long, start long, bytes long, digest string")
+    audit = lambda a, b: sorted((r.segment, r.start, r.kind, r.digest, r.found) for r in merkle.audit(make(a), make(b)).collect())
+    assert audit([(1, 5, 3, "x"), (1, 5, 3, "x")], [(1, 5, 3, "x")]) == [(1, 5, "missing", "x", None)]
+    assert audit([(1, 5, 3, "a"), (1, 5, 3, "b")], [(1, 5, 3, "c"), (1, 5, 3, "d")]) == [(1, 5, "altered", "a", "c"), (1, 5, "altered", "b", "d")]
+    assert audit([(1, 5, 3, "a"), (1, 5, 3, "k")], [(1, 5, 3, "k"), (1, 5, 3, "k"), (None, None, 0, "n")]) == [(0, 0, "extra", None, "n"), (1, 5, "altered", "a", "k")]
+    far = [(s, o, 1, f"{s}:{o}") for s in (-300, 0, 5, 70_000) for o in (0, 1 << 30, 1 << 41)]
+    assert audit(far, far[:-1]) == [(70_000, 1 << 41, "missing", f"70000:{1 << 41}", None)]
+
+
+def test_unreadable_bytes_are_records():
+    one = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert list(merkle.spans(one + one)) == [(0, len(one)), (len(one), 2 * len(one))]
+    assert list(merkle.spans(bytes(4) + one)) == [(4, 4 + len(one))]
+    assert list(merkle.spans(b"junk" + one)) == [(0, 4), (4, 4 + len(one))]
+    assert list(merkle.spans(b"WARC/1.1\r\nno length\r\n\r\n" + one))[1][1] - len(one) == 23
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
