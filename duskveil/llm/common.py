@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Most bytes of one Arrow batch handed to Python; one row may be larger.
 BATCH_BYTES = 4 << 20
+#: A key is hot if it has more rows than this, and more than one in HOT_KEYS of all: so there are at most HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 1 << 16, 4096
 
 _shipped: set[str] = set()
 
@@ -36,10 +38,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this machine only where none is set, as in tests."""
+    """The cluster's shared folder; a folder of this machine only where none is set and all tasks run on it, as in tests."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.gettempdir()}/duskveil-{sc.applicationId}"
     return folder.rstrip("/")
 
@@ -52,6 +56,25 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_join(many: DataFrame, one: DataFrame, on: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """many joined to the row that one has for each value of ``on``, with no task that holds all rows of a hot key.
+
+    Keys of over ``HOT_ROWS`` rows that are over 1/``HOT_KEYS`` of the table, ``HOT_KEYS`` of them at most, meet their rows
+    of ``one`` by broadcast where many is read; the others are shuffled. ``counts`` (on, count) may be given; many should
+    be a stored table, as it is read again, and hold no null keys.
+    """
+    total = many.count()
+    if total <= HOT_ROWS:
+        return many.join(one, on, how)
+    counts = counts if counts is not None else many.groupBy(on).count()
+    hot = [r[0] for r in counts.where(F.col("count") > max(HOT_ROWS, total // HOT_KEYS)).select(on).collect()]
+    if not hot:
+        return many.join(one, on, how)
+    keys = F.broadcast(many.sparkSession.createDataFrame([(k,) for k in hot], many.select(on).schema))
+    theirs = F.broadcast(one.join(keys, on, "left_semi"))
+    return many.join(keys, on, "left_semi").join(theirs, on, how).unionByName(many.join(keys, on, "left_anti").join(one, on, how))
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 of each string of an Arrow column; null gives b''."""
     for x in column.cast(pa.large_binary()):

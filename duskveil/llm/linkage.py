@@ -2,8 +2,12 @@
 
 A bucket table has rows (key, id): two ids that share a key are candidates. ``bucket_links`` returns verified links that
 connect, within every bucket, exactly what all verified pairs of that bucket would connect (a spanning forest), so a
-bucket of K close items gives at most K - 1 links. Buckets over ``block`` members are cut into blocks and each pair of
-blocks is one unit of work: no task ever holds more than two blocks.
+bucket of K close items gives at most K - 1 links. Rows are dealt by ranges of (key, id), so a hot key lies in many tasks;
+its members are cut into blocks of ``block``, and no unit of work holds more than two blocks.
+
+A bucket of many blocks is not compared whole. First each block is linked within itself; then one member of each component
+found so far; and then only members outside the bucket's largest component meet the bucket's other blocks, as all links
+that are left must have such a member at an end. A group of K close items costs K comparisons and K / ``block`` leaders.
 """
 
 from __future__ import annotations
@@ -12,41 +16,69 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-_MEMBER = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("block", pa.int64())])
+_MEMBER = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("run", pa.int64()), ("part", pa.int32())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _shared_keys(block: int) -> Callable:
-    """Of rows sorted by key: those whose key occurs again, with the number of their block in the key's run."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key those whose key occurs again, with their place in the key's run and the run's length; of the
+    partition's first and last run, which may go on elsewhere, all rows, with length -1."""
+    part = TaskContext.get().partitionId()
+    now, held, first = None, [], True
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None  # the last row, not yet sent
-        run = 0  # its place within its key's run
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, item = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if last is not None:
-                key, item = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], item])
-            new = np.empty(len(key), bool)
-            new[0], new[1:] = True, key[1:] != key[:-1]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            place = np.arange(len(key)) - start
-            place[: len(key) if not new[1:].any() else int(np.argmax(new[1:])) + 1] += run if last is not None else 0
-            again = place > 0  # not the first of its run
-            again[:-1] |= ~new[1:]
-            again_sent = again[:-1]
-            yield common.batch(_MEMBER, key[:-1][again_sent], item[:-1][again_sent], place[:-1][again_sent] // block)
-            last, run = (int(key[-1]), int(item[-1])), int(place[-1])
-        if last is not None and run > 0:
-            yield common.batch(_MEMBER, [last[0]], [last[1]], [run // block])
-
-    return work
+    def made(key: np.ndarray, item: np.ndarray, place: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+        return common.batch(_MEMBER, key, item, place, run, np.full(len(key), part, np.int32))
+
+    def closed(edge: bool) -> Iterator[pa.RecordBatch]:
+        item = np.concatenate(held)
+        if edge or len(item) > 1:
+            yield made(np.full(len(item), now), item, np.arange(len(item)), np.full(len(item), -1 if edge else len(item)))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, item = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if now is not None and key[0] != now:
+            yield from closed(first)
+            held, first = [], False
+        now = key[0]
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        held.append(item[: cuts[0]] if len(cuts) else item)
+        if len(cuts):
+            yield from closed(first)
+            first = False
+            size = np.diff(cuts)
+            run = np.repeat(size, size)
+            inner = slice(cuts[0], cuts[-1])
+            place = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+            again = run > 1
+            yield made(key[inner][again], item[inner][again], place[again], run[again])
+            now, held = key[-1], [item[cuts[-1] :]]
+    if held:
+        yield from closed(True)
+
+
+def blocks_of(table: DataFrame, block: int) -> DataFrame:
+    """(key, id, block, last): the rows of table(key, id) whose key occurs again, each key's cut into blocks 0 to last."""
+    spark = common.prepare(table.sparkSession)
+    made = table.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_runs, "key long, id long, place long, run long, part int")
+    made = common.stored(made, "runs")
+    edges = sorted((r["key"], r["part"], r["count"]) for r in made.where("run < 0").groupBy("key", "part").count().collect())  # two rows a partition
+    total: dict[int, int] = {}
+    rows = []
+    for key, part, n in edges:
+        rows.append((key, part, total.get(key, 0)))
+        total[key] = total.get(key, 0) + n
+    outer = spark.createDataFrame([(k, p, s, total[k]) for k, p, s in rows], "key long, part int, before long, whole long")
+    made = made.join(F.broadcast(outer), ["key", "part"], "left")
+    place, run = F.col("place") + F.coalesce("before", F.lit(0)), F.coalesce("whole", "run")
+    return made.where(run > 1).select("key", "id", F.floor(place / block).cast("long").alias("block"), F.floor((run - 1) / block).cast("long").alias("last"))
 
 
 def forest(ids: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -88,27 +120,56 @@ def forest(ids: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> li
     return out
 
 
-def bucket_links(table: DataFrame, near_of: Callable, block: int = 2048, items: DataFrame | None = None) -> DataFrame:
+def bucket_links(table: DataFrame, near_of: Callable, block: int = 512, items: DataFrame | None = None) -> DataFrame:
     """Links (a, b) among ids that share a key of table(key, id) and are near.
 
     near_of(ids, payload) gives the near function of ``forest`` for one unit; payload holds what items(id, payload
     binary) has of the ids, or None. Empty tables give no links; a repeated row is the same as one.
     """
-    common.prepare(table.sparkSession)
-    members = table.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared_keys(block), "key long, id long, block long")
-    members = common.stored(members, "buckets")
-    wide = members.groupBy("key").agg(F.max("block").alias("last")).where("last > 0")
-    units = members.join(wide, "key", "left").select("key", "id", "block", F.coalesce("last", F.lit(0)).alias("last"))
-    return unit_links(units, near_of, items)
+    return block_links(blocks_of(table, block), near_of, items)
+
+
+def block_links(members: DataFrame, near_of: Callable, items: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among the ids of each key of members(key, id, block, last), a stored table whose keys are cut into
+    blocks 0 to last. near_of and items as in ``bucket_links``."""
+    own = members.select("key", "id", F.col("block").alias("i"), F.col("block").alias("j"))
+    links = common.stored(unit_links(own, near_of, items), "links")
+    wide = members.where("last > 0")
+    if wide.isEmpty():
+        return links
+
+    def rooted(links: DataFrame) -> DataFrame:
+        roots = wide.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        return common.stored(roots.select("key", "id", "block", "last", "root"), "rooted")
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """(key, main, others): of the keys that hold several components the largest one, and the members outside it."""
+        sizes = rows.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("n"))
+        return sizes.select("key", F.col("top.root").alias("main"), (F.col("n") - F.col("top.count")).alias("others")).where("others > 0")
+
+    size = wide.groupBy("key", "block").count().agg(F.max("count")).first()[0]  # members of a block
+    rows = rooted(links)
+    led = common.hot_join(rows, apart(rows), "key").groupBy("key", "root").agg(F.min("id").alias("id"))
+    led = common.stored(blocks_of(led.select("key", "id"), size), "leaders")
+    pairs = led.select("key", "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other"))
+    more = common.stored(unit_links(pairs.select("key", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), near_of, items), "links")
+    links = common.stored(links.unionByName(more).distinct(), "links")
+    rows = rooted(links)
+    left = common.stored(apart(rows), "apart")
+    if left.isEmpty():
+        return links
+    rows = common.hot_join(rows, left, "key").withColumn("groups", F.ceil(F.col("others") / size).cast("long"))
+    group = F.pmod(F.xxhash64("id"), F.col("groups"))
+    outside = rows.where("root <> main").select("key", "id", "last", group.alias("i"))
+    met = outside.select("key", "id", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("j"))
+    every = rows.select("key", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("i"), F.col("block").alias("j"))
+    return links.unionByName(unit_links(met.unionByName(every), near_of, items)).distinct()
 
 
 def unit_links(units: DataFrame, near_of: Callable, items: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) among the ids of each key of units(key, id, block, last): every pair of the blocks 0 to last is one
-    unit of work. near_of and items as in ``bucket_links``."""
+    """Links (a, b) among the ids of each unit (key, i, j) of units(key, id, i, j); near_of and items as above."""
     loaded = items is not None
     common.prepare(units.sparkSession)
-    units = units.select("key", "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other"))
-    units = units.select("key", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     if loaded:
         units = units.join(items, "id").select("key", "id", "i", "j", "payload")
     units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
@@ -153,16 +214,18 @@ def unit_links(units: DataFrame, near_of: Callable, items: DataFrame | None = No
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable, for every id that has a link, by alternating large-star and small-star.
 
-    A node's links are never gathered: each step is a minimum per node (combined before the shuffle) joined back.
+    A node's links are never gathered: each step is a minimum per node (combined before the shuffle) joined back, the
+    centres of large stars by broadcast (``common.hot_join``).
     """
     edges = common.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count"))
+        large = common.hot_join(both, low.select("u", F.least("u", "m").alias("m")), "u", counts=low.select("u", "count"))
+        large = common.stored(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count"))
+        small = common.hot_join(large, low.select("u", "m"), "u", counts=low.select("u", "count"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = common.stored(small.where("u > v").distinct(), "edges")
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).cast("string")).first()

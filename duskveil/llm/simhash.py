@@ -2,8 +2,8 @@
 
 Two 64-bit fingerprints that differ in at most 4 bits differ in at most 2 bits in one of their 32-bit halves. Each half
 is a table; both sides enter it under every value of their Hamming ball of radius 1 (33 keys), so values at distance 2 or
-less meet. Whole distances are then verified. Buckets stay small whatever the number of fingerprints: a random pair
-shares a half's neighbourhood with probability 529 / 2^32.
+less meet. Whole distances are then verified. A pair of random fingerprints meets by chance with probability 2 x 529 / 2^32,
+so n fingerprints have about n^2 / 8 million such pairs: 25 to a fingerprint at a hundred million, 250 at a billion.
 
 ``near_classes`` serves similarities that sign bits cannot separate: at a Jaccard similarity of 0.8 fingerprints differ
 in 9 bits at the median and up to 18. There the segments are tuples of min-wise hashes of the shingle set (equal with
@@ -104,10 +104,11 @@ def simhash_classes(docs: DataFrame, k: int = 4, most: int = 4) -> DataFrame:
     made = common.stored(fingerprints(docs, k), "fingerprints")
     classes = common.stored(made.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "classes")
     roots = linkage.components(hamming_links(classes.select("fp"), most)).select(F.col("id").alias("fp"), "root")
-    named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = common.stored(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "root").select("fp", "component_id", "copies")
-    return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+    named = common.hot_join(named, lowest, "root").select("fp", "component_id", "copies")
+    made = common.hot_join(made, named, "fp", counts=classes.select("fp", F.col("copies").alias("count")))
+    return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
 # --- similarity classes -----------------------------------------------------------------------------------------------
@@ -238,7 +239,7 @@ def exact_links(docs: DataFrame, classes: DataFrame, doubts: DataFrame, k: int,
     """Links (a, b) between classes(id, low, mark, size) of a similarity of ``least`` or more, on whole shingle sets.
 
     doubts are links that hold every pair in question together; each of their components is cut into blocks of about
-    ``BLOCK_BYTES`` of sets and all pairs of blocks are compared, so a set travels once unless its component is large.
+    ``BLOCK_BYTES`` of sets, which meet as in ``linkage.block_links``, so a set travels once unless its component is large.
     """
     groups = linkage.components(doubts).withColumnRenamed("root", "key")
     groups = groups.unionByName(groups.select("key", F.col("key").alias("id"))).distinct()
@@ -247,8 +248,8 @@ def exact_links(docs: DataFrame, classes: DataFrame, doubts: DataFrame, k: int,
     texts, rows = _marked(docs), asked.select("id", "low", F.col("mark").alias("of"))
     texts = texts.join(rows, (texts["mark"] == rows["of"]) & texts["doc_id"].eqNullSafe(rows["low"])).select("id", "text")
     items = common.stored(_sets(texts.dropDuplicates(["id"]), k), "sets")
-    units = asked.join(sizes, "key").select("key", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), (F.col("blocks") - 1).alias("last"))
-    return linkage.unit_links(units, _similar(least), items)
+    units = common.hot_join(asked, sizes, "key").select("key", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), (F.col("blocks") - 1).alias("last"))
+    return linkage.block_links(common.stored(units, "units"), _similar(least), items)
 
 
 def near_classes(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
@@ -266,10 +267,10 @@ def near_classes(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     doubts = common.stored(linkage.bucket_links(table, _doubtful(least), items=classes.select("id", "payload")), "doubts")
     rows = classes.select("id", F.col("one.doc_id").alias("low"), F.col("one.mark").alias("mark"), "size")
     roots = linkage.components(exact_links(docs, rows, doubts, k, least))
-    named = classes.select("id", "low").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = common.stored(classes.select("id", "low").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "root").select("id", "component_id")
-    return made.select("doc_id", "mark", "id").join(named, "id").select("doc_id", "mark", "component_id")
+    named = common.hot_join(named, lowest, "root").select("id", "component_id")
+    return common.hot_join(made.select("doc_id", "mark", "id"), named, "id").select("doc_id", "mark", "component_id")
 
 
 def deduplicated(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:

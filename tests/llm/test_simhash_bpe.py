@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from duskveil.llm import bpe, linkage, simhash
+from duskveil.llm import bpe, common, linkage, simhash
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -168,3 +168,34 @@ def test_documents(spark, docs, none):
     assert bpe.shared_chunks(more).count() > 3
     assert bpe.encoded(none, PATH).count() == 0
     assert {r.doc_id: r.text for r in bpe.decoded(bpe.encoded(docs, PATH), PATH).collect()}[9] == docs.where("doc_id = 9").first().text
+
+
+def test_hot_keys_lie_in_many_tasks(spark, monkeypatch):
+    """One key on 60,000 of 90,000 rows: blocks are right at the edges of partitions, and one leader stands for a block."""
+    rows = [(7, i) for i in range(60_000)] + [(8 + i % 14_000, i) for i in range(30_000)] + [(3, 1), (3, 1), (3, 5)]
+    table = spark.createDataFrame(rows, "key long, id long").repartition(8)
+    got = linkage.blocks_of(table, 512).toPandas()
+    hot = got[got.key == 7]
+    assert sorted(hot.id) == list(range(60_000)) and set(hot["last"]) == {117} and hot.groupby("block").size().max() == 512
+    assert sorted(got[got.key == 3].id) == [1, 1, 5] and len(got) == 90_003
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins small partitions
+    kept, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, what: kept.append(stored(df, what)) or kept[-1])
+    assert linkage.blocks_of(table, 512).count() == 90_003
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in kept[0].groupBy("part").count().collect()) < 40_000
+    seen = spark.sparkContext.accumulator(0)
+
+    def near_of(ids, _):
+        def near(i, others):
+            seen.add(len(others))
+            return (ids[others] % 3000 == 0) == (ids[i] % 3000 == 0)
+
+        return near
+
+    links = linkage.bucket_links(table.where("key = 7"), near_of, 512)
+    roots = {r.id: r.root for r in linkage.components(links).collect()}
+    assert all(roots.get(i, i) == int(i % 3000 > 0) for i in range(60_000)) and seen.value < 60_000 * 200  # of 3.6 * 10^9 pairs
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    joined = common.hot_join(table, spark.createDataFrame([(7, "a"), (8, "b")], "key long, name string"), "key", "left")
+    assert joined.count() == 90_003 and joined.where("name = 'a'").count() == 60_000 and joined.where("name = 'b'").count() == sum(k == 8 for k, _ in rows)
