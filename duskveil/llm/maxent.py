@@ -1,21 +1,24 @@
 """A hashed maximum-entropy language model with a class-factored softmax, and a unigram base.
 
-    P(w | h) = P(class of w | h) * P(w | its class)
-
-Classes are a fixed number: one for the end of a text, one for each of the most frequent words, the others by a hash of
-a word's last two bytes. P(class | h) is a maximum-entropy model over hashed features of the two words before: the word
-before, the one before that (a skip feature) and both together. It is trained by distributed gradient updates: in each
-round every task runs stochastic gradient descent (Adagrad, sparse mini-batches in numpy) over its share of that round's
-training documents, starting from the common weights, and the updates are averaged by tokens in a shuffle over blocks of
-weights. All training documents take part, each in one round. P(w | class) comes from the counts of all training tokens,
-with one more for every word of the class and for what it has not seen.
+    P(w | h) = P(class | h) * P(slot | class, h) * P(w | class, slot)
+
+A class has ``SLOTS`` slots. The end of a text and each of the ``OWN`` most frequent words has a slot of its own, so for
+them the last factor is 1; all other words share the rest by a hash of their last three bytes. Both softmaxes are
+maximum-entropy models over hashed features of the history, in which a word is known by its class and slot: the word before
+(n-gram), the one before that (skip) and both together for the class; the first two, each with the class, for the slot.
+They are trained by distributed gradient updates: in each round every task runs stochastic gradient descent (Adagrad, sparse
+mini-batches in numpy) over its share of that round's training documents, starting from the common weights, and the updates
+of the rows it touched are averaged by tokens, first over groups of tasks, then over all. All training documents take part,
+each in one round. P(w | class, slot) comes from the counts of all training tokens, with one more for every word of the
+slot and for what it has not seen: an open vocabulary has no weights of its own.
 
 Counts of the ``HEAD`` most frequent words are broadcast (a fixed size); all other words of a text are joined to the
 table of counts by hash, which is free of hot keys, as the hot words are in the head.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, known by 64-bit hashes; every text ends with one end token. Null
-text is the empty text: its end token only. Documents without doc_id learn along and are not held out. Repeated rows each
-get their row. Without training documents both scores use empty counts. An empty table gives an empty result.
+text is the empty text: its end token only. A very long text is scored in stretches of ``MINI`` tokens, its history going on
+from one to the next. Documents without doc_id learn along and are not held out. Repeated rows each get their row. Without
+training documents both scores use empty counts. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,15 +34,46 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words whose counts are broadcast; classes, and how many of them are single words; hash buckets of each feature.
-HEAD, CLASSES, OWN, BUCKETS, FEATURES = 1 << 18, 32, 11, 1 << 13, 3
-#: Rounds, tokens of a mini-batch, learning rate; distinct words that a task counts before it sends them on.
-ROUNDS, MINI, RATE, HELD_WORDS = 2, 8192, 0.1, 1 << 20
+#: Words whose counts are broadcast; classes, slots of a class, words with a slot of their own; hash buckets of a feature of the
+#: class and of a feature of the slot.
+HEAD, CLASSES, SLOTS, OWN, BUCKETS, SLOT_BUCKETS = 1 << 18, 16, 32, 127, 1 << 13, 1 << 13
+LEAVES = CLASSES * SLOTS
+#: Rounds, tokens of a mini-batch, learning rate; distinct words that a task counts before it sends them on; groups of tasks
+#: whose updates are summed first; words that a worker keeps the hashes of.
+ROUNDS, MINI, RATE, HELD_WORDS, GROUPS, MEMO = 2, 8192, 0.1, 1 << 20, 16, 1 << 18
 _END = np.uint64(xxhash.xxh64_intdigest(b" end"))  # no word has a space
-_BLOCK = 1024  # feature rows of a block of weights
+_BLOCK = 512  # feature rows of a block of weights
+
+_SCATTERED = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+
+
+class _Words(dict):
+    """Numbers of words in the order first seen, with hash and leaf by ending of each; forgets all beyond ``MEMO``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hash, self.leaf = np.empty(MEMO, np.uint64), np.empty(MEMO, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        k = len(self)
+        if k == MEMO:
+            raise MemoryError
+        one, two, three = word[-1], word[-2] if len(word) > 1 else 32, word[-3] if len(word) > 2 else 32
+        self[word] = k
+        self.hash[k] = xxhash.xxh64_intdigest(word)
+        self.leaf[k] = 1 + OWN + int(_SCATTERED[int(_SCATTERED[two << 8 | one]) & 0xFFFF ^ three]) % (LEAVES - 1 - OWN)
+        return k
+
 
-_suffixes = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-_SUFFIX_CLASS = (1 + OWN + _suffixes % np.uint64(CLASSES - 1 - OWN)).astype(np.int64)
+_words = None
+
+
+def _numbered(words: list[bytes]) -> np.ndarray:
+    """The number of each word; a task's words repeat, and a look-up is cheaper than a hash."""
+    global _words
+    if _words is None or len(_words) + len(words) > MEMO:
+        _words = _Words()
+    return np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -48,73 +82,88 @@ def held_out(doc_id: Column) -> Column:
 
 
 def tokens_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, suffix classes) of a text's words and its end."""
+    """(hashes, leaves by ending) of a text's words and its end. Leaf k is slot k // CLASSES of class k % CLASSES."""
     words = common.words_of(text)
     n = len(words)
-    out, cls = np.empty(n + 1, np.uint64), np.empty(n + 1, np.int64)
-    out[n], cls[n] = _END, 0
-    if n:
-        out[:n] = common.hashes(words, n)
-        raw = np.frombuffer(b" " + b" ".join(words), np.uint8)
-        last = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1  # of each word, its last byte
-        cls[:n] = _SUFFIX_CLASS[raw[last].astype(np.int64) << 8 | raw[last - 1]]
-    return out, cls
+    out, leaf = np.empty(n + 1, np.uint64), np.empty(n + 1, np.int64)
+    out[n], leaf[n] = _END, 0
+    for a in range(0, n, MEMO):
+        at = _numbered(words[a : a + MEMO])
+        out[a : a + len(at)], leaf[a : a + len(at)] = _words.hash[at], _words.leaf[at]
+    return out, leaf
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, cls, n): tokens of all training documents by hash, with their suffix class."""
-    schema = pa.schema([("word", pa.int64()), ("cls", pa.int32()), ("n", pa.int64())])
+    """(word, leaf, n): tokens of all training documents by hash, with their leaf by ending."""
+    schema = pa.schema([("word", pa.int64()), ("leaf", pa.int32()), ("n", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, cls, n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        word, leaf, n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         for b in batches:
             made = [tokens_of(t) for t in common.text_bytes(b.column(0))]
             if not made:
                 continue
             w, first, c = np.unique(np.concatenate([m[0] for m in made]), return_index=True, return_counts=True)
             both = np.concatenate([word, w])
-            k = np.concatenate([cls, np.concatenate([m[1] for m in made])[first]])
+            k = np.concatenate([leaf, np.concatenate([m[1] for m in made])[first]])
             word, first, inverse = np.unique(both, return_index=True, return_inverse=True)
-            cls, n = k[first], np.bincount(inverse, np.concatenate([n, c]), len(word)).astype(np.int64)
+            leaf, n = k[first], np.bincount(inverse, np.concatenate([n, c]), len(word)).astype(np.int64)
             if len(word) > HELD_WORDS:
-                yield common.batch(schema, common.signed(word), cls.astype(np.int32), n)
-                word, cls, n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+                yield common.batch(schema, common.signed(word), leaf.astype(np.int32), n)
+                word, leaf, n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         if len(word):
-            yield common.batch(schema, common.signed(word), cls.astype(np.int32), n)
+            yield common.batch(schema, common.signed(word), leaf.astype(np.int32), n)
 
     common.prepare(docs.sparkSession)
-    made = docs.select(F.col("text").cast("string")).mapInArrow(work, "word long, cls int, n long")
-    return made.groupBy("word").agg(F.first("cls").alias("cls"), F.sum("n").alias("n"))
+    made = docs.select(F.col("text").cast("string")).mapInArrow(work, "word long, leaf int, n long")
+    return made.groupBy("word").agg(F.first("leaf").alias("leaf"), F.sum("n").alias("n"))
 
 
 @dataclass
 class Model:
     words: np.ndarray  # hashes of the head, ascending
     counts: np.ndarray
-    own: np.ndarray  # hashes of the words with their own class, ascending
-    own_class: np.ndarray
+    own: np.ndarray  # hashes of the words with their own leaf, ascending
+    own_leaf: np.ndarray
     n: int
     v: int
-    class_n: np.ndarray
-    class_v: np.ndarray
-    bias: np.ndarray
-    weights: np.ndarray = field(repr=False)  # features * buckets x classes
-
-    def classes(self, word: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    leaf_n: np.ndarray
+    leaf_v: np.ndarray
+    bias: np.ndarray  # of classes
+    slot_bias: np.ndarray  # classes x slots
+    weights: np.ndarray = field(repr=False)  # rows of the class's features x classes
+    slot_weights: np.ndarray = field(repr=False)  # rows of the slot's features x slots
+
+    def leaves(self, word: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         if not len(self.own):
-            return cls
+            return leaf
         at = np.minimum(np.searchsorted(self.own, word), len(self.own) - 1)
-        return np.where(self.own[at] == word, self.own_class[at], cls)
+        return np.where(self.own[at] == word, self.own_leaf[at], leaf)
+
+    def log_share(self) -> np.ndarray:
+        """log10 of what a leaf's counts are divided by; a word alone in its leaf has all of it but what is unseen."""
+        return np.log10(self.leaf_n + self.leaf_v + 1.0)
 
 
-def features_of(word: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """features x tokens: rows of the weights that each token's history names; start: where texts begin."""
-    one = np.concatenate([[_END], word[:-1]])
-    two = np.concatenate([[_END, _END], word[:-2]])[: len(word)]
-    two[start] = _END
-    mask = np.uint64(BUCKETS - 1)
-    made = [common.mix(one), common.mix(two ^ np.uint64(0x5851F42D4C957F2D)), common.mix(one * np.uint64(31) + two)]
-    return np.stack([(m & mask).astype(np.uint16) + np.uint16(k * BUCKETS) for k, m in enumerate(made)])
+def features_of(leaf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the class's weights, rows of the slot's weights), features x tokens, that each token's history names;
+    start: where texts begin."""
+    one = np.concatenate([[0], leaf[:-1]])
+    two = np.concatenate([[0, 0], leaf[:-2]])[: len(leaf)]
+    one[start] = 0
+    two[start] = 0
+    two[start[start + 1 < len(leaf)] + 1] = 0  # a second token's skip feature is the end of the text before
+    both = (one * 0x9E3779B1 + two * 0x85EBCA6B) >> 7 & (BUCKETS - 1)
+    rows = np.stack([one, LEAVES + two, 2 * LEAVES + both]).astype(np.uint16)
+    cls = leaf % CLASSES
+    slot = np.stack([one * CLASSES + cls, two * CLASSES + cls])
+    if LEAVES * CLASSES > SLOT_BUCKETS:
+        slot = slot * 0x9E3779B1 >> 9 & (SLOT_BUCKETS - 1)
+    slot[1] += SLOT_BUCKETS
+    return rows, slot.astype(np.uint16)
+
+
+ROWS, SLOT_ROWS = 2 * LEAVES + BUCKETS, 2 * SLOT_BUCKETS
 
 
 def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -125,30 +174,42 @@ def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
+def _lowered(z: np.ndarray) -> np.ndarray:
+    """z less its maximum, so that exp() of it neither overflows nor loses a whole row."""
+    top = z.max()
+    return z - top if top - z.min() < 60 else z - z.max(1, keepdims=True)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
+    z = np.exp(_lowered(z))
     z /= z.sum(1, keepdims=True)
     return z
 
 
-def descend(weights: np.ndarray, bias: np.ndarray, acc: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
-    """One Adagrad step on a mini-batch, in place; only rows that occur are touched."""
+def descend(weights: np.ndarray, bias: np.ndarray, acc: np.ndarray, rows: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """One Adagrad step on a mini-batch, in place; gives the rows that occur, the only ones touched."""
     g = _softmax(logits(weights, rows) + bias)
     n = len(g)
-    g[np.arange(n), cls] -= 1
+    g[np.arange(n), truth] -= 1
     flat = rows.ravel()
     order = np.argsort(flat, kind="stable")  # 16-bit integers: a radix sort
     found = flat[order]
     first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
     size = np.diff(np.append(first, len(found)))
-    step = g.take(order[first] % n, axis=0)  # most rows occur once
+    step = g.take(order[first] % n, axis=0)  # many rows occur once
     many = np.repeat(size > 1, size)
     if many.any():
         step[size > 1] = np.add.reduceat(g.take(order[many] % n, axis=0), np.cumsum(np.append(0, size[size > 1][:-1])), axis=0)
     at = found[first]
     acc[at] += step * step
     weights[at] -= RATE * step / np.sqrt(acc[at])
+    return at
+
+
+def log_probability(z: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """log10 of the softmax of z at truth."""
+    z = _lowered(z)
+    return (z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(1))) / np.log(10)
 
 
 def _head(counts: DataFrame) -> Model:
@@ -156,67 +217,102 @@ def _head(counts: DataFrame) -> Model:
     top = common.greatest(counts, "n", "word", HEAD).toArrow()  # about HEAD rows of 20 bytes
     top = top.sort_by([("n", "descending"), ("word", "ascending")])
     word = top.column("word").to_numpy().view(np.uint64)
-    n, cls = top.column("n").to_numpy(), top.column("cls").to_numpy().astype(np.int64)
-    single = np.flatnonzero(cls != 0)[:OWN]
-    by = counts.groupBy("cls").agg(F.sum("n"), F.count("*")).collect()  # a row per class
-    class_n, class_v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for c, tokens, words in by:
-        class_n[c], class_v[c] = tokens, words
+    n, leaf = top.column("n").to_numpy(), top.column("leaf").to_numpy().astype(np.int64)
+    single = np.flatnonzero(leaf != 0)[:OWN]
+    by = counts.groupBy("leaf").agg(F.sum("n"), F.count("*")).collect()  # a row per leaf
+    leaf_n, leaf_v = np.zeros(LEAVES, np.int64), np.zeros(LEAVES, np.int64)
+    for k, tokens, words in by:
+        leaf_n[k], leaf_v[k] = tokens, words
     for k, i in enumerate(single):
-        class_n[cls[i]] -= n[i]
-        class_v[cls[i]] -= 1
-        class_n[1 + k], class_v[1 + k] = n[i], 1
+        leaf_n[leaf[i]] -= n[i]
+        leaf_v[leaf[i]] -= 1
+        leaf_n[1 + k], leaf_v[1 + k] = n[i], 1
     order, own = np.argsort(word), np.argsort(word[single])
-    bias = np.log((class_n + 1) / (class_n.sum() + CLASSES)).astype(np.float32)
-    return Model(word[order], n[order], word[single][own], 1 + own.astype(np.int64), total[0] or 0, total[1], class_n, class_v, bias, np.zeros((FEATURES * BUCKETS, CLASSES), np.float32))
+    table = (leaf_n + 1.0).reshape(SLOTS, CLASSES).T
+    bias, slot_bias = np.log(table.sum(1) / table.sum()), np.log(table / table.sum(1, keepdims=True))
+    weights, slot_weights = np.zeros((ROWS, CLASSES), np.float32), np.zeros((SLOT_ROWS, SLOTS), np.float32)
+    return Model(word[order], n[order], word[single][own], 1 + own.astype(np.int64), total[0] or 0, total[1], leaf_n, leaf_v, bias.astype(np.float32), slot_bias.astype(np.float32), weights, slot_weights)
 
 
 def _joined(made: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, suffix classes, where each text starts) of texts in a row."""
+    """(hashes, leaves by ending, where each text starts) of texts in a row."""
     return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]), np.cumsum([0, *[len(m[0]) for m in made[:-1]]])
 
 
+_DELTA = "block int, tokens long, rows binary, delta binary"
+_DELTA_ARROW = pa.schema([("block", pa.int32()), ("tokens", pa.int64()), ("rows", pa.binary()), ("delta", pa.binary())])
+_TABLE = ROWS // _BLOCK + 1  # blocks of the slots' table follow those of the classes'
+
+
+def _packed(table: int, touched: np.ndarray, delta: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(block, 0, rows, values in 16 bits) of a table's touched rows."""
+    at = np.flatnonzero(touched)
+    for k in np.unique(at // _BLOCK).tolist():
+        rows = at[at // _BLOCK == k]
+        yield k + table * _TABLE, 0, (rows % _BLOCK).astype("<u2").tobytes(), delta[rows].astype("<f2").tobytes()
+
+
+def _values(block: int, rows: bytes, delta: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, values) of an update: 16 bits a value from a task, 32 from a sum."""
+    at = np.frombuffer(rows, "<u2").astype(np.int64)
+    wide = len(delta) == 4 * len(at) * (CLASSES if block < _TABLE else SLOTS)
+    return at, np.frombuffer(delta, "<f4" if wide else "<f2").astype(np.float32).reshape(len(at), -1)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the updates of each block."""
+    sums: dict[int, np.ndarray] = {}
+    seen: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, rows, delta in zip(*(b.column(c).to_pylist() for c in (0, 2, 3))):
+            at, x = _values(k, rows, delta)
+            sums.setdefault(k, np.zeros((_BLOCK, x.shape[1]), np.float32))[at] += x
+            seen.setdefault(k, np.zeros(_BLOCK, bool))[at] = True
+    for k, x in sums.items():
+        at = np.flatnonzero(seen[k])
+        yield common.batch(_DELTA_ARROW, [k], [0], [at.astype("<u2").tobytes()], [x[at].astype("<f4").tobytes()])
+
+
 def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     """Learns from all of docs; counts are their word_counts."""
     spark = common.prepare(docs.sparkSession)
     model = _head(counts)
     texts = docs.select(F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)).alias("round"))
-    schema = pa.schema([("block", pa.int32()), ("tokens", pa.int64()), ("delta", pa.binary())])
-    blocks = FEATURES * BUCKETS // _BLOCK
     for r in range(rounds):
+        part = texts.where(F.col("round") == r)
         sent = spark.sparkContext.broadcast(model)  # a fixed size
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
-            weights, acc = own.weights.copy(), np.full(own.weights.shape, 1.0, np.float32)
+            weights, slot_weights = own.weights.copy(), own.slot_weights.copy()
+            acc, slot_acc = np.full(weights.shape, 1.0, np.float32), np.full(slot_weights.shape, 1.0, np.float32)
+            touched, slot_touched = np.zeros(len(weights), bool), np.zeros(len(slot_weights), bool)
             tokens = 0
             for b in batches:
                 made = [tokens_of(t) for t in common.text_bytes(b.column(0))]
                 if not made:
                     continue
-                word, cls, start = _joined(made)
-                rows, cls = features_of(word, start), own.classes(word, cls)
+                word, leaf, start = _joined(made)
+                leaf = own.leaves(word, leaf)
+                rows, slot_rows = features_of(leaf, start)
+                cls, slot = leaf % CLASSES, leaf // CLASSES
                 tokens += len(word)
                 for s in range(0, len(word), MINI):
-                    descend(weights, own.bias, acc, rows[:, s : s + MINI], cls[s : s + MINI])
-            if tokens:
-                delta = (weights - own.weights).reshape(blocks, -1).astype(np.float16)
-                yield common.batch(schema, list(range(blocks)), [tokens] * blocks, [d.tobytes() for d in delta])
-
-        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
-            for b in batches:
-                for k, n, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                    x = np.frombuffer(d.as_py(), np.float16).astype(np.float32) * n
-                    own = sums.setdefault(k, [0, np.zeros_like(x)])
-                    own[0] += n
-                    own[1] += x
-            for k, (n, x) in sums.items():
-                yield common.batch(schema, [k], [n], [(x / n).astype(np.float32).tobytes()])
-
-        part = texts.where(F.col("round") == r).select("text").mapInArrow(work, "block int, tokens long, delta binary")
-        for k, _, d in part.repartition("block").mapInArrow(average, "block int, tokens long, delta binary").collect():
-            model.weights[k * _BLOCK : (k + 1) * _BLOCK] += np.frombuffer(bytes(d), np.float32).reshape(_BLOCK, CLASSES)
+                    some = slice(s, s + MINI)
+                    touched[descend(weights, own.bias, acc, rows[:, some], cls[some])] = True
+                    slot_touched[descend(slot_weights, own.slot_bias[cls[some]], slot_acc, slot_rows[:, some], slot[some])] = True
+            if tokens:  # each update weighs as many tokens as made it
+                scale = np.float32(tokens / 2**16)
+                done = [(-1, tokens, b"", b""), *_packed(0, touched, (weights - own.weights) * scale), *_packed(1, slot_touched, (slot_weights - own.slot_weights) * scale)]
+                yield common.batch(_DELTA_ARROW, *([d[c] for d in done] for c in range(4)))
+
+        made = common.stored(part.select("text").mapInArrow(work, _DELTA), "updates")
+        tokens = made.agg(F.sum("tokens")).first()[0]
+        group = F.pmod(F.xxhash64("rows", "delta"), F.lit(GROUPS))
+        summed = made.where("block >= 0").repartition("block", group).mapInArrow(_summed, _DELTA)
+        for k, _, rows, delta in summed.repartition("block").mapInArrow(_summed, _DELTA).collect():  # a fixed size
+            at, x = _values(k, bytes(rows), bytes(delta))
+            (model.weights if k < _TABLE else model.slot_weights)[k % _TABLE * _BLOCK + at] += x * np.float32(2.0**16 / tokens)
     return model
 
 
@@ -231,21 +327,20 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        log_counts, share = np.log10(own.counts + 1.0), np.log10(own.class_n + own.class_v + 1.0)
+        log_counts, share = np.log10(own.counts + 1.0), own.log_share()
         for b in batches:
             texts = list(common.text_bytes(b.column(2)))
             if not texts:
                 continue
-            word, cls, start = _joined([tokens_of(t) for t in texts])
-            rows, cls = features_of(word, start), own.classes(word, cls)
-            value = np.empty(len(word))
+            word, leaf, start = _joined([tokens_of(t) for t in texts])
+            leaf = own.leaves(word, leaf)
+            rows, slot_rows = features_of(leaf, start)
+            cls, slot = leaf % CLASSES, leaf // CLASSES
+            value = -share[leaf]
             for s in range(0, len(word), MINI):
-                z = logits(own.weights, rows[:, s : s + MINI])
-                z += own.bias
-                top = z.max(1)
-                c = cls[s : s + MINI]
-                value[s : s + MINI] = (z[np.arange(len(c)), c] - top - np.log(np.exp(z - top[:, None]).sum(1))) / np.log(10)
-            value -= share[cls]
+                some = slice(s, s + MINI)
+                value[some] += log_probability(logits(own.weights, rows[:, some]) + own.bias, cls[some])
+                value[some] += log_probability(logits(own.slot_weights, slot_rows[:, some]) + own.slot_bias[cls[some]], slot[some])
             at = np.minimum(np.searchsorted(own.words, word), max(0, len(own.words) - 1))
             known = own.words[at] == word if len(own.words) else np.zeros(len(word), bool)
             counted = np.where(known, log_counts[at], 0.0) if len(own.words) else np.zeros(len(word))

@@ -5,7 +5,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from duskveil.llm import ann, langid, maxent, mixing, registry
 
@@ -63,7 +62,7 @@ def test_language_model(spark, docs, none):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(w in c for w in ws), n)
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base))
     out = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in out) > 0.99 * sum(r.base_score for r in out)  # both negative: at least a hundredth better
+    assert sum(r.score for r in out) > 0.97 * sum(r.base_score for r in out)  # both negative: at least three hundredths better
     some = maxent.language_model_scores(docs.select("doc_id", "text"))
     assert some.count() == docs.count() and all(math.isfinite(r.score) and r.score <= 0 for r in some.collect())
     assert maxent.language_model_scores(none).count() == 0
@@ -73,18 +72,52 @@ def test_model_is_normalised(spark):
     df = spark.createDataFrame([(i, "a b c d e f g a a b x%d y%d" % (i, i % 3)) for i in range(40)], "doc_id long, text string")
     counts = maxent.word_counts(df).cache()
     m = maxent.train(df, counts)
-    assert m.n == counts.agg({"n": "sum"}).first()[0] and m.class_n.sum() == m.n and m.class_v.sum() == m.v
-    word, cls = maxent.tokens_of(b"a b c")
-    rows = maxent.features_of(word, np.array([0]))
+    assert m.n == counts.agg({"n": "sum"}).first()[0] and m.leaf_n.sum() == m.n and m.leaf_v.sum() == m.v
+    word, leaf = maxent.tokens_of(b"a b c")
+    rows, slots = maxent.features_of(m.leaves(word, leaf), np.array([0]))
     p = maxent._softmax(maxent.logits(m.weights, rows) + m.bias)
     assert np.allclose(p.sum(1), 1, atol=1e-5)
+    for c in range(maxent.CLASSES):
+        q = maxent._softmax(maxent.logits(m.slot_weights, slots) + m.slot_bias[c])
+        assert np.allclose(q.sum(1), 1, atol=1e-5)
     known = {r.word: r.n for r in counts.collect()}
-    own = m.classes(np.array(list(known), np.int64).view(np.uint64), np.array([r.cls for r in counts.collect()]))
-    for k in range(maxent.CLASSES):
-        total = sum((n + 1) / (m.class_n[k] + m.class_v[k] + 1) for n, c in zip(known.values(), own) if c == k) + 1 / (m.class_n[k] + m.class_v[k] + 1)
+    own = m.leaves(np.array(list(known), np.int64).view(np.uint64), np.array([r.leaf for r in counts.collect()]))
+    for k in range(maxent.LEAVES):
+        total = sum((n + 1) / (m.leaf_n[k] + m.leaf_v[k] + 1) for n, c in zip(known.values(), own) if c == k) + 1 / (m.leaf_n[k] + m.leaf_v[k] + 1)
         assert abs(total - 1) < 1e-9
 
 
+def test_score_against_brute_force(spark, docs):
+    """The score from the model's own weights, token by token, in plain Python."""
+    df = docs.select("doc_id", "text")
+    learn = df.where(~maxent.held_out(df["doc_id"]))
+    counts = maxent.word_counts(learn).cache()
+    m = maxent.train(learn, counts)
+    n = {r.word & (1 << 64) - 1: r.n for r in counts.collect()}
+    top = dict(zip(m.own.tolist(), m.own_leaf.tolist()))
+    got = Counter((r.doc_id, round(r.score, 3)) for r in maxent.scored(df, m, counts).collect())
+
+    def log_softmax(z, k):
+        z = [float(x) for x in z]
+        return z[k] - max(z) - math.log(sum(math.exp(x - max(z)) for x in z))
+
+    want = Counter()
+    for r in docs.collect():
+        score, one, two = 0.0, 0, 0
+        word, leaf = maxent.tokens_of((r.text or "").encode())
+        for w, by_ending in zip(word.tolist(), leaf.tolist()):
+            k = top.get(w, by_ending)
+            c, s = k % maxent.CLASSES, k // maxent.CLASSES
+            both = 2 * maxent.LEAVES + ((one * 0x9E3779B1 + two * 0x85EBCA6B) >> 7) % maxent.BUCKETS
+            z = m.weights[one] + m.weights[maxent.LEAVES + two] + m.weights[both] + m.bias
+            y = m.slot_weights[one * maxent.CLASSES + c] + m.slot_weights[maxent.SLOT_BUCKETS + two * maxent.CLASSES + c] + m.slot_bias[c]
+            score += (log_softmax(z, c) + log_softmax(y, s)) / math.log(10) + math.log10((n.get(w, 0) + 1) / (m.leaf_n[k] + m.leaf_v[k] + 1))
+            one, two = k, one
+        want[(r.doc_id, round(score, 3))] += 1
+    near = lambda a, b: all(any(i == j and abs(x - y) < 1e-3 * max(1, abs(y)) for j, y in b) for i, x in a)
+    assert sum(got.values()) == sum(want.values()) and near(got, want) and near(want, got)
+
+
 def test_language_id(spark, docs, none):
     got = registry.language_id(spark, SF).collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -130,5 +163,3 @@ def test_mixing_meets_targets(spark, docs, none):
     flat = mixing.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert mixing.mixed(docs, flat, mixing.fit(mixing.memberships(docs, flat), {"good": 1.0})).count() >= docs.where("doc_id is not null").count() - 3
     assert mixing.mixed(none, flat, mixing.fit(mixing.memberships(none, flat))).count() == 0
-    with pytest.raises(AttributeError):
-        mixing.features(None)
