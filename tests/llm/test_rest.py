@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -31,6 +33,53 @@ def test_planted_license_lines_are_found(spark):
         assert r.own in want if want else r.own is None
 
 
+def test_licences_against_brute_force(spark):
+    """Every stretch of every document scored without the bound; and what every file inherits, walking up."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumnRenamed("doc_id", "id")
+    df, n = licenses.document_frequencies(docs)
+    m = licenses.Matcher(df, n)
+    want = {}
+    for r in docs.collect():
+        text = (r.text or "").encode()
+        terms, lines = [], []
+        for line in text.split(b"\n"):
+            lines.append(len(terms))
+            terms += licenses.terms_of(line)
+        spans = m.stretches(len(terms), np.array(lines)) if terms else []
+        best = max(((m.best(terms[s:e])) for s, e in spans), default=(0.0, None), key=lambda x: x[0])
+        whole = r.id % 16 == 0
+        if whole and terms:
+            best = max(best, m.best(terms), key=lambda x: x[0])
+        want[r.id] = (best[1], round(best[0], 9)) if best[0] >= licenses.LEAST else (None, 0.0)
+    got = registry.license_scan(spark, SF).collect()
+    assert {r.doc_id: (r.own, round(r.cosine, 9)) for r in got} == want and len(got) == len(want)
+    given = {}
+    for r in sorted(got, key=lambda r: (r.cosine, -r.doc_id)):
+        if r.path.endswith("LICENSE") and r.own:
+            given[r.path.rsplit("/", 1)[0]] = r.own
+    for r in got:
+        up = r.path
+        found = (r.own, "file" if r.path.endswith("LICENSE") else "header") if r.own else (None, None)
+        while found[0] is None and "/" in up:
+            up = up.rsplit("/", 1)[0]
+            found = (given[up], up) if up in given else found
+        assert (r.licence, r.via) == found
+
+
+def test_real_texts(spark):
+    m = licenses.Matcher({t: 50 for t in licenses.VOCABULARY}, 1000)
+    name = lambda text, whole=False: m.licence(text.encode(), whole)[0]
+    full = {n: max(t, key=len) for n, t in licenses.TEMPLATES.items()}
+    for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "Apache-2.0"):
+        wrapped = "Copyright (c) 2024 Some One\n\n" + re.sub(r"(.{60}\S*) ", r"\1\n", full[n])
+        assert name(wrapped) == n and name(wrapped.replace("\n", " "), True) == n
+        assert name("word " * 50_000 + wrapped) == n  # over several stretches
+    assert name("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nCopyright (C) 1989, 1991 Free Software Foundation, Inc.") == "GPL-2.0"
+    assert name("This is free. It is under the GNU General Public License, version 2.") == "GPL-2.0" and name("under the GNU General Public License version 3 since then") == "GPL-3.0"
+    assert name("... and more prose here about it. Released under the MIT License. More prose follows here, quite some of it, in one line.") == "MIT"
+    assert name("Mozilla Public License Version 2.0") == "MPL-2.0" and name("A plain text on permission and rights of persons.") is None and name("") is None
+
+
 def test_audit_finds_what_differs(spark):
     F = merkle.F
     rows = [(i, f"http://x/{i}", f"record {i}" * (i % 5 + 1)) for i in range(3000)] + [(None, None, None), (-7, "u", ""), (5, "http://x/5", "record 5"), (9, "long", "w " * 900_000)]
