@@ -66,8 +66,8 @@ TEMPLATES = {
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _ANY + " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
         "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", _FREE.format("General Public License", 3), _HEAD.format("GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007"), _COPIES.format("GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007"), "SPDX-License-Identifier: GPL-3.0", "GNU General Public License Version 3"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", _FREE2.format("General Public License", 2), _FREE.format("General Public License", 2), _HEAD.format("GENERAL PUBLIC LICENSE", "2, June 1991", "1989, 1991"), _COPIES.format("GENERAL PUBLIC LICENSE", "2, June 1991", "1989, 1991"), "SPDX-License-Identifier: GPL-2.0", "GNU General Public License Version 2"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", _FREE.format("General Public License", 3), _HEAD.format("GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007"), _COPIES.format("GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007"), "SPDX-License-Identifier: GPL-3.0", "GNU General Public License Version 3"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2.", _FREE2.format("General Public License", 2), _FREE.format("General Public License", 2), _HEAD.format("GENERAL PUBLIC LICENSE", "2, June 1991", "1989, 1991"), _COPIES.format("GENERAL PUBLIC LICENSE", "2, June 1991", "1989, 1991"), "SPDX-License-Identifier: GPL-2.0", "GNU General Public License Version 2"],
     "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", _FREE.format("Lesser General Public License", 3), _HEAD.format("LESSER GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007"), _COPIES.format("LESSER GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007"), "SPDX-License-Identifier: LGPL-3.0"],
     "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", _FREE.format("Lesser General Public License", 2.1), _HEAD.format("LESSER GENERAL PUBLIC LICENSE", "2.1, February 1999", "1991, 1999"), _COPIES.format("LESSER GENERAL PUBLIC LICENSE", "2.1, February 1999", "1991, 1999"), "SPDX-License-Identifier: LGPL-2.1"],
     "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", _FREE.format("Affero General Public License", 3), _HEAD.format("AFFERO GENERAL PUBLIC LICENSE", "3, 19 November 2007", "2007"), _COPIES.format("AFFERO GENERAL PUBLIC LICENSE", "3, 19 November 2007", "2007"), "SPDX-License-Identifier: AGPL-3.0"],
