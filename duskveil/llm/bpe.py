@@ -1,8 +1,9 @@
 """Byte-pair encoding with content-defined chunk reuse, and decoding.
 
 A rolling hash over 32 bytes cuts every text where its content says so, so a passage that documents share falls into the
-same chunks in all of them. Chunks are counted by hash over the whole corpus; those that occur again (the ``TABLE`` most
-frequent: a fixed bound on what is broadcast) are encoded once each. A document that holds such chunks is assembled from
+same chunks in all of them. Chunks are counted by 128-bit hash over the whole corpus; those that occur again (the ``TABLE``
+most frequent: a fixed bound on what is broadcast; less frequent ones are encoded where they stand, with the same ids) are
+encoded once each, and meet their documents by a join whose hot chunks are broadcast. A document that holds such chunks is assembled from
 the table's ids and its own other chunks' ids. At every join of two chunks the stretch between the nearest safe places
 on both sides is encoded again; a place is safe where a letter is followed by a space and a letter, as no token crosses
 it whatever surrounds it. If the ids on either side have no token boundary at that place, or a chunk has no safe place,
@@ -12,7 +13,8 @@ Documents without shared chunks are encoded in one piece. Which chunks are in th
 The tokenizer is a byte-level BPE file (``tokenizers`` JSON) at a path given as a parameter; ids are those of that
 library with add_special_tokens=False, so special tokens' strings in a text become their ids.
 
-Null text is the empty text: no ids. Repeated rows each get their row. Empty tables give empty results.
+Null text is the empty text: no ids. Repeated rows each get their row, and each is assembled by itself. A very long text is
+one row and is assembled by one task. Empty tables give empty results; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -155,43 +158,45 @@ _DOC = "key long, doc_id long, n_chunks int, seq int, chunk long, text binary, i
 _DOC_ARROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_chunks", pa.int32()), ("seq", pa.int32()), ("chunk", pa.int64()), ("text", pa.binary()), ("ids", pa.binary())])
 
 
-def _hash(chunk: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(chunk)
-    return h - (1 << 64) if h >> 63 else h
+def _hashes(text: bytes, ends: list[int]) -> np.ndarray:
+    """128-bit hashes of a text's chunks: rows of two 64-bit integers."""
+    made = b"".join(xxhash.xxh3_128_digest(text[a:e]) for a, e in zip([0, *ends], ends))
+    return np.frombuffer(made, ">i8").astype(np.int64).reshape(-1, 2)
 
 
 def shared_chunks(docs: DataFrame, most: int = TABLE) -> DataFrame:
-    """(chunk, times): hashes of chunks that occur more than once in the corpus, about the ``most`` most frequent."""
-    schema = pa.schema([("chunk", pa.int64()), ("times", pa.int64())])
+    """(chunk, more, times): both halves of the hashes of chunks that occur more than once in the corpus, about the ``most``
+    most frequent."""
+    schema = pa.schema([("chunk", pa.int64()), ("more", pa.int64()), ("times", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: list[int] = []
-            for t in common.text_bytes(b.column(0)):
-                ends = chunks_of(t)
-                seen += [_hash(t[a:e]) for a, e in zip([0, *ends], ends)]
-            found, n = np.unique(np.array(seen, np.int64), return_counts=True)
-            yield common.batch(schema, found, n)
+            seen = [np.empty((0, 2), np.int64), *(_hashes(t, chunks_of(t)) for t in common.text_bytes(b.column(0)))]
+            found, n = np.unique(np.concatenate(seen), axis=0, return_counts=True)
+            yield common.batch(schema, found[:, 0], found[:, 1], n)
 
     common.prepare(docs.sparkSession)
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(work, "chunk long, times long")
-    counted = counted.groupBy("chunk").agg(F.sum("times").alias("times")).where("times > 1")
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(work, "chunk long, more long, times long")
+    counted = counted.groupBy("chunk", "more").agg(F.sum("times").alias("times")).where("times > 1")
     return common.greatest(common.stored(counted, "chunks"), "times", "chunk", most) if most else counted.limit(0)
 
 
 def encoded(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:
     """(doc_id, ids binary): the ids of every whole text as little-endian unsigned 32-bit integers."""
     spark = common.prepare(docs.sparkSession)
-    found = shared_chunks(docs, most).select("chunk").toArrow().column(0).to_numpy()  # at most ``most`` hashes
-    table = spark.sparkContext.broadcast(np.sort(found))
+    found = shared_chunks(docs, most).select("chunk", "more").toArrow()  # at most ``most`` hashes
+    found = np.stack([found.column(c).to_numpy() for c in ("chunk", "more")], 1)
+    found = found[np.argsort(found[:, 0], kind="stable")]
+    twice = np.isin(found[:, 0], found[1:, 0][found[1:, 0] == found[:-1, 0]])  # other bytes, same half: left where they stand
+    table = spark.sparkContext.broadcast(found[~twice])
     small = "<u2" if encoding(path).n_vocab <= 1 << 16 else "<u4"  # of ids on their way
 
     def marked(t: bytes, known: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """(ends of the chunks, their hashes, whether they are in the table)"""
+        """(ends of the chunks, their hashes' first halves, whether they are in the table)"""
         ends = chunks_of(t)
-        marks = np.array([_hash(t[a:e]) for a, e in zip([0, *ends], ends)], np.int64)
-        again = known[np.minimum(np.searchsorted(known, marks), len(known) - 1)] == marks if len(known) and len(marks) else np.zeros(len(marks), bool)
-        return ends, marks, again
+        marks = _hashes(t, ends)
+        again = (known[np.minimum(np.searchsorted(known[:, 0], marks[:, 0]), len(known) - 1)] == marks).all(1) if len(known) else np.zeros(len(marks), bool)
+        return ends, marks[:, 0], again
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, known = encoding(path), table.value
@@ -208,7 +213,7 @@ def encoded(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:
                 ends, marks, again = marked(t, known)
                 if not again.any():
                     continue
-                key = xxhash.xxh64_intdigest(t, seed=hash(doc_id) & 0x7FFFFFFF) >> 1
+                key = int.from_bytes(os.urandom(8)) >> 1  # of this row alone; the pieces are stored before they are read
                 s = 0
                 while s < len(ends):  # chunks that are not shared, as one piece
                     e = s + 1
@@ -234,32 +239,29 @@ def encoded(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        now, parts, copies = None, {}, {}
+        now, parts = None, []
 
-        def ended() -> list[tuple]:
-            ids = joined(enc, [parts[s] for s in sorted(parts)]).astype("<u4").tobytes()
-            return [(now[1], ids)] * copies[min(copies)]
+        def ended() -> tuple:
+            return now[1], joined(enc, [p for _, p in sorted(parts, key=lambda x: x[0])]).astype("<u4").tobytes()
 
         for b in batches:
             rows = []
             for key, doc_id, seq, ids in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "seq", "ids"))):
                 if now is not None and now != (key, doc_id):
-                    rows += ended()
-                    parts, copies = {}, {}
+                    rows.append(ended())
+                    parts = []
                 now = (key, doc_id)
-                parts[seq] = np.frombuffer(ids, small)
-                copies[seq] = copies.get(seq, 0) + 1  # repeated rows have one key
+                parts.append((seq, np.frombuffer(ids, small)))
             yield common.batch(out, [r[0] for r in rows], [r[1] for r in rows])
         if now is not None:
-            rows = ended()
-            yield common.batch(out, [r[0] for r in rows], [r[1] for r in rows])
+            yield common.batch(out, *([x] for x in ended()))
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pieces = common.stored(texts.mapInArrow(split, _DOC), "pieces")  # only of documents that hold chunks of the table
     direct = texts.mapInArrow(alone, "doc_id long, ids binary")
     texts = pieces.where("text is not null").select("chunk", "text").dropDuplicates(["chunk"])
     ids = common.stored(texts.mapInArrow(once, "chunk long, ids binary"), "chunk_ids")
-    shared = pieces.where("chunk is not null").select("key", "doc_id", "seq", "chunk").join(ids, "chunk").select("key", "doc_id", "seq", "ids")
+    shared = common.hot_join(pieces.where("chunk is not null").select("key", "doc_id", "seq", "chunk"), ids, "chunk").select("key", "doc_id", "seq", "ids")
     own = pieces.where("chunk is null").select("key", "doc_id", "seq", "ids")
     made = shared.unionByName(own).repartition("key").sortWithinPartitions("key", "doc_id", "seq").mapInArrow(assemble, "doc_id long, ids binary")
     return direct.unionByName(made)

@@ -3,11 +3,13 @@
 A text's features are its byte n-grams (1 to 4 bytes, lower-cased A-Z) over the whole text, hashed into buckets. Every
 bucket has an embedding; a text is the average of its n-grams' embeddings; a linear softmax reads the average. Training
 is mini-batch stochastic gradient descent in numpy on a bounded sample of labelled rows (``SAMPLE`` rows, spread evenly
-over the labels' rows by a hash of doc_id). A temperature is then fitted on a part of the sample that training has not
+over all labels that occur, by a hash of doc_id and text; a row that is repeated counts once; a label of few rows gives them
+all). More labels than ``SAMPLE`` are refused. A temperature is then fitted on a part of the sample that training has not
 seen, so that scores are calibrated probabilities, and ``floor`` is the score that all but ``REJECT`` of that part reach.
 
-Null text and text without letters have language ``und`` and score 0. An empty table, or one without labels, gives
-``und`` everywhere. Repeated rows get equal results.
+Null text and text without letters have language ``und`` and score 0. Of languages with equal probability the one first in
+alphabetical order is told. An empty table, or one without labels, gives ``und`` everywhere. Repeated rows get equal
+results. Very long texts are read whole, a stretch at a time.
 """
 
 from __future__ import annotations
@@ -67,14 +69,15 @@ class Model:
 
 
 def _sample(docs: DataFrame, lang: Column, most: int) -> DataFrame:
-    """About ``most`` labelled rows at most, chosen by a hash of doc_id; the shares are set from exact counts."""
-    labelled = docs.where(lang.isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang.alias("l")).count().orderBy(F.desc("count"), "l").limit(256).collect()}
+    """(lang, text): about ``most`` distinct labelled rows at most, chosen by a hash; the shares are set from exact counts."""
+    made = docs.select(lang.cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id")).where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = made.groupBy("lang").count().limit(most + 1).collect()  # a row per label, at most ``most``
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} labels: a larger sample is needed")
     each = most / max(1, len(sizes))
-    share = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, int(1e9 * min(1.0, each / n)))]) if sizes else None
-    if share is None:
-        return labelled.where(F.lit(False))
-    return labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(10**9)) < F.element_at(share, lang))
+    share = docs.sparkSession.createDataFrame([(r[0], int(1e9 * min(1.0, each / r[1]))) for r in sizes], "lang string, share long")
+    made = made.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(10**9)) < F.col("share"))
+    return made.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def train(docs: DataFrame, lang_col: str = "lang", most: int = SAMPLE, epochs: int = 12, seed: int = 1) -> Model:
@@ -92,7 +95,7 @@ def train(docs: DataFrame, lang_col: str = "lang", most: int = SAMPLE, epochs: i
                 n.append(c[i].astype("<f4").tobytes())
             yield common.batch(schema, b.column(0), at, n)
 
-    chosen = _sample(docs, F.col(lang_col), most).select(F.col(lang_col).cast("string"), "text").mapInArrow(work, "lang string, at binary, count binary")
+    chosen = _sample(docs, F.col(lang_col), most).mapInArrow(work, "lang string, at binary, count binary")
     rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in chosen.collect())
     langs = sorted({r[0] for r in rows})
     if not langs:

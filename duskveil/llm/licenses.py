@@ -92,7 +92,7 @@ TEMPLATES = {
     "CC0-1.0": ["SPDX-License-Identifier: CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"],
 }
 #: Least cosine of a match; terms of a window; terms that are scanned at a time.
-LEAST, WINDOWS, STRETCH = 0.7, (12, 48, 192), 1 << 15
+LEAST, WINDOWS, STRETCH = 0.7, (6, 16, 48, 192), 1 << 15
 #: Terms before a number that tells versions apart.
 _VERSIONED = frozenset(b"version v apache gpl lgpl agpl bsd mpl cc0 by nc attribution noncommercial".split())
 _TERM = re.compile(rb"[a-z]+|[0-9]+(?:\.[0-9]+)*|\n")

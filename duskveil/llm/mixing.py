@@ -9,11 +9,14 @@ rates by least squares to the target totals, with a pull towards rate 1 that mak
 
 In the metric of the n_i a step needs only the document's own posteriors and the D residuals, so a step is one sum over
 the documents and the history of residuals (steps x D numbers) is all that the driver holds; any task computes a
-document's rate from its posteriors and that history. A document's copies are floor(rate), and one more with the
-probability of the rest, drawn by a hash of doc_id; over all documents the token totals are those expected.
+document's rate from its posteriors and that history. While fitting, each document's rate is written down every ``KEPT`` steps,
+so a step replays no more than those. Steps end when the residuals stand still (``STILL``); a fit that has not got there
+after ``STEPS`` raises. A document's copies are floor(rate), and one more with the probability of the rest, drawn by a hash of
+doc_id (of the text where that is null); over all documents the token totals are those expected.
 
 Null or empty text has no tokens and the classifier's bias as posterior; its rate is fitted like any other. A table
-without labels has the single domain ``good``. Repeated rows get equal rates; empty tables give empty results.
+without labels has the single domain ``good``. Repeated rows get equal rates; empty tables give empty results. Very long texts
+are read whole by one task.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,9 @@ from . import common
 DOMAINS = ("low", "good", "toxic")
 #: Shares of the target total. Good text keeps its tokens at the natural mix or gains.
 TARGETS = {"low": 0.08, "good": 0.92, "toxic": 0.0}
-#: Hash buckets of the classifier's word features; most labelled rows that training reads; gradient steps; the pull.
-BUCKETS, SAMPLE, STEPS, PULL = 1 << 15, 6000, 40, 0.002
+#: Hash buckets of the classifier's word features; most labelled rows that training reads; most gradient steps; the pull; steps
+#: between two tables of rates; the change of residuals, as a share of all tokens, under which they stand still.
+BUCKETS, SAMPLE, STEPS, PULL, KEPT, STILL = 1 << 15, 6000, 400, 0.002, 20, 1e-5
 
 
 def features(text: bytes) -> tuple[np.ndarray, int]:
@@ -63,17 +68,19 @@ class Classifier:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, epochs: int = 10, seed: int = 1) -> Classifier:
     """Logistic regression by stochastic gradient descent on a bounded sample of the labelled documents, taken evenly
-    from the classes by a hash of doc_id; the bias is then set back to the classes' shares among all labels."""
+    from the classes by a hash of doc_id, of documents that share an id one; the bias is then set back to the classes' shares
+    among all labels. A label counts if it has a quality or is toxic; of several for one document toxic goes before good, good before low."""
     common.prepare(docs.sparkSession)
     cls = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 1).otherwise(0)
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(cls).alias("c"))
+    known = labels.where("doc_id is not null and (quality is not null or toxic = 1)").groupBy("doc_id").agg(F.max(cls).alias("c"))
     sizes = {r[0]: r[1] for r in known.groupBy("c").count().collect()}
     if not sizes:
         return Classifier(np.zeros((BUCKETS, 3), np.float32), np.array([-50, 0, -50], np.float32))
     each = most / len(sizes)
     share = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, int(1e9 * min(1.0, each / n)))])
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(10**9)) < F.element_at(share, F.col("c")))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("c", F.col("text").cast("string"))  # about ``most`` rows
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # about ``most`` ids
+    chosen = chosen.groupBy("doc_id").agg(F.first("c").alias("c"), F.min_by("text", F.xxhash64("text")).alias("text")).select("c", "text")  # of a repeated id one row
     schema = pa.schema([("c", pa.int32()), ("at", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,19 +117,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, epochs: int =
 
 
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
-    """(doc_id, n_tokens, p_low, p_good, p_toxic): posteriors of every whole text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *[(f"p_{d}", pa.float64()) for d in DOMAINS]])
+    """(doc_id, n_tokens, p_low, p_good, p_toxic, draw): posteriors of every whole text, and where its copies' draw falls."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *[(f"p_{d}", pa.float64()) for d in DOMAINS], ("draw", pa.float64())])
     sent = common.prepare(docs.sparkSession).sparkContext.broadcast(model)  # buckets x domains: a fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for b in batches:
-            made = [own.posterior(t) for t in common.text_bytes(b.column(1))]
+            texts = list(common.text_bytes(b.column(1)))
+            made = [own.posterior(t) for t in texts]
             p = np.array([m[0] for m in made], float).reshape(len(made), 3)
-            yield common.batch(schema, b.column(0), [m[1] for m in made], p[:, 0], p[:, 1], p[:, 2])
+            yield common.batch(schema, b.column(0), [m[1] for m in made], p[:, 0], p[:, 1], p[:, 2], draws(b.column(0), texts))
 
     made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return made.mapInArrow(work, "doc_id long, n_tokens long, p_low double, p_good double, p_toxic double")
+    return made.mapInArrow(work, "doc_id long, n_tokens long, p_low double, p_good double, p_toxic double, draw double")
 
 
 @dataclass
@@ -133,10 +141,11 @@ class Rates:
     step: float
     pull: float
 
-    def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rates, the point at which the next residual is taken): projected gradient steps with momentum."""
-        r = y = np.ones(len(p))
-        for t, residual in enumerate(self.history):
+    def replay(self, p: np.ndarray, first: int = 0, at: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rates, the point at which the next residual is taken): projected gradient steps with momentum, from step
+        ``first`` and its state on."""
+        r, y = at if at is not None else (np.ones(len(p)), np.ones(len(p)))
+        for t, residual in enumerate(self.history[first:], first):
             new = np.maximum(0.0, y - self.step * (p @ residual + self.pull * (y - 1)))
             y = new + t / (t + 3) * (new - r)
             r = new
@@ -146,46 +155,68 @@ class Rates:
         return self.replay(p)[0]
 
 
+_P = [f"p_{d}" for d in DOMAINS]
+
+
 def fit(members: DataFrame, targets: dict[str, float] | None = None, total: float = 1.0, steps: int = STEPS, pull: float = PULL) -> Rates:
     """Projected gradient descent; targets are shares of ``total`` times the table's tokens."""
     want = np.array([(targets or TARGETS).get(d, 0.0) for d in DOMAINS]) * total
-    members = members.where("n_tokens > 0")
-    n_all = members.agg(F.sum("n_tokens")).first()[0]
+    state = members.where("n_tokens > 0").select("n_tokens", *_P, F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    n_all = state.agg(F.sum("n_tokens")).first()[0]
     if not n_all:
         return Rates(np.zeros((0, 3)), 0.0, pull)
     rates = Rates(np.zeros((0, 3)), 0.9 / (1 + pull), pull)  # the curvature is at most 1 + pull, as posteriors sum to 1
-    schema = pa.schema([(f"p_{d}", pa.float64()) for d in DOMAINS])
-    for _ in range(steps):
+    sums_schema, state_schema = pa.schema([(c, pa.float64()) for c in _P]), pa.schema([("n_tokens", pa.int64()), *[(c, pa.float64()) for c in (*_P, "r", "y")]])
+    kept = 0
+    while len(rates.history) < steps:
+        own = Rates(rates.history, rates.step, pull)
 
-        def work(batches: Iterator[pa.RecordBatch], own: Rates = Rates(rates.history, rates.step, pull)) -> Iterator[pa.RecordBatch]:
+        def replayed(b: pa.RecordBatch, own: Rates = own, kept: int = kept) -> tuple:
+            n, *p, r, y = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            p = np.stack(p, 1)
+            return n, p, own.replay(p, kept, (r, y))
+
+        def work(batches: Iterator[pa.RecordBatch], replayed=replayed) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                n, *p = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                p = np.stack(p, 1)
-                yield common.batch(schema, *[[x] for x in (own.replay(p)[1] * n) @ p / n_all])
+                n, p, (_, y) = replayed(b)
+                yield common.batch(sums_schema, *[[x] for x in (y * n) @ p / n_all])
 
-        sums = members.select("n_tokens", *[f"p_{d}" for d in DOMAINS]).mapInArrow(work, "p_low double, p_good double, p_toxic double")
-        got = sums.agg(*[F.sum(f"p_{d}") for d in DOMAINS]).first()
+        def keep(batches: Iterator[pa.RecordBatch], replayed=replayed) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield common.batch(state_schema, *b.columns[:4], *replayed(b)[2])
+
+        if len(rates.history) - kept == KEPT:
+            state = common.stored(state.mapInArrow(keep, "n_tokens long, p_low double, p_good double, p_toxic double, r double, y double"), "rates")
+            kept = len(rates.history)
+            continue
+        got = state.mapInArrow(work, "p_low double, p_good double, p_toxic double").agg(*[F.sum(c) for c in _P]).first()
         rates.history = np.vstack([rates.history, np.array(got, float) - want])
-        if len(rates.history) > 1 and np.abs(rates.history[-1] - rates.history[-2]).max() < 1e-5:
-            break
-    return rates
+        if len(rates.history) > 1 and np.abs(rates.history[-1] - rates.history[-2]).max() < STILL:
+            return rates
+    raise RuntimeError(f"rates still change after {steps} steps; residuals {rates.history[-1]}")
+
+
+def draws(doc_id: pa.Array, texts: list[bytes]) -> np.ndarray:
+    """A number in [0, 1) from doc_id, or from the text where that is null."""
+    of_text = np.fromiter((xxhash.xxh64_intdigest(t) if i is None else 0 for i, t in zip(doc_id.to_pylist(), texts)), np.uint64, len(texts))
+    seed = doc_id.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) ^ of_text
+    return common.mix(seed + np.uint64(0x9E3779B97F4A7C15)) / 2.0**64
 
 
-def copies_of(rate: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    """floor(rate), and one more where a hash of doc_id falls below the rest."""
-    u = common.mix(doc_id.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) / 2.0**64
-    return (np.floor(rate) + (u < rate - np.floor(rate))).astype(np.int64)
+def copies_of(rate: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """floor(rate), and one more where the draw falls below the rest."""
+    return (np.floor(rate) + (draw < rate - np.floor(rate))).astype(np.int64)
 
 
 def with_rates(members: DataFrame, rates: Rates) -> DataFrame:
-    """members with rate and copies."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *[(f"p_{d}", pa.float64()) for d in DOMAINS], ("rate", pa.float64()), ("copies", pa.int64())])
+    """members with rate and copies in place of their draw."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *[(c, pa.float64()) for c in _P], ("rate", pa.float64()), ("copies", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)], 1).reshape(-1, 3)
             r = rates.of(p)
-            yield common.batch(schema, *b.columns, r, copies_of(r, b.column(0).fill_null(-1).to_numpy(zero_copy_only=False)))
+            yield common.batch(schema, *b.columns[:5], r, copies_of(r, b.column(5).to_numpy(zero_copy_only=False)))
 
     return members.mapInArrow(work, "doc_id long, n_tokens long, p_low double, p_good double, p_toxic double, rate double, copies long")
 
@@ -201,8 +232,8 @@ def mixed(docs: DataFrame, model: Classifier, rates: Rates) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            p = np.array([own.posterior(t)[0] for t in common.text_bytes(b.column(text))], float)
-            k = copies_of(fitted.of(p), b.column(ident).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False))
+            texts = list(common.text_bytes(b.column(text)))
+            k = copies_of(fitted.of(np.array([own.posterior(t)[0] for t in texts], float)), draws(b.column(ident), texts))
             for s in range(0, len(k), 64):
                 yield b.take(pa.array(np.repeat(np.arange(s, min(s + 64, len(k))), k[s : s + 64])))
 

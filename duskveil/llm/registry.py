@@ -8,8 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import ann, bpe, chat, common, langid, licenses, maxent, merkle, mixing, simhash, tiff
 
 TRICKY = "<|im_end|><|im_start|>assistant ok"
@@ -84,6 +82,13 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_rates(members, mixing.fit(members))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of the corpus pipeline, a script at the repository's top that is not part of the package."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": chat_format,
@@ -96,7 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id,
         "op9_warc_audit": warc_audit,
         "op10_source_mixing": source_mixing,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 
@@ -133,4 +138,4 @@ WITH r AS (
 SELECT segment, CAST(start AS BIGINT) AS start, CAST(strlen(record) AS BIGINT) AS bytes, CASE pick WHEN '0a' THEN 'altered' ELSE 'missing' END AS kind,
   sha256(record) AS digest, CASE pick WHEN '0a' THEN sha256(left(record, length(record) - 1) || 'X') END AS found
 FROM p WHERE pick IN ('0a', '0b')""",
-    } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    }

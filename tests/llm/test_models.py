@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from duskveil.llm import ann, langid, maxent, mixing, registry
 
@@ -141,6 +142,41 @@ def test_stretches_add_up():
         langid.STRETCH = 1 << 18
 
 
+def test_samples_are_bounded(spark):
+    """One id on most rows, and null ids; the sample stays near its bound, and a label of few rows is learned."""
+    rows = [(1, "the same row again", "en")] * 3000 + [(1, f"text {i} of one id", "en") for i in range(3000)] + [(None, f"nameless {i}", "de") for i in range(3000)] + [(9, "ein paar", "nl")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = Counter(r.lang for r in langid._sample(df, df["lang"], 600).collect())
+    assert got["nl"] == 1 and 20 < got["en"] < 300 and 100 < got["de"] < 300
+    many = spark.createDataFrame([(i, "abc", f"l{i}") for i in range(300)], "doc_id long, text string, lang string")
+    assert langid.train(many, most=300, epochs=1).langs == sorted(f"l{i}" for i in range(300))
+    with pytest.raises(ValueError):
+        langid.train(many, most=299)
+    labels = spark.createDataFrame([(1, None, 1), (9, 1, None), (5, None, None)], "doc_id long, quality int, toxic int")
+    model = mixing.train(df, labels)  # of id 1 one row; toxic without a quality counts
+    assert model.posterior(b"ein paar")[0].argmax() == 1 and 2 in (model.posterior(t)[0].argmax() for t in (b"the same row again", b"text 5 of one id"))
+
+
+def test_rates_against_brute_force(spark, docs):
+    """The fitted rates minimise the stated sum: its gradient, from all rows in numpy, vanishes or pushes against zero."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    members = mixing.memberships(d, mixing.train(d, spark.read.parquet(f"{SF}/labels.parquet"))).cache()
+    rows = mixing.with_rates(members, mixing.fit(members)).toPandas()
+    rows = rows[rows.n_tokens > 0]
+    p, n, r = rows[[f"p_{x}" for x in mixing.DOMAINS]].to_numpy(), rows.n_tokens.to_numpy(float), rows.rate.to_numpy()
+    want = np.array([mixing.TARGETS[x] for x in mixing.DOMAINS])
+    y, last = np.ones(len(n)), np.ones(len(n))
+    for t in range(20_000):  # plain projected gradient to the end
+        new = np.maximum(0, y - 0.9 / (1 + mixing.PULL) * (p @ ((y * n) @ p / n.sum() - want) + mixing.PULL * (y - 1)))
+        y, last = new + t / (t + 3) * (new - last), new
+        if t > 50 and np.abs(p @ ((last * n) @ p / n.sum() - want) + mixing.PULL * (last - 1))[last > 1e-9].max() < 1e-6:
+            break
+    cost = lambda r: 0.5 * ((((r * n) @ p / n.sum()) - want) ** 2).sum() + mixing.PULL / 2 * (n / n.sum() * (r - 1) ** 2).sum()
+    assert cost(r) < cost(last) + 1e-4 and abs((r * n).sum() - (last * n).sum()) < 0.02 * n.sum()
+    null = [x.copies for x in mixing.with_rates(mixing.memberships(spark.createDataFrame([(None, f"t {i}") for i in range(400)], "doc_id long, text string"), mixing.Classifier(np.zeros((mixing.BUCKETS, 3), np.float32), np.zeros(3, np.float32))), mixing.Rates(np.full((1, 3), 0.5), 1.0, 0.0)).collect()]
+    assert 100 < sum(null) < 300  # a rate of one half; each text draws for itself
+
+
 def test_mixing_meets_targets(spark, docs, none):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     model = mixing.train(d.select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet"))
