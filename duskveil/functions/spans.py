@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def matches(text: Column, rx: str, group: int = 0) -> Column:
     """array<struct<s, e, t>> of the matches of a pattern that matches no empty text: their starts follow from the pieces
     between them. With a group the span is that of the group's text, first found in the match."""

@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from ..functions import spans, text as tx, validators as va
 
 L, R = tx.LEFT, tx.RIGHT
-_MONTH = "(?:" + "|".join(va.MONTHS) + ")"
-_DAY = r"\d{1,2}"
-_FULL_DATE = rf"(?:{_DAY}(?:\.{_DAY}\.|/{_DAY}/|-{_DAY}-)(?:\d{{4}}|\d{{2}})|\d{{4}}-{_DAY}-{_DAY}|{_DAY}\s+[בל]?-?{_MONTH}(?:,?\s+\d{{4}})?)"
-_YEARLESS = rf"(?<=(?:ביום|בתאריך|מיום|עד)\s){_DAY}[./]{_DAY}(?!\s*(?:אחוז|שקל|מטר|ק\"ג|%))"
+_DAY, _MON = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])"
+_MONTH = "(?:ינואר|פברואר|מר[ץס]|אפריל|מאי|יוני|יולי|אוגוסט|ספטמבר|אוקטובר|נובמבר|דצמבר)"
+_UNIT = "(?:מיליון|מיליארד|אלף|אלפי|אחוז|חדר|ש\"ח|₪|\\$|דולר|יורו|ק\"ג|ק\"מ|מ\"ר|מטר|שנ|נקוד|ליטר|גרם|קילו|דונם|מעלות)"
+_CUE = "(?:ביום|מיום|ליום|בתאריך|מתאריך|לתאריך|תאריך|ה[-\ue000]|מה[-\ue000])"
+_YEAR = r"(?:\d{4}|\d{2})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_NO = r"(?:\s*(?:מס'?|מספר))?\s*[:.]?\s*"
+_STREET = "(?:רחוב|רח'|שדרות|שד'|סמטת|סמטה|דרך|שכונת|כיכר|ככר|מעלה|נחל|משעול)"
+_WORD = "[\u0590-\u05ff\"'-]+"
 
 
 @dataclass(frozen=True)
@@ -35,29 +37,34 @@ class Detector:
     cue: str | None = None  # text without this string, or without digits for "0-9", has no match: a cheap test first
 
 
+#: Types of Hebrew documents: fixed values, whose patterns say what an identifier is. They read normalised text.
 HEBREW = [
-    Detector("EMAIL", rf"{L}[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:[A-Za-z]{{2,}}|[א-ת]{{2,}})", prio=0),
-    Detector("DATE", rf"{L}(?:{_FULL_DATE}|{_YEARLESS}){R}", valid="date", prio=5),
-    Detector("PHONE_MOBILE", rf"{L}(?:\+972[- ]?|0)5\d[- ]?\d{{3}}[- ]?\d{{4}}{R}"),
-    Detector("PHONE_LAND", rf"{L}(?:\+972[- ]?|0)(?:[23489]|7\d)[- ]?\d{{3}}[- ]?\d{{4}}{R}", prio=4),
-    Detector("PHONE_TOLL", rf"{L}(?:1-?[78]00-?\d{{3}}-?\d{{3}}|\*\d{{4}}){R}"),
-    Detector("FAX", rf"{L}(?:פקס|פקסימיליה|[Ff]ax)'?\s*[:.]?\s*(\+?\d[\d -]{{7,13}}\d){R}", 1),
+    Detector("EMAIL", r"(?<![\w.%+-])[\w.%+-]+@[\w.-]+\.[A-Za-zא-ת]{2,}", prio=0),
+    Detector("DATE", "|".join([
+        rf"{L}\d{{1,2}}[./]\d{{1,2}}[./]{_YEAR}{R}", rf"{L}{_DAY}-{_MON}-{_YEAR}{R}", rf"{L}\d{{4}}-{_MON}-{_DAY}{R}",
+        rf"{L}{_DAY}\s+[בל]?[-\ue000]?{_MONTH}(?:,?\s+\d{{4}}(?![0-9]))?(?![א-ת0-9])",
+        rf"(?<=(?<![א-ת])ו?{_CUE}[:\s]{{0,8}}){_DAY}[./]{_MON}(?![0-9%]|[./-][0-9]|\s*{_UNIT})",
+    ]), prio=5),
+    Detector("PHONE_MOBILE", rf"{L}(?:\+?972[-\s]?|0)5\d[-\s.]?\d{{3}}[-\s.]?\d{{4}}{R}"),
+    Detector("PHONE_LAND", rf"{L}(?:\+?972[-\s]?|0)(?:[2-4689]|7\d)[-\s.]?\d{{3}}[-\s.]?\d{{4}}{R}", prio=4),
+    Detector("PHONE_TOLL", r"\*\d{3,5}|1[-\s]?[38]00[-\s]?\d{3}[-\s]?\d{3}"),
+    Detector("FAX", r"(?:פקס|פקסימיליה)[:\s]*(\+?\d[\d\-\s]{7,13}\d)", 1),
     Detector("ISRAELI_ID", rf"{L}\d{{9}}{R}", valid="id", prio=1),
-    Detector("ISRAELI_ID_LABELED", rf"{L}(?:ת\"ז|ת\.ז\.?|תעודת זהות|מספר זהות){_NO}(\d{{5,9}}){R}", 1, prio=0),
-    Detector("CREDIT_CARD", rf"{L}\d(?:[ -]?\d){{11,18}}{R}", valid="luhn", prio=1),
-    Detector("IBAN", rf"{L}IL(?: ?\d){{21}}{R}", valid="iban", prio=1),
+    Detector("ISRAELI_ID_LABELED", r"(?:ת\.?\s?ז\.?|ת\"ז|מ\.?\s?ז\.?|תעודת\s+זהות|מספר\s+זהות|ח\.?\s?פ\.?|ח\"פ|ע\"ר|ת\.?\s?ז\.?\s?מס')[:\s.]*(\d{5,9})", 1, prio=0),
+    Detector("CREDIT_CARD", rf"{L}\d(?:[ -]?\d){{11,18}}{R}", valid="luhn", prio=1),  # without a separator at the end
+    Detector("IBAN", r"(?<![A-Za-z0-9_])IL\d{2}[\d\s]{18,22}\d(?![A-Za-z0-9_])", valid="iban", prio=1),
     Detector("PLATE", rf"{L}(?:\d{{2}}-\d{{3}}-\d{{2}}|\d{{3}}-\d{{2}}-\d{{3}}){R}", prio=2),
-    Detector("ADDRESS_STREET", rf"{L}(?:רחוב|רח'|שדרות|שד'|דרך|סמטת)\s+(?:[א-ת][א-ת'\"]*\s+){{1,4}}\d{{1,4}}(?:[א-ת](?![א-ת]))?(?:/\d{{1,3}})?", prio=2),
-    Detector("DOB", rf"{L}(?:תאריך לידה|נולדה?|ילידת?)\s*:?\s*(?:ב-?|ביום\s+)?({_FULL_DATE}){R}", 1, "date", 2),
-    Detector("URL_PERSONAL", r"(?:https?://)?(?:www\.)?(?:facebook|instagram|linkedin|twitter|tiktok)\.com/[^\s,;]+", prio=2),
-    Detector("ZIPCODE", rf"{L}מיקוד{_NO}(\d{{5}}(?:\d{{2}})?){R}", 1),
+    Detector("ADDRESS_STREET", rf"{_STREET}\s+{_WORD}(?:\s+{_WORD}){{0,3}}\s+\d{{1,4}}(?:\s?[א-ת](?![\u0590-\u05ff]))?(?:\s*[/\\]\s*\d{{1,3}}\s?[א-ת]?)?", prio=2),
+    Detector("DOB", r"(?:יליד(?:ת|י)?|ת\.?\s?לידה|תאריך\s+לידה)[:\s-]*(\d{1,2}[./-]\d{1,2}[./-]\d{2,4})", 1, prio=2),
+    Detector("URL_PERSONAL", r"https?://(?:www\.)?(?:facebook|linkedin|instagram|twitter|x)\.com/\S+", prio=2),
+    Detector("ZIPCODE", r"(?:מיקוד|ת\.?ד\.?)[:\s.]*(\d{5,7})", 1),
     Detector("ZIP_BARE", rf"{L}\d{{7}}{R}", prio=4, on=False),
-    Detector("CASE_NUMBER", rf"{L}\d{{1,6}}-\d{{2}}-\d{{2,4}}{R}", on=False),
-    Detector("BANK_ACCOUNT", rf"{L}חשבון(?:\s+בנק)?{_NO}(\d{{2,3}}[-/]\d{{3}}[-/]\d{{4,9}}){R}", 1),
-    Detector("LAWYER_LIC", rf"{L}(?:מ\.ר\.?|רישיון עו\"ד){_NO}(\d{{3,6}}){R}", 1, prio=2),
-    Detector("NOTARY", rf"{L}(?:רישיון נוטריון|נוטריון){_NO}(\d{{4,7}}){R}", 1),
-    Detector("PASSPORT", rf"{L}דרכון{_NO}([A-Z]?\d{{6,9}}){R}", 1),
-    Detector("IP", rf"{L}{_OCTET}(?:\.{_OCTET}){{3}}(?![.\d])", on=False),
+    Detector("CASE_NUMBER", r"(?:ת\"א|ת\"פ|ע\"א|בג\"ץ|ה\"פ|ת\"ק|רע\"א|ע\"פ|תמ\"ש|עמ\"ש)\s*\d{1,6}[-/]\d{1,2}[-/]\d{2,4}", on=False),
+    Detector("BANK_ACCOUNT", r"(?:חשבון|ח-ן)\s*(?:מס'?|מספר)?[:\s]*(\d{2,3}[-/]\d{3}[-/]\d{4,9})", 1),
+    Detector("LAWYER_LIC", r"(?:מ\.?\s?ר\.?|מספר\s+רישיון|רישיון\s+מס')[:\s]*(\d{4,7})", 1, prio=2),
+    Detector("NOTARY", r"(?:נוטריון|רישיון\s+נוטריון)[^\d]{0,12}(\d{3,7})", 1),
+    Detector("PASSPORT", r"(?:דרכון|passport)[:\s.#]*([A-Z0-9]{6,9})", 1),
+    Detector("IP", rf"(?<![A-Za-z0-9_])(?:{_OCTET}\.){{3}}{_OCTET}(?![A-Za-z0-9_])", on=False),
 ]
 
 #: Plain patterns without look-around: the same in every regular-expression dialect.
@@ -103,7 +110,7 @@ HIT = "struct<s:int,rk:int,prio:int,neg:int,e:int,type:string,t:string,ok:boolea
 
 
 def hits(text: Column, detectors: list[Detector], ref_year: int = 2026) -> Column:
-    """array of HIT of all detectors, unresolved; null text has none."""
+    """array of HIT of all detectors, unresolved; null text has none. ``HEBREW`` expects ``tx.norm(text)``."""
     def of(d: Detector) -> Column:
         found = F.transform(spans.matches(text, d.rx, d.group), lambda m: F.struct(m["s"].alias("s"), F.lit(1).alias("rk"), F.lit(d.prio).alias("prio"), (m["s"] - m["e"]).alias("neg"), m["e"].alias("e"), F.lit(d.type).alias("type"), m["t"].alias("t"), F.coalesce(_valid(d.valid, m["t"], ref_year), F.lit(False)).alias("ok")).cast(HIT))
         if d.cue is None:
@@ -126,7 +133,7 @@ def absorb_prefix(text: Column, s: Column) -> Column:
     """struct<s, pre>: the span's start moved over one attached prefix letter."""
     before = F.substring(text, s, F.lit(1))
     free = (s <= 1) | ~F.substring(text, s - 1, F.lit(1)).rlike("[א-ת]")
-    takes = (s > 0) & before.isin(tx.SINGLE_PREFIXES) & free
+    takes = (s > 0) & before.isin("ב", "מ", "ל", "ה") & free
     return F.when(takes, F.struct((s - 1).alias("s"), before.alias("pre"))).otherwise(F.struct(s.alias("s"), F.lit("").alias("pre")))
 
 
@@ -141,12 +148,13 @@ def zip_after(text: Column, e: Column) -> Column:
     return F.when(z != "", F.struct((end - F.length(z)).cast("int").alias("s"), end.cast("int").alias("e"), z.alias("t")))
 
 
-AGE_ZONE = rf"{L}(?:(?:בן|בת|גיל|בגיל)\s+\d{{1,3}}|\d{{1,3}}\s+(?:שנה|שנים))"
+#: Ages: a number after a word of age, or before a word of years (fixed values).
+AGE_AFTER, AGE_BEFORE = r"(?<![א-ת])(?:בן|בת|בני|בנות|גיל|בגיל|כבן|כבת)\s+(\d{1,3})(?!\d)", r"(?<!\d)(\d{1,3})\s+(?:שנה|שנים|שנתיים|וחצי)(?![א-ת])"
 
 
 def age_zones(text: Column) -> Column:
-    """Spans in which a number is an age."""
-    return spans.matches(text, AGE_ZONE)
+    """Spans of numbers that are ages."""
+    return F.array_sort(F.array_distinct(F.concat(spans.matches(text, AGE_AFTER, 1), spans.matches(text, AGE_BEFORE, 1))))
 
 
 def in_zone(s: Column, e: Column, zones: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import spans
+from ..functions import spans, text as tx, validators as va
 
 
 def name_parts(pairs: DataFrame, least: int = 2) -> DataFrame:
@@ -71,6 +71,48 @@ def _with(found: Column, real: str) -> Column:
     return F.transform(found, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.lit(real).alias("r")))
 
 
+def left_over(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """array<struct<s, e, fake, real>>: substitutes of pairs (real, fake) that a restored text still holds, longest first where they
+    overlap, with all values that each may stand for."""
+    by: dict[str, set[str]] = {}
+    for real, fake in pairs:
+        by.setdefault(fake, set()).add(real)
+    if not by:
+        return F.array().cast("array<struct<s:int,e:int,fake:string,real:string>>")
+    rx = "|".join(rf"\Q{f}\E" for f in sorted(by, key=lambda f: (-len(f), f)))
+    names = F.create_map(*[F.lit(x) for f, r in sorted(by.items()) for x in (f, " or ".join(sorted(r)))])
+    found = spans.matches(text, rf"(?<![\p{{L}}\p{{N}}])(?:{rx})(?![\p{{L}}\p{{N}}])")
+    return F.transform(found, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["t"].alias("fake"), F.element_at(names, m["t"]).alias("real")))
+
+
+#: Any spelling of a full date.
+_DATES = r"(?<![0-9.])(?:\d{1,2}([./-])\d{1,2}\1(?:\d{4}|\d{2})|\d{4}-\d{1,2}-\d{1,2})(?![0-9])"
+
+
+def restore_dates(answers: DataFrame, pairs: DataFrame, by: list[str], ids: list[str], ref_year: int = 2026) -> DataFrame:
+    """(by, ids, s, e, t, real): the dates of answers(by, ids, text) that are, in any spelling, the substitute of one real day among
+    pairs(by, real, fake) of the same case. A substitute of two real days is left alone."""
+    def day(c: Column) -> Column:
+        p = va.parse_date(c, ref_year)
+        return F.when(p["y"].isNotNull(), p["date"])
+
+    known = pairs.select(*by, day(F.col("fake")).alias("day"), day(F.col("real")).alias("real")).where("day IS NOT NULL AND real IS NOT NULL")
+    known = known.groupBy(*by, "day").agg(F.min("real").alias("real"), F.max("real").alias("other")).where("real = other").drop("other")
+    found = answers.select(*by, *ids, F.inline(spans.matches(F.col("text"), _DATES))).withColumn("day", day(F.col("t")))
+    return found.join(known, [*by, "day"]).select(*by, *ids, "s", "e", "t", "real")
+
+
+def first_names(texts: DataFrame, cues: dict[str, str], ordinary: list[str], word: str = r"[A-Za-z]+") -> DataFrame:
+    """(first, n, gender): words right after a cue (cue: gender) in texts(text), but ordinary ones; the gender is that of most of
+    its cues, null where they are even."""
+    rx = rf"(?<![A-Za-z])(?:{'|'.join(sorted(cues, key=len, reverse=True))}) {word}"
+    rows = texts.select(F.explode(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).alias("m"))
+    rows = rows.select(F.substring_index("m", " ", 1).alias("cue"), F.substring_index("m", " ", -1).alias("first")).where(~F.col("first").isin(ordinary))
+    said = F.element_at(F.create_map(*[F.lit(x) for kv in cues.items() for x in kv]), F.col("cue"))
+    score = F.sum(F.when(said == "m", 1).otherwise(-1))
+    return rows.groupBy("first").agg(F.count("*").alias("n"), F.when(score > 0, "m").when(score < 0, "f").alias("gender"))
+
+
 def restore_pairs(document: DataFrame, case: DataFrame) -> DataFrame:
     """Pairs (real, fake) of the document; the case's fill what is missing if their substitute is free."""
     more = case.join(document.select("real"), "real", "left_anti")

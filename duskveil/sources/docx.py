@@ -7,22 +7,26 @@ Arrow batches of bounded size. A damaged package gives one row with ``error``; n
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Namespaces of the format, parts that hold text, parts that are dropped, properties that are blanked.
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 TEXT_PARTS = r"^word/(document|header\d*|footer\d*|footnotes|endnotes|glossary/document|settings|numbering|styles|diagrams/.+|charts/.+)\.xml$"
 DROPPED = r"^(word/comments.*|word/people|docProps/custom)\.xml$|^customXml/|^docProps/thumbnail\."
-BLANKED = ["creator", "title", "subject", "description", "keywords", "lastModifiedBy", "category", "contentStatus", "Company", "Manager", "Template", "Application", "AppVersion", "identifier"]
+BLANKED = ["creator", "title", "subject", "description", "keywords", "lastModifiedBy", "LastAuthor", "category", "contentStatus", "Company", "Manager", "Template", "Application", "AppVersion", "identifier", "TitlesOfParts", "HeadingPairs", "TotalTime", "lastPrinted", "HyperlinkBase"]
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\r\n'
 LABELS = {"word/document.xml": "body", "word/footnotes.xml": "footnotes", "word/endnotes.xml": "endnotes", "word/comments.xml": "comments", "docProps/core.xml": "properties"}
 
@@ -90,6 +94,8 @@ def serialise(root: ET.Element, original: str) -> str:
     for prefix, uri in prefixes.items():
         if not re.fullmatch(r"ns\d+", prefix):  # reserved by the writer
             ET.register_namespace(prefix, uri)
+    if own_default := re.search(r"""\sxmlns=["']([^"']+)["']""", kept):
+        ET.register_namespace("", own_default[1])
     made = ET.tostring(root, encoding="unicode")
     own = root_tag(made)
     if kept and not kept.endswith("/>") and not own.endswith("/>"):
@@ -147,22 +153,82 @@ def rename_bookmarks(root: ET.Element) -> dict[str, str]:
     return names
 
 
+@dataclass
+class Block:
+    """A stretch of text and the runs that hold it: (element, attribute or None for its text, start, end); separators have
+    no element."""
+
+    text: str = ""
+    label: bool = False
+    runs: list[tuple[ET.Element | None, str | None, int, int]] = field(default_factory=list)
+
+    def add(self, element: ET.Element | None, attribute: str | None, text: str) -> None:
+        self.runs.append((element, attribute, len(self.text), len(self.text) + len(text)))
+        self.text += text
+
+
+_LABEL_ATTRIBUTES = ("descr", "title", "name", f"{{{W}}}val")
+
+
+def flatten(root: ET.Element) -> list[Block]:
+    """The blocks of a part: each paragraph of text or drawing without those nested in it, then chart labels outside
+    paragraphs, alternative texts and captions. Tabs and breaks of runs are one character."""
+    out: list[Block] = []
+
+    def walk(e: ET.Element, block: Block | None) -> None:
+        t = _tag(e)
+        if t == "p" and e.tag != t and not e.tag.endswith("presentationml}p"):
+            block = Block()
+            out.append(block)
+        elif block is not None and t == "t" or t in ("instrText", "v") and (block is not None or t == "v") and (e.text or "").strip():
+            if block is None:
+                out.append(Block(label=True))
+            (block if block is not None else out[-1]).add(e, None, e.text or "")
+            return
+        elif block is not None and t in ("tab", "br", "cr", "noBreakHyphen"):
+            block.add(None, None, {"tab": "\t", "noBreakHyphen": "-"}.get(t, "\n"))
+        elif t in ("pPr", "rPr", "sectPr"):  # tab stops are no text
+            return
+        for child in e:
+            walk(child, block)
+
+    walk(root, None)
+    for e in root.iter():
+        if _tag(e) in ("docPr", "cNvPr", "tblCaption", "tblDescription"):
+            for k in _LABEL_ATTRIBUTES:
+                if v := e.get(k):
+                    out.append(Block(label=True))
+                    out[-1].add(e, k, v)
+    return out
+
+
+def rewrite(block: Block, edits: list[tuple[int, int, str]]) -> None:
+    """Puts (start, end, text) edits, sorted and apart, into the block's runs, from the right: the new text goes to the first
+    run that the span touches, and the others lose their share. Separators inside a span stay."""
+    for s, e, new in reversed(edits):
+        todo = new
+        for element, attribute, a, b in block.runs:
+            if element is None or b <= s or a >= e or a == b:
+                continue
+            old = (element.text or "") if attribute is None else element.get(attribute, "")
+            text = old[: max(s, a) - a] + todo + old[min(e, b) - a :]  # what edits further right changed lies behind
+            todo = ""
+            if attribute is None:
+                element.text = text
+                if element.tag == f"{{{W}}}t":
+                    element.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+            else:
+                element.set(attribute, text)
+
+
 def blocks_of(xml: bytes) -> Iterator[tuple[str, bool]]:
-    """(text, label) of each paragraph, then of alternative texts; tabs and breaks are one character."""
+    """(text, label) of each block of a part as readers see it: changes accepted, hidden names and comments gone."""
     root = ET.fromstring(xml)
     accept_changes(root)
     strip_hidden(root)
-    for p in root.iter(f"{{{W}}}p"):
-        out = []
-        for e in p.iter():
-            t = _tag(e)
-            out.append(e.text or "" if t == "t" else "\t" if t == "tab" and _tag(p) == "p" else "\n" if t in ("br", "cr") else "")
-        yield "".join(out), False
-    for e in root.iter():
-        if _tag(e) in ("docPr", "cNvPr", "tblCaption"):
-            for k in ("descr", "title", "val"):
-                if v := e.get(k) or e.get(f"{{{W}}}{k}"):
-                    yield v, True
+    strip_comments(root)
+    for b in flatten(root):
+        yield b.text, b.label
 
 
 def text_to_docx(text: str) -> bytes:
@@ -203,3 +269,180 @@ def write_packages(texts: DataFrame, id_col: str = "id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_to_docx(t or "") for t in b.column(1).to_pylist()], pa.binary())], schema=schema)
 
     return texts.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, "id long, content binary")
+
+
+# --- a redacted package ---------------------------------------------------------------------------------------------------
+
+
+def _scrubbed_target(target: str) -> str:
+    """A link's target, or # where it names a person or a machine."""
+    return "#" if re.match(r"(?i)(?:mailto:|file:|[a-z]:\\|\\\\)", target) else target
+
+
+def clean_part(root: ET.Element) -> list[str]:
+    """Everything that is taken out of a part of text before it is read; gives the targets of field links that went."""
+    gone: list[str] = []
+    accept_changes(root)
+    strip_comments(root)
+    strip_hidden(root)
+    rename_bookmarks(root)
+    for parent in list(root.iter()):
+        parent[:] = [c for c in parent if _tag(c) not in ("rsids", "rsid")]
+        for k in [k for k in parent.attrib if k.rpartition("}")[2].startswith("rsid")]:
+            del parent.attrib[k]
+        if _tag(parent) == "instrText" and parent.text:
+            def scrub(m: re.Match) -> str:
+                to = _scrubbed_target(m[2])
+                gone.extend([m[2]] if to != m[2] else [])
+                return f'{m[1]}"{to}"'
+
+            parent.text = re.sub(r'((?:HYPERLINK|INCLUDETEXT|INCLUDEPICTURE)\s+)"([^"]*)"', scrub, parent.text)
+    return gone
+
+
+def clean_properties(root: ET.Element) -> None:
+    """Blank properties: no names, no times, the first revision."""
+    for e in root.iter():
+        t = _tag(e)
+        if t in BLANKED:
+            e[:] = []
+            e.text = "0" if t == "TotalTime" else ""
+        elif t in ("created", "modified"):
+            e.text = "1970-01-01T00:00:00Z"
+        elif t == "revision":
+            e.text = "1"
+
+
+def _without_dropped(root: ET.Element, base: str) -> None:
+    """Relations and content types without those of dropped parts, external targets scrubbed."""
+    for parent in list(root.iter()):
+        kept = []
+        for c in parent:
+            name = (c.get("PartName") or "").lstrip("/") or posixpath.normpath(posixpath.join(base, c.get("Target") or "")).lstrip("/")
+            if c.get("TargetMode") == "External":
+                c.set("Target", _scrubbed_target(c.get("Target") or ""))
+                kept.append(c)
+            elif not re.match(DROPPED, name):
+                kept.append(c)
+        parent[:] = kept
+
+
+def text_of(content: bytes) -> list[str]:
+    """The texts of all blocks of a package, in the order of its members."""
+    return [b.text for b in _parts(content)[1]]
+
+
+def _parts(content: bytes) -> tuple[list[tuple[str, bytes, ET.Element | None]], list[Block], list[str]]:
+    """(members that stay, with the parsed root of those that are XML; blocks of the text parts; link targets that went)."""
+    kept, blocks, gone = [], [], []
+    for name, _, raw in members(content):
+        if re.match(DROPPED, name):
+            continue
+        root = parse_xml(raw) if name.endswith((".xml", ".rels")) else None
+        if root is not None and re.match(TEXT_PARTS, name):
+            gone += clean_part(root)
+            blocks += flatten(root)
+        elif name.endswith(".rels"):
+            _without_dropped(root, posixpath.dirname(posixpath.dirname(name)))
+        elif name == "[Content_Types].xml":
+            _without_dropped(root, "")
+        elif name.startswith("docProps/"):
+            clean_properties(root)
+        kept.append((name, raw, root))
+    return kept, blocks, gone
+
+
+def redact_package(content: bytes, edits: list[tuple[int, int, str, str]]) -> tuple[bytes, list[str]]:
+    """(the package with (start, end, new, old) edits of the blocks' texts joined by newlines, what still leaks as part: value).
+
+    Substitutes go into the runs; parts that hold no blocks lose the old values, longest first, in plain and in escaped form;
+    then every member's bytes are searched for every old value of two characters or more."""
+    kept, blocks, _ = _parts(content)
+    at, k = 0, 0
+    for block in blocks:
+        own = []
+        while k < len(edits) and edits[k][0] < at + len(block.text):
+            own.append((edits[k][0] - at, min(edits[k][1] - at, len(block.text)), edits[k][2]))
+            k += 1
+        rewrite(block, own)
+        at += len(block.text) + 1
+    secrets = sorted({old: new for _, _, new, old in edits if len(old) >= 2}.items(), key=lambda x: (-len(x[0]), x[0]))
+    out = []
+    for name, raw, root in kept:
+        if root is not None:
+            made = serialise(root, raw.decode("utf-8", "replace"))
+            if not re.match(TEXT_PARTS, name):
+                for old, new in secrets:
+                    for a, b in ((old, new), (escape(old), escape(new))):
+                        made = made.replace(a, b)
+            raw = made.encode()
+        out.append((name, raw))
+    return package(out), [f"{name}: {old}" for name, raw in out for old, _ in secrets if _leaks(raw, old)]
+
+
+def _leaks(raw: bytes, old: str) -> bool:
+    """Whether a member holds a value: as UTF-8 or UTF-16LE, as it is, without tags, or with underscores for spaces. A value
+    that begins or ends with a digit is not found inside a longer number."""
+    rx = re.compile(("(?<![0-9])" if old[0].isdigit() else "") + re.escape(old) + ("(?![0-9])" if old[-1].isdigit() else ""))
+    plain = raw.decode("utf-8", "replace")
+    texts = [plain, re.sub(r"<[^>]*>", "", plain), plain.replace("_", " ")]
+    return any(rx.search(t) or rx.search(t.replace("&amp;", "&").replace("&lt;", "<").replace("&gt;", ">")) for t in texts) or old.encode("utf-16-le") in raw
+
+
+def _appended(df: DataFrame, name: str, kind: str, inputs: list[str], work: Callable) -> DataFrame:
+    """df with one more column, work(*inputs) of each row, in Arrow batches; null where an input is null or damaged."""
+    made = df.sparkSession.createDataFrame([], f"{name} {kind}").schema
+    at, arrow = [df.columns.index(c) for c in inputs], to_arrow_schema(made).field(0).type
+
+    def one(*x):
+        try:
+            return work(*x) if all(v is not None for v in x) else None
+        except (zipfile.BadZipFile, ValueError, zlib.error):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = pa.array([one(*x) for x in zip(*(b.column(i).to_pylist() for i in at))], arrow)
+            yield pa.RecordBatch.from_arrays([*b.columns, new], [*b.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *made.fields]))
+
+
+def with_text(packages: DataFrame, content_col: str = "content", text_col: str = "text") -> DataFrame:
+    """packages with the text of all blocks, joined by newlines, as ``redact_package`` counts them; null for a damaged one."""
+    return _appended(packages, text_col, "string", [content_col], lambda c: "\n".join(text_of(c)))
+
+
+def redacted_packages(packages: DataFrame, edits_col: str = "edits", content_col: str = "content") -> DataFrame:
+    """packages with ``redacted`` (struct of content and leaks, part: value), from the applied edits of their text; null for a
+    damaged package. Packages are rewritten where they are: nothing is shuffled."""
+    done = F.transform(F.filter(edits_col, lambda x: x["apply"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["r"].alias("r"), x["t"].alias("t")))
+
+    def work(content: bytes, edits: list[dict]) -> dict:
+        made, leaks = redact_package(content, [(x["s"], x["e"], x["r"], x["t"]) for x in edits])
+        return {"content": made, "leaks": leaks}
+
+    return _appended(packages.withColumn("_done", done), "redacted", "struct<content:binary,leaks:array<string>>", [content_col, "_done"], work).drop("_done")
+
+
+def rich_package(text: str) -> bytes:
+    """A package that holds a text in every kind of place: lines as paragraphs of several runs, then the first line again in a
+    text box, a header, a chart, a comment, a deletion and the properties. For drills and tests."""
+    lines = text.split("\n")
+    first = escape(lines[0])
+    run = lambda s: f'<w:r w:rsidR="00AB"><w:t xml:space="preserve">{escape(s)}</w:t></w:r>'
+    body = "".join(f"<w:p><w:pPr><w:tabs><w:tab w:val=\"left\"/></w:tabs></w:pPr>{''.join(run(x[i : i + 11]) for i in range(0, len(x), 11))}</w:p>" for x in lines)
+    box = f"<w:p><w:r><w:pict><w:txbxContent><w:p>{run(lines[0])}</w:p></w:txbxContent></w:pict></w:r><w:del w:author=\"a\"><w:r><w:delText>{first}</w:delText></w:r></w:del></w:p>"
+    doc = f'<w:document xmlns:w="{W}"><w:body>{body}{box}</w:body></w:document>'
+    chart = f'<c:chartSpace xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart"><c:cat><c:pt><c:v>{first}</c:v></c:pt></c:cat></c:chartSpace>'
+    props = f'<cp:coreProperties xmlns:cp="urn:cp" xmlns:dc="urn:dc"><dc:creator>{first}</dc:creator><cp:revision>9</cp:revision></cp:coreProperties>'
+    types = '<Types xmlns="urn:types"><Override PartName="/word/comments.xml" ContentType="x"/><Override PartName="/word/document.xml" ContentType="x"/></Types>'
+    header = f'<w:hdr xmlns:w="{W}"><w:p>{run(lines[0])}</w:p></w:hdr>'
+    comments = f'<w:comments xmlns:w="{W}"><w:comment w:author="x"><w:p>{run(lines[0])}</w:p></w:comment></w:comments>'
+    parts = [("[Content_Types].xml", types), ("word/document.xml", doc), ("word/header1.xml", header), ("word/charts/chart1.xml", chart), ("word/comments.xml", comments), ("docProps/core.xml", props)]
+    return package([(name, xml.encode()) for name, xml in parts])
+
+
+def rich_packages(texts: DataFrame, text_col: str = "text", content_col: str = "content") -> DataFrame:
+    """texts with a rich package of each."""
+    return _appended(texts, content_col, "binary", [text_col], rich_package)
