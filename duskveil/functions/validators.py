@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import spans
+
 #: Month names and their numbers (one month has two spellings).
 MONTHS = {"ינואר": 1, "פברואר": 2, "מרץ": 3, "מרס": 3, "אפריל": 4, "מאי": 5, "יוני": 6, "יולי": 7, "אוגוסט": 8, "ספטמבר": 9, "אוקטובר": 10, "נובמבר": 11, "דצמבר": 12}
 
@@ -56,30 +58,40 @@ def full_year(y: Column, ref_year: int) -> Column:
 def parse_date(c: Column, ref_year: int) -> Column:
     """struct<d, m, y, form, sep, pd, pm, y2, conn> of a date that exists, else null. y is null without a year; then
     29.2 counts as a date."""
-    g = lambda rx, i: F.nullif(F.regexp_extract(t, rx, i), F.lit(""))
-    t = F.trim(c)
     num, iso = r"^(\d{1,2})([./-])(\d{1,2})(?:\2(\d{4}|\d{2}))?$", r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
     word = r"^(\d{1,2})(\s+[בל]?-?)(" + "|".join(MONTHS) + r")(?:(,?\s+)(\d{4}))?$"
     month = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    is_num = t.rlike(num) & (g(num, 4).isNotNull() | (g(num, 2) != "-"))
-    form = F.when(is_num, "num").when(t.rlike(iso), "iso").when(t.rlike(word), "words")
-    d = F.when(form == "num", g(num, 1)).when(form == "iso", g(iso, 3)).otherwise(g(word, 1))
-    m = F.when(form == "num", g(num, 3)).when(form == "iso", g(iso, 2))
-    mi = F.when(form == "words", F.element_at(month, F.coalesce(g(word, 3), F.lit("")))).otherwise(m.try_cast("int"))
-    y = F.when(form == "num", full_year(g(num, 4), ref_year)).when(form == "iso", g(iso, 1).try_cast("int")).otherwise(g(word, 5).try_cast("int"))
-    ref = F.coalesce(y, F.when((mi == 2) & (d.try_cast("int") == 29), 2024).otherwise(2025))
-    date = F.try_make_timestamp(ref, mi, d.try_cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    zero = lambda x: F.coalesce((F.length(x) == 2) & x.startswith("0"), F.lit(False))
-    pad = lambda x: F.when(form == "iso", F.length(x) == 2).otherwise(zero(x))
-    conn = F.when(form == "words", g(word, 2))
-    made = F.struct(d.try_cast("int").alias("d"), mi.alias("m"), y.alias("y"), form.alias("form"), g(num, 2).alias("sep"), pad(d).alias("pd"), pad(m).alias("pm"), F.coalesce(F.length(g(num, 4)) == 2, F.lit(False)).alias("y2"), conn.alias("conn"), g(word, 4).alias("gap"), g(word, 3).alias("month"), date.alias("date"))
-    return F.when(form.isNotNull() & date.isNotNull(), made)
+    groups = {"n": (num, 4), "i": (iso, 3), "w": (word, 5)}
+
+    def read(t: Column) -> Column:
+        return F.struct(*[F.nullif(F.regexp_extract(t, rx, k), F.lit("")).alias(f"{name}{k}") for name, (rx, size) in groups.items() for k in range(1, size + 1)])
+
+    def parts(x: Column) -> Column:
+        form = F.when(x["n1"].isNotNull() & (x["n4"].isNotNull() | (x["n2"] != "-")), "num").when(x["i1"].isNotNull(), "iso").when(x["w1"].isNotNull(), "words")
+        return spans.let(form, lambda form: F.struct(
+            form.alias("form"), F.when(form == "num", x["n1"]).when(form == "iso", x["i3"]).otherwise(x["w1"]).alias("d"), F.when(form == "num", x["n3"]).when(form == "iso", x["i2"]).alias("m"),
+            F.when(form == "words", F.element_at(month, F.coalesce(x["w3"], F.lit("")))).when(form == "num", x["n3"].try_cast("int")).otherwise(x["i2"].try_cast("int")).alias("mi"),
+            F.when(form == "num", full_year(x["n4"], ref_year)).when(form == "iso", x["i1"].try_cast("int")).otherwise(x["w5"].try_cast("int")).alias("y"),
+            x["n2"].alias("sep"), F.coalesce(F.length(x["n4"]) == 2, F.lit(False)).alias("y2"), F.when(form == "words", x["w2"]).alias("conn"), x["w4"].alias("gap"), x["w3"].alias("month"),
+        ))
+
+    def dated(x: Column) -> Column:
+        ref = F.coalesce(x["y"], F.when((x["mi"] == 2) & (x["d"].try_cast("int") == 29), 2024).otherwise(2025))
+        date = F.try_make_timestamp(ref, x["mi"], x["d"].try_cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+        zero = lambda c: F.coalesce((F.length(c) == 2) & c.startswith("0"), F.lit(False))
+        pad = lambda c: F.when(x["form"] == "iso", F.length(c) == 2).otherwise(zero(c))
+        made = lambda date: F.struct(x["d"].try_cast("int").alias("d"), x["mi"].alias("m"), x["y"].alias("y"), x["form"].alias("form"), x["sep"].alias("sep"), pad(x["d"]).alias("pd"), pad(x["m"]).alias("pm"), x["y2"].alias("y2"), x["conn"].alias("conn"), x["gap"].alias("gap"), x["month"].alias("month"), date.alias("date"))
+        return spans.let(date, lambda date: F.when(x["form"].isNotNull() & date.isNotNull(), made(date)))
+
+    return spans.let(F.trim(c), lambda t: spans.let(read(t), lambda x: spans.let(parts(x), dated)))
 
 
 def shift_date(c: Column, days: Column, ref_year: int) -> Column:
     """The date so many days later in the same spelling; null if it is no date."""
-    p = parse_date(c, ref_year)
-    t = F.date_add(p["date"], days)
+    return spans.let(parse_date(c, ref_year), lambda p: spans.let(F.date_add(p["date"], days), lambda t: _spelled(p, t)))
+
+
+def _spelled(p: Column, t: Column) -> Column:
     z = lambda n, pad: F.when(pad & (n < 10), F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
     y, m, d = F.year(t), F.month(t), F.day(t)
     dm = F.concat(z(d, p["pd"]), p["sep"], z(m, p["pm"]))

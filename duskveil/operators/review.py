@@ -93,8 +93,7 @@ def restore_dates(answers: DataFrame, pairs: DataFrame, by: list[str], ids: list
     """(by, ids, s, e, t, real): the dates of answers(by, ids, text) that are, in any spelling, the substitute of one real day among
     pairs(by, real, fake) of the same case. A substitute of two real days is left alone."""
     def day(c: Column) -> Column:
-        p = va.parse_date(c, ref_year)
-        return F.when(p["y"].isNotNull(), p["date"])
+        return spans.let(va.parse_date(c, ref_year), lambda p: F.when(p["y"].isNotNull(), p["date"]))
 
     known = pairs.select(*by, day(F.col("fake")).alias("day"), day(F.col("real")).alias("real")).where("day IS NOT NULL AND real IS NOT NULL")
     known = known.groupBy(*by, "day").agg(F.min("real").alias("real"), F.max("real").alias("other")).where("real = other").drop("other")
