@@ -218,17 +218,20 @@ def components(links: DataFrame) -> DataFrame:
     centres of large stars by broadcast (``common.hot_join``).
     """
     edges = common.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    state = None
+    state, n = None, edges.count()
     while True:
+        few = 2 * n <= common.HOT_ROWS  # no key can be hot
+        join = (lambda many, one, counts: many.join(one, "u")) if few else (lambda many, one, counts: common.hot_join(many, one, "u", counts=counts))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count"))
-        large = common.hot_join(both, low.select("u", F.least("u", "m").alias("m")), "u", counts=low.select("u", "count"))
-        large = common.stored(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large")
+        large = join(both, low.select("u", F.least("u", "m").alias("m")), low.select("u", "count"))
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = large if few else common.stored(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count"))
-        small = common.hot_join(large, low.select("u", "m"), "u", counts=low.select("u", "count"))
+        small = join(large, low.select("u", "m"), low.select("u", "count"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = common.stored(small.where("u > v").distinct(), "edges")
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).cast("string")).first()
         if (row[0], row[1]) == state:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        state = (row[0], row[1])
+        state, n = (row[0], row[1]), row[0]
