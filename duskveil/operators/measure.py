@@ -54,6 +54,17 @@ def pair_up(gold: DataFrame, pred: DataFrame, by: list[str], typed: bool = True)
     return lists.select(*by, F.inline(kept))
 
 
+def doc_counts(gold: DataFrame, pred: DataFrame, by: str = "doc") -> DataFrame:
+    """(by, tp, fp, fn, traps) of gold(by, id, s, e, type, must) and pred(by, id, s, e, type, score): documents without gold or without
+    predictions count too; a trap (not must) is hit by any prediction that overlaps it."""
+    tp = pair_up(gold.where("must"), pred, [by]).groupBy(by).agg(F.count("*").alias("tp"))
+    hit = (F.col(f"g.{by}") == F.col(f"p.{by}")) & (F.col("g.s") < F.col("p.e")) & (F.col("p.s") < F.col("g.e"))
+    traps = gold.where("not must").alias("g").join(pred.alias("p"), hit, "left_semi").groupBy(by).agg(F.count("*").alias("traps"))
+    made = pred.groupBy(by).agg(F.count("*").alias("np")).join(gold.groupBy(by).agg(F.count_if("must").alias("ng")), by, "full_outer")
+    made = made.join(tp, by, "left").join(traps, by, "left").na.fill(0, ["np", "ng", "tp", "traps"])
+    return made.select(by, "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn"), "traps")
+
+
 def sweep(pred: DataFrame, positives: int, grid: list[float]) -> DataFrame:
     """(t, tp, fp, p, r, f2) of pred(score, hit) at each threshold; pred is aggregated by score first, so the grid meets a
     few rows only."""

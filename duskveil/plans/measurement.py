@@ -74,16 +74,12 @@ def m7(spark, sf_dir):
     return ms.pair_up(values(spark, "doc int, id int, s int, e int, type string, must boolean", _GOLD), values(spark, "doc int, id int, s int, e int, type string, score double", _PRED), ["doc"])
 
 
-@query("M8_doc_counts", "SELECT * FROM (VALUES (1, 1, 2, 0, 1), (2, 2, 0, 0, 0)) AS v(doc, tp, fp, fn, traps)")
+@query("M8_doc_counts", "SELECT * FROM (VALUES (1, 1, 2, 0, 1), (2, 2, 0, 0, 0), (98, 0, 0, 1, 0), (99, 0, 1, 0, 0)) AS v(doc, tp, fp, fn, traps)")
 def m8(spark, sf_dir):
-    g = values(spark, "doc int, id int, s int, e int, type string, must boolean", _GOLD)
-    p = values(spark, "doc int, id int, s int, e int, type string, score double", _PRED)
-    pairs = ms.pair_up(g.where("must"), p, ["doc"])
-    tp = pairs.groupBy("doc").agg(F.count("*").alias("tp"))
-    n = p.groupBy("doc").agg(F.count("*").alias("np")).join(g.where("must").groupBy("doc").agg(F.count("*").alias("ng")), "doc").join(tp, "doc", "left")
-    traps = g.where("not must").alias("g").join(p.alias("p"), (F.col("g.doc") == F.col("p.doc")) & (F.col("g.s") < F.col("p.e")) & (F.col("p.s") < F.col("g.e")), "left_semi").groupBy("doc").agg(F.count("*").alias("traps"))
-    i = lambda c: c.cast("int")
-    return n.join(traps, "doc", "left").select("doc", i(F.coalesce("tp", F.lit(0))).alias("tp"), i(F.col("np") - F.coalesce("tp", F.lit(0))).alias("fp"), i(F.col("ng") - F.coalesce("tp", F.lit(0))).alias("fn"), i(F.coalesce("traps", F.lit(0))).alias("traps"))
+    """Document 98 has no predictions, document 99 no gold."""
+    g = values(spark, "doc int, id int, s int, e int, type string, must boolean", [*_GOLD, (98, 900, 0, 4, "PER", True)])
+    p = values(spark, "doc int, id int, s int, e int, type string, score double", [*_PRED, (99, 901, 0, 4, "PER", 0.9)])
+    return ms.doc_counts(g, p).select("doc", *[F.col(c).cast("int").alias(c) for c in ("tp", "fp", "fn", "traps")])
 
 
 @query("M6_snap", "WITH g AS (SELECT doc_id, instr(text, ' ') - 1 AS s FROM documents WHERE instr(text, ' ') > 0), w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ ]+')) AS w, generate_subscripts(regexp_extract_all(text, '[^ ]+'), 1) AS i FROM documents) SELECT g.doc_id, CAST(0 AS INTEGER) AS s, CAST(g.s + 1 + coalesce((SELECT length(w) FROM w WHERE w.doc_id = g.doc_id AND i = 2), 0) AS INTEGER) AS e FROM g JOIN documents d USING (doc_id) WHERE substr(text, 1, 1) <> ' ' AND substr(text, g.s + 2, 1) <> ' ' AND length(text) > g.s + 1")
