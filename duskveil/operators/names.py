@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import spans
+from ..functions import spans, text as tx
 
 
 def ngrams(tokens: DataFrame, by: list[str], most: int = 3) -> DataFrame:
@@ -32,6 +32,38 @@ def find_places(tokens: DataFrame, places: DataFrame, by: list[str], most: int =
     return kept.select(*by, "s", "e", F.col("gram").alias("name"), ((F.length("gram") <= 3) | F.col("ambiguous")).alias("review"))
 
 
+def gazetteer(tokens: DataFrame, names: DataFrame, by: list[str], public: str, prefixes: str = "", most: int = 3) -> DataFrame:
+    """(by, s, e, name, review) of names(name, ambiguous) of two words and more, unless the name with the word or the two
+    words before it matches ``public``: then it is part of a public body. Names of one word are ordinary words too often."""
+    w = Window.partitionBy(*by).orderBy("tok_ix")
+    before = tokens.select(*by, F.col("s").alias("at"), F.lag("w", 1).over(w).alias("w1"), F.lag("w", 2).over(w).alias("w2"))
+    known = names.where(F.instr("name", " ") > 0)
+    hit = find_places(tokens, known, by, most).join(before.withColumnRenamed("at", "s"), [*by, "s"])
+    bare = lambda c: F.regexp_replace(c, f"^[{prefixes}]", "") if prefixes else c
+    seen = [F.concat_ws(" ", *[F.col(c) for c in cols], F.col("name")) for cols in (["w2", "w1"], ["w1"])]
+    body = [x.rlike(public) | bare(x).rlike(public) for x in seen]
+    return hit.where(~(body[0] | body[1])).select(*by, "s", "e", "name", "review")
+
+
+def venues(text: Column, families: dict[str, str], name: str, drop: list[str], public: str | None = None) -> Column:
+    """array<struct<s, e, t, kind>>: the names after the head words of each family (kind: pattern of its heads), without the words
+    of ``drop`` at their end. What is nothing then, or makes a public body with its head, is none. All are for review."""
+    one = [F.transform(spans.matches(text, rf"(?<!\p{{L}})(?:{heads})\s+(?:{name})"), _venue(kind, heads, drop)) for kind, heads in families.items()]
+    found = F.array_sort(F.flatten(F.array(*one)))
+    good = F.filter(found, lambda m: (F.length(m["t"]) > 0) & ~m["whole"].rlike(public or "^$"))
+    return F.transform(good, lambda m: F.struct(m["s"], m["e"], m["t"], m["kind"]))
+
+
+def _venue(kind: str, heads: str, drop: list[str]):
+    def cut(m: Column) -> Column:
+        raw = F.regexp_replace(m["t"], rf"^(?:{heads})\s+", "")
+        kept = tx.trim_tail_words(raw, drop)
+        at = m["e"] - F.length(raw)
+        return F.struct(at.alias("s"), (at + F.length(kept)).alias("e"), kept.alias("t"), F.lit(kind).alias("kind"), m["t"].alias("whole"))
+
+    return cut
+
+
 @dataclass(frozen=True)
 class Anchor:
     """A context in which group 1 is a candidate name."""

@@ -22,6 +22,37 @@ def name_parts(pairs: DataFrame, least: int = 2) -> DataFrame:
     return made.groupBy("part").agg(F.min("to").alias("to"), (F.count("*") > 1).alias("shared"))
 
 
+#: Words that come before a street's name. Fixed values.
+STREET_HEADS = ["רחוב", "רח'", "שדרות", "שד'", "סמטת", "סמטה", "דרך", "שכונת", "כיכר", "ככר", "מעלה", "נחל", "משעול"]
+
+
+def street_names(values: Column, heads: list[str], prefixes: str = "בהולמכש", least: int = 3) -> Column:
+    """The name alone of a street, address or quarter that was replaced: what follows its head word, without the house
+    number and what comes after it; the head may carry one prefix letter. Null without a head or under ``least`` letters."""
+    head = "|".join(rf"\Q{h}\E" for h in sorted(heads, key=lambda h: (-len(h), h)))
+    name = F.trim(F.regexp_extract(F.trim(values), rf"^[{prefixes}]?(?:{head})\s+(.+?)(?:\s+\d.*)?$", 1))
+    return F.when(F.length(name) >= least, name)
+
+
+def swept_values(applied: DataFrame, by: list[str], least: int = 4) -> DataFrame:
+    """(by, value, rep) of applied(by, value, rep): the values that a second pass looks for everywhere. A value that its own
+    substitute holds would be found in the substitute, so it is left out; of several substitutes the first in order stays."""
+    value = F.trim("value")
+    fit = (F.length(value) >= least) & F.col("rep").isNotNull() & ~F.contains(F.col("rep"), value)
+    return applied.where(fit).groupBy(*by, value.alias("value")).agg(F.min("rep").alias("rep"))
+
+
+def protected(hits: Column, zones: Column) -> Column:
+    """The hits (structs with s, e) that lie in no zone: substitutes that are written already are not text of the document."""
+    return F.filter(hits, lambda h: ~F.exists(zones, lambda z: (z["s"] <= h["s"]) & (h["e"] <= z["e"])))
+
+
+def label_suggestions(label: Column, name: str = r"\p{Lu}\p{L}{2,13}", most: int = 3) -> Column:
+    """Whether a chart's label may be a name: one to ``most`` words, each like a name."""
+    words = F.split(label, " ")
+    return F.forall(words, lambda w: w.rlike(f"^{name}$")) & (F.size(words) <= most) & (label != "")
+
+
 def closure(edges: DataFrame, most: int = 20) -> DataFrame:
     """(name, root): where each chain name -> same_as ends; a cycle ends at its own smallest name. Chains are followed by
     doubling, so the number of joins is the logarithm of the longest."""

@@ -33,23 +33,40 @@ def g1(spark, sf_dir):
     return found.groupBy("doc_id", "name", "review").agg(F.count("*").alias("n"))
 
 
-@query("G2_gazetteer_multiword", f"WITH {_TOK}, x AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY tok_ix) AS w2, lag(w) OVER (PARTITION BY doc_id ORDER BY tok_ix) AS w0 FROM t) SELECT doc_id, count(*) AS n FROM x WHERE w || ' ' || w2 = 'of the' AND coalesce(w0 NOT IN ('Court', 'Ministry', 'tion'), true) GROUP BY doc_id")
-def g2(spark, sf_dir):
-    from pyspark.sql import Window
+_GAZ = [("of the", False), ("the", False), ("in the", True)]
+
 
-    t = tokens(spark, sf_dir)
-    public = F.lag("w").over(Window.partitionBy("doc_id").orderBy("tok_ix")).isin("Court", "Ministry", "tion")
-    two = nm.ngrams(t.withColumn("w", F.when(F.coalesce(public, F.lit(False)), F.concat(F.lit("!"), "w")).otherwise(F.col("w"))), ["doc_id"], 2).where("n = 2 and gram = 'of the'")
-    return two.groupBy("doc_id").agg(F.count("*").alias("n"))
+@query(
+    "G2_gazetteer_multiword",
+    f"""
+WITH {_TOK}, x AS (SELECT *, lead(w) OVER v AS n1, lag(w) OVER v AS p1, lag(w, 2) OVER v AS p2 FROM t WINDOW v AS (PARTITION BY doc_id ORDER BY tok_ix)),
+h AS (SELECT doc_id, w || ' ' || n1 AS name, concat_ws(' ', p1, w, n1) AS c1, concat_ws(' ', p2, p1, w, n1) AS c2 FROM x WHERE w || ' ' || n1 IN ('of the', 'in the'))
+SELECT doc_id, name, name = 'in the' AS review, count(*) AS n FROM h WHERE NOT regexp_matches(c1, '^(?:Court|tion) of') AND NOT regexp_matches(c2, '^(?:Court|tion) of') GROUP BY ALL""",
+)
+def g2(spark, sf_dir):
+    """Names of one word ("the") are never found; those that belong to a public body are passed over."""
+    names = F.broadcast(values(spark, "name string, ambiguous boolean", _GAZ))  # a lexicon of fixed size
+    found = nm.gazetteer(tokens(spark, sf_dir), names, ["doc_id"], "^(?:Court|tion) of")
+    return found.groupBy("doc_id", "name", "review").agg(F.count("*").alias("n"))
 
 
-_VENUES = [(1, "met at Hotel Carmel today", "Hotel Carmel"), (2, "the School Tavor and", "School Tavor"), (3, "no venue", None)]
+#: Heads by kind; the words of the tables play their part.
+_FAMILIES = {"school": "the|of", "body": "and"}
 
 
-@query("G3_venues", f"SELECT id, CAST(want AS VARCHAR) AS venue, want IS NOT NULL AS review FROM {sql_values('id, t, want', _VENUES)}")
+@query(
+    "G3_venues",
+    r"""
+WITH m AS (SELECT doc_id, 'school' AS kind, unnest(regexp_extract_all(text, '(?:^|[^\p{L}])(?:the|of) [A-Z][a-z]+(?: [A-Z][a-z]+)?')) AS t FROM documents
+  UNION ALL SELECT doc_id, 'body', unnest(regexp_extract_all(text, '(?:^|[^\p{L}])and [A-Z][a-z]+(?: [A-Z][a-z]+)?')) FROM documents),
+n AS (SELECT doc_id, kind, regexp_replace(t, '^[^\p{L}]?(?:the|of|and) ', '') AS t FROM m),
+k AS (SELECT doc_id, kind, trim(regexp_replace(t, '(?:^| )(?:The|And)(?: (?:The|And))*$', '')) AS name FROM n)
+SELECT doc_id, kind, name, count(*) AS n FROM k WHERE name <> '' GROUP BY ALL""",
+)
 def g3(spark, sf_dir):
-    v = F.nullif(F.regexp_extract("t", r"\b((?:Hotel|School|Clinic|Hospital|Mall) \p{Lu}\p{L}+)", 1), F.lit(""))
-    return values(spark, "id int, t string, want string", _VENUES).select("id", v.alias("venue"), v.isNotNull().alias("review"))
+    found = nm.venues(F.col("text"), _FAMILIES, "[A-Z][a-z]+(?: [A-Z][a-z]+)?", ["The", "And"])
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.inline(found))
+    return docs.groupBy("doc_id", "kind", F.col("t").alias("name")).agg(F.count("*").alias("n"))
 
 
 @query("G4_places_found", f"WITH {_TOK}, f AS (SELECT w AS name, count(*) AS n FROM t WHERE w IN ('thing', 'Erin', 'Tion') GROUP BY w) SELECT name, n, name IN ('thing', 'Tion') AS mappable, name = 'Erin' AS ambiguous FROM f")
