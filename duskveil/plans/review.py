@@ -67,7 +67,8 @@ def r18(spark, sf_dir):
 @query("W1_value_sweep", f"WITH h AS ({hit_sql(N['EMAIL'])}), v AS (SELECT DISTINCT lower(t) AS value FROM h), w AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[A-Za-z]'))) AS w FROM documents) SELECT doc_id, value FROM w JOIN v ON w.w = v.value")
 def w1(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    listed = docs.select(F.explode(F.regexp_extract_all("text", F.lit(N["EMAIL"].rx), F.lit(0))).alias("value")).select(F.lower("value").alias("value")).distinct()
+    applied = docs.select(F.explode(F.regexp_extract_all("text", F.lit(N["EMAIL"].rx), F.lit(0))).alias("value")).select(F.lower("value").alias("value"), F.lit("[EMAIL]").alias("rep"))
+    listed = rv.swept_values(applied, [])
     words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[A-Za-z]"), F.lit(0))).alias("w")).select("doc_id", F.lower("w").alias("value")).distinct()
     return words.join(listed, "value").select("doc_id", "value")
 
@@ -91,9 +92,15 @@ def w3(spark, sf_dir):
     return own.unionAll(made).select("id", rv.street_names(F.col("t"), rv.STREET_HEADS).alias("street"))
 
 
-@query("W4_protected_zones", f"WITH RECURSIVE {_WALK}{_GAPS}, z AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(redacted, '\\[[A-Z_]+ [0-9]+\\]')) FROM red) GROUP BY doc_id) SELECT doc_id, CAST(n AS INTEGER) AS zones FROM z")
+_LABEL = r"\[[A-Z_]+ [0-9]+\]"
+
+
+@query("W4_protected_zones", rf"WITH RECURSIVE {_WALK}{_GAPS} SELECT doc_id, len(regexp_extract_all(redacted, '{_LABEL}')) AS zones, len(regexp_extract_all(regexp_replace(redacted, '{_LABEL}', ' ', 'g'), '[A-Z]+')) AS free FROM red WHERE regexp_matches(redacted, '{_LABEL}')")
 def w4(spark, sf_dir):
-    return redacted(spark, sf_dir).select("doc_id", F.size(spans.matches(F.col("redacted"), r"\[[A-Z_]+ [0-9]+\]")).alias("zones")).where("zones > 0")
+    """Runs of capitals that a second pass may touch: those inside labels that are written already are protected."""
+    zones = spans.matches(F.col("redacted"), _LABEL)
+    free = spans.let(zones, lambda z: F.size(rv.protected(spans.matches(F.col("redacted"), "[A-Z]+"), z)))
+    return redacted(spark, sf_dir).where(F.col("redacted").rlike(_LABEL)).select("doc_id", F.size(zones).cast("long").alias("zones"), free.cast("long").alias("free"))
 
 
 @query(
