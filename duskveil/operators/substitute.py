@@ -26,6 +26,19 @@ def keyed(kept: Column) -> Column:
     return F.transform(kept, lambda h: F.struct(h["s"].alias("s"), h["e"].alias("e"), detect.family(h["type"]).alias("fam"), detect.canonical_key(h["type"], h["t"]).alias("key"), h["t"].alias("t")))
 
 
+def ambiguity(text: Column, pairs: Column) -> Column:
+    """array<struct<rep, n_values, occurs, ambiguous>> of pairs struct<value, rep>, by first appearance: a substitute is ambiguous if
+    it stands for several values or if the source text held it already."""
+    reps = F.array_distinct(F.transform(pairs, lambda x: x["rep"]))
+
+    def facts(r: Column) -> Column:
+        own = F.transform(F.filter(pairs, lambda x: x["rep"] == r), lambda x: x["value"])
+        n, held = F.size(F.array_distinct(own)), F.contains(text, r)
+        return F.struct(r.alias("rep"), n.alias("n_values"), held.alias("occurs"), ((n > 1) | held).alias("ambiguous"))
+
+    return F.transform(reps, facts)
+
+
 def ordinals(hits: Column) -> Column:
     """keyed hits with n, the rank of their key among its family's keys by first appearance."""
     firsts = F.array_distinct(F.transform(hits, lambda h: F.struct(h["fam"].alias("fam"), h["key"].alias("key"))))

@@ -254,11 +254,12 @@ def r15(spark, sf_dir):
     return values(spark, "id int, rep string, pinned boolean, style string", _PIN).select("id", F.when(F.col("pinned") & (F.col("style") != "name"), None).otherwise(F.col("rep")).alias("rep"))
 
 
-@query("R16_ambiguity", f"WITH RECURSIVE {_WALK} SELECT doc_id, fam, CAST(count(DISTINCT key) AS BIGINT) AS n_keys, count(DISTINCT key) > 1 AS ambiguous FROM r GROUP BY doc_id, fam")
+@query("R16_ambiguity", f"WITH RECURSIVE {_WALK}, g AS (SELECT doc_id, fam, CAST(count(DISTINCT key) AS INTEGER) AS n_values FROM r GROUP BY doc_id, fam) SELECT doc_id, fam AS rep, n_values, contains(text, fam) AS occurs, n_values > 1 OR contains(text, fam) AS ambiguous FROM g JOIN documents USING (doc_id)")
 def r16(spark, sf_dir):
-    rows = resolved(spark, sf_dir).select("doc_id", F.inline(su.keyed(F.col("kept"))))
-    n = F.countDistinct("key")
-    return rows.groupBy("doc_id", "fam").agg(n.alias("n_keys"), (n > 1).alias("ambiguous"))
+    """Labels without a number as substitutes."""
+    pairs = F.transform(su.keyed(F.col("kept")), lambda h: F.struct(h["key"].alias("value"), h["fam"].alias("rep")))
+    rows = resolved(spark, sf_dir).select("doc_id", "text", pairs.alias("pairs"))
+    return rows.select("doc_id", F.inline(su.ambiguity(F.col("text"), F.col("pairs"))))
 
 
 _P1 = [(1, "גר ברחוב הזית 3", 4, 3, "ב"), (2, "רחוב הזית 3", 0, 0, ""), (3, "של שברחוב", 5, 5, "")]

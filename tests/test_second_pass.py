@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from duskveil.functions import spans
 from duskveil.operators import names as nm
 from duskveil.operators import review as rv
+from duskveil.operators import substitute as su
 
 
 def test_venues(spark):
@@ -37,3 +38,11 @@ def test_protected(spark):
     df = spark.createDataFrame([("AB [NAME 1] CD",), ("",), (None,)], "t string")
     kept = rv.protected(spans.matches(F.col("t"), "[A-Z]+"), spans.matches(F.col("t"), r"\[[A-Z]+ \d+\]"))
     assert [[h.t for h in r[0]] for r in df.select(kept).collect()] == [["AB", "CD"], [], []]
+
+
+def test_ambiguity(spark):
+    """Two values behind one substitute, or a substitute that the source holds; the same value twice is no ambiguity."""
+    pairs = "array(named_struct('value', 'Dana', 'rep', 'Noa'), named_struct('value', 'Dana', 'rep', 'Noa'), named_struct('value', 'Ron', 'rep', 'Tal'), named_struct('value', 'Gil', 'rep', 'Tal'), named_struct('value', 'Lea', 'rep', 'Adi'))"
+    df = spark.range(1).selectExpr("'Dana, Ron, Gil, Lea and Adi' AS text", f"{pairs} AS pairs")
+    got = df.select(F.inline(su.ambiguity(F.col("text"), F.col("pairs")))).collect()
+    assert [tuple(r) for r in got] == [("Noa", 1, False, False), ("Tal", 2, False, True), ("Adi", 1, True, True)]
