@@ -133,7 +133,11 @@ def detected(docs: DataFrame, text: Column, rules: list[Rule], allow: list[str],
         made = made.withColumn("_found", F.concat(found, F.filter("_codes", lambda z: ~F.exists(found, lambda h: (h["s"] < z["e"]) & (z["s"] < h["e"]))))).drop("_codes")
     found = F.filter("_found", lambda h: ~detect.in_zone(h["s"], h["e"], F.col("_allowed")) & ~detect.in_zone(h["s"], h["e"], F.col("_ages")))
     listed = F.filter("_listed", lambda h: ~F.exists("_allowed", lambda z: (z["s"] == h["s"]) & (z["e"] == h["e"])))
-    return made.withColumn("_kept", F.coalesce(spans.resolve(F.concat(listed, found)), none)).drop("_n", "_found", "_allowed", "_ages", "_listed")
+    every = F.concat(listed, found)  # a hit whose validator fails is only for review: it hides none that is valid
+    made = made.withColumn("_sure", F.coalesce(spans.resolve(F.filter(every, lambda h: h["ok"])), none))
+    doubtful = F.filter(every, lambda h: ~h["ok"] & ~F.exists("_sure", lambda k: (k["s"] < h["e"]) & (h["s"] < k["e"])))
+    made = made.withColumn("_kept", F.array_sort(F.concat("_sure", F.coalesce(spans.resolve(doubtful), none))))
+    return made.drop("_n", "_found", "_allowed", "_ages", "_listed", "_sure")
 
 
 #: What a hit becomes.
