@@ -45,18 +45,18 @@ def gazetteer(tokens: DataFrame, names: DataFrame, by: list[str], public: str, p
     return hit.where(~(body[0] | body[1])).select(*by, "s", "e", "name", "review")
 
 
-def venues(text: Column, families: dict[str, str], name: str, drop: list[str], public: str | None = None) -> Column:
-    """array<struct<s, e, t, kind>>: the names after the head words of each family (kind: pattern of its heads), without the words
-    of ``drop`` at their end. What is nothing then, or makes a public body with its head, is none. All are for review."""
-    one = [F.transform(spans.matches(text, rf"(?<!\p{{L}})(?:{heads})\s+(?:{name})"), _venue(kind, heads, drop)) for kind, heads in families.items()]
+def venues(text: Column, families: dict[str, str], name: str, drop: list[str], public: str | None = None, gap: str = r"\s+") -> Column:
+    """array<struct<s, e, t, kind>>: the names after the head words of each family (kind: pattern of its heads) and ``gap``, without
+    the words of ``drop`` at their end. What is nothing then, or makes a public body with its head, is none. All are for review."""
+    one = [F.transform(spans.matches(text, rf"(?<!\p{{L}})(?:{heads}){gap}(?:{name})"), _venue(kind, heads, drop, gap)) for kind, heads in families.items()]
     found = F.array_sort(F.flatten(F.array(*one)))
     good = F.filter(found, lambda m: (F.length(m["t"]) > 0) & ~m["whole"].rlike(public or "^$"))
     return F.transform(good, lambda m: F.struct(m["s"], m["e"], m["t"], m["kind"]))
 
 
-def _venue(kind: str, heads: str, drop: list[str]):
+def _venue(kind: str, heads: str, drop: list[str], gap: str):
     def cut(m: Column) -> Column:
-        raw = F.regexp_replace(m["t"], rf"^(?:{heads})\s+", "")
+        raw = F.regexp_replace(m["t"], rf"^(?:{heads}){gap}", "")
         kept = tx.trim_tail_words(raw, drop)
         at = m["e"] - F.length(raw)
         return F.struct(at.alias("s"), (at + F.length(kept)).alias("e"), kept.alias("t"), F.lit(kind).alias("kind"), m["t"].alias("whole"))
