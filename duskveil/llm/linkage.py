@@ -76,9 +76,10 @@ def blocks_of(table: DataFrame, block: int) -> DataFrame:
         rows.append((key, part, total.get(key, 0)))
         total[key] = total.get(key, 0) + n
     outer = spark.createDataFrame([(k, p, s, total[k]) for k, p, s in rows], "key long, part int, before long, whole long")
-    made = made.join(F.broadcast(outer), ["key", "part"], "left")
-    place, run = F.col("place") + F.coalesce("before", F.lit(0)), F.coalesce("whole", "run")
-    return made.where(run > 1).select("key", "id", F.floor(place / block).cast("long").alias("block"), F.floor((run - 1) / block).cast("long").alias("last"))
+    split = made.where("run < 0").join(F.broadcast(outer), ["key", "part"])  # only these need to know of other partitions
+    split = split.where("whole > 1").select("key", "id", (F.col("place") + F.col("before")).alias("place"), F.col("whole").alias("run"))
+    made = made.where("run > 1").select("key", "id", "place", "run").unionByName(split)
+    return made.select("key", "id", F.floor(F.col("place") / block).cast("long").alias("block"), F.floor((F.col("run") - 1) / block).cast("long").alias("last"))
 
 
 def forest(ids: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
