@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,28 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most bytes of one Arrow batch handed to Python; one row may be larger.
-BATCH_BYTES = 4 << 20
+from ..functions.ship import BATCH_BYTES, prepare  # noqa: F401
+
 #: A key is hot if it has more rows than this, and more than one in HOT_KEYS of all: so there are at most HOT_KEYS of them.
 HOT_ROWS, HOT_KEYS = 1 << 16, 4096
 
-_shipped: set[str] = set()
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors (once an application) and bounds Arrow batches by bytes."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[2]
-        to = Path(tempfile.mkdtemp()) / "duskveil_code.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for p in sorted((root / "duskveil").rglob("*.py")):
-                z.write(p, p.relative_to(root))
-        sc.addPyFile(str(to))
-        _shipped.add(sc.applicationId)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of this machine only where none is set and all tasks run on it, as in tests."""

@@ -1,21 +1,25 @@
 """Names in running text by a ladder of evidence.
 
 A candidate is a pair of neighbouring words or one word. What a document knows of a word (whether it also occurs bare, with
-the definite letter, with another prefix letter) is one table of facts with a row per form, made by an aggregate and
-joined by equality, so a long document costs as much per word as a short one. Neighbours are window columns within a block.
-
-Lexicons are lists of a fixed size: they become hash sets in the generated code.
+the definite letter, with another prefix letter) is one hash table of its distinct words, so a long document costs as much
+per word as a short one. A document is one row; its words are walked in Arrow batches of bounded size, and only its texts
+are shuffled. Lexicons are lists of a fixed size and become hash sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..functions import ship
 from ..functions import text as tx
 
 
@@ -98,128 +102,17 @@ def form_facts(words: DataFrame, by: list[str], lex: Lexicons) -> DataFrame:
     return rows.groupBy(*by, "form").agg(F.bool_or(F.col("q").isNull()).alias("present"), definite.alias("definite"), F.collect_set("q").alias("prefixes"))
 
 
-def word_facts(tokens: DataFrame, by: list[str], lex: Lexicons) -> DataFrame:
-    """(by, w, bare, defined, stem_defined, others, ok, stem_ok) of each distinct word: whether the document has it without
-    its prefix letter; has it, or its stem, with the definite letter; has the stem bare or with another letter; and
-    whether the word and its stem may be names."""
-    words = tokens.select(*by, "w").distinct()
-    facts = form_facts(words, by, lex)
-    peeled = [reduce(lambda a, b: a & b, (_prefixed(_rest(F.col("w"), i), lex) for i in range(k)), F.lit(True)) for k in range(4)]  # forms that no rule asks for are not looked up
-    own = F.array_compact(F.array(*[F.when(peeled[k], F.struct(F.lit(k).cast("int").alias("k"), _rest(F.col("w"), k).alias("form"))) for k in range(4)]))
-    forms = words.select(*by, "w", F.inline(own)).where("form <> ''").join(facts, [*by, "form"], "left")
-    at = lambda k, c: F.coalesce(F.bool_or(F.when(F.col("k") == k, F.col(c))), F.lit(False))
-    kept = [at(k, "present").alias(f"p{k}") for k in range(4)] + [at(k, "definite").alias(f"d{k}") for k in range(4)]
-    g = forms.groupBy(*by, "w").agg(*kept, F.max(F.when(F.col("k") == 1, F.col("prefixes"))).alias("q1"))
-    w = F.col("w")
-    others = F.coalesce(F.size(F.array_except("q1", F.array(F.substring(w, 1, 1)))) > 0, F.lit(False))
-    return g.select(
-        *by, "w", (_prefixed(w, lex) & F.col("p1")).alias("bare"), F.col("d0").alias("defined"), F.col("d1").alias("stem_defined"), (F.col("p1") | others).alias("others"),
-        _nameish(w, 0, lex).alias("ok"), _nameish(_rest(w), 1, lex).alias("stem_ok"),
-    )
-
-
-def _nameish(x: Column, at: int, lex: Lexicons) -> Column:
-    """Whether a form may be a name; ``at`` is how many letters of the word were taken off for it."""
-    n = F.length(x)
-    bad = [~n.between(3, 14), _has(x, lex.places), _has(x, lex.roles), F.col(f"d{at}")]
-    one, two = _prefixed(x, lex), _prefixed(x, lex) & _prefixed(_rest(x), lex)
-    for k, peels in enumerate([F.lit(True), one, two]):
-        st = _rest(x, k)
-        ordinary = ~_has(st, lex.namelike)
-        bad.append(peels & (F.length(st) >= 2) & _has(st, lex.common) & ordinary)
-        long = peels & (F.length(st) >= 3)
-        bad.append(long & ordinary & (_has(st, lex.stop) | _has(st, lex.speech) | _has(st, lex.attribution)))
-        bad.append(long & _has(st, lex.persons + lex.kin + lex.care + lex.relative))
-        if k:
-            bad.append(long & F.col(f"d{at + k}"))
-    if lex.definite:
-        bad.append(x.startswith(lex.definite) & ((n < 5) | F.col(f"p{at + 1}")))
-    return ~_any(*bad)
-
-
 def verb_tail(w: Column, lex: Lexicons) -> Column:
     """Whether a word after a name is a verb or a common word that does not belong to it."""
     family = _has(w, lex.firsts) | _like(w, lex.surname)
     return ~family & (_has(w, lex.speech) | _has(w, lex.common) | _like(w, lex.infinitive))
 
 
-def _neighbours(blocks: DataFrame, by: list[str], lex: Lexicons) -> DataFrame:
-    """Tokens of blocks(by, block, text) with what stands between each and the token before it."""
-    within = [*by, "block"]
-    normal = blocks.select(*within, tx.norm(F.col("text")).alias("text")).where("text is not null")
-    parts = F.arrays_zip(F.split("text", tx.WORDS[lex.word_class], -1).alias("gap"), F.regexp_extract_all("text", F.lit(tx.WORDS[lex.word_class]), F.lit(0)).alias("w"))
-    rows = normal.select(*within, F.posexplode(parts).alias("ix", "x")).where("x.w is not null")
-    run = Window.partitionBy(*within).orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(*within, "ix", "x.w", "x.gap", (F.sum(F.length("x.gap") + F.length("x.w")).over(run) - F.length("x.w")).alias("s"))
-
-
 def _known_words(known: list[str]) -> list[str]:
     """Known names and their words of three letters or more."""
     return [*dict.fromkeys([*known, *(p for k in known for p in k.split() if len(p) >= 3)])]
 
 
-def _fits(n: int, lex: Lexicons, known: list[str]) -> Column:
-    """Whether the n words that begin at a token may be a name."""
-    parts, full = _known_words(known), [*dict.fromkeys(known)]
-    raw = [F.col("w"), F.col("w_1")][:n]
-    used = [F.col("base"), F.col("base_1")][:n]
-    last = "" if n == 1 else "_1"
-    name, prv, prv2 = (F.col(c) for c in (f"name{n}", "prv", "prv2"))
-    if n == 2:
-        tail = F.regexp_replace(raw[1], f"^{lex.joined}", "") if lex.joined else raw[1]
-        peel = lambda c: F.when(_prefixed(c, lex), _rest(c)).otherwise(c)
-        bad = [
-            _like(F.col("gap_1"), r"[.!?;:,()\n]"), F.col("bare_1"), _has(raw[0], lex.lead), _like(tail, lex.negation), _has(tail, lex.stop + lex.common + lex.speech + lex.trail), verb_tail(tail, lex),
-            *[_has(x, full) | _has(peel(x), full) for x in raw], *[_like(x, lex.plural) & ~_has(x, lex.firsts) for x in used],
-        ]
-    else:
-        bad = [_like(raw[0], lex.from_the) & ~_has(raw[0], lex.firsts)]
-    bad = [~F.col(c) for c in ("base_ok", "base_ok_1")[:n]] + bad
-    bad += [_like(x, lex.negation) | (_like(x, lex.first_person) & (F.length(x) >= 6)) | _has(x, lex.placeholders) for x in used]
-    single = [F.length(F.regexp_replace(x, "['\"׳״]", "")) <= 1 for x in used]
-    bad += [reduce(lambda a, b: a & b, single), _has(name, parts), _like(F.concat(name, F.lit(" ")), lex.title)]
-    for longer in (name, F.concat_ws(" ", F.when(prv.isNotNull(), prv), name), F.concat_ws(" ", F.when(prv2.isNotNull(), prv2), prv, name)):
-        bad += [_public(longer, lex)]
-    return F.col(f"w{last}").isNotNull() & ~_any(*bad)
-
-
-def _step(n: int, lex: Lexicons) -> Column:
-    """The first step of the ladder, as its number, that the context of n words reaches; null if none."""
-    raw = F.col("w")
-    used = [F.col("base"), F.col("base_1")][:n]
-    after, gap_after, nxt, prv, prv2 = (F.col(c) for c in (f"w_{n}", f"gap_{n}", f"next{n}", "prv", "prv2"))
-    before_role = F.concat_ws(" ", prv2, prv)
-    clause = _has(after, lex.relative) & _like(gap_after, ",") & ~_any(*[_has(x, lex.speech) for x in used]) & ~_has(prv, lex.common)
-    tests = [
-        _has(nxt, lex.speech), _has(prv, lex.attribution), _has(prv, lex.roles), prv2.isNotNull() & _has(before_role, lex.roles2), (prv == lex.of) & _has(prv2, lex.kin), _has(prv, lex.persons),
-        (prv == lex.with_) & ~_any(F.col("base_defined"), F.col("base_defined_1")) if n == 2 and lex.with_ else F.lit(False), clause, (prv == lex.of) & (used[0] != raw),
-        _has(F.col("before"), lex.care) & _plain("gap") | _has(F.col("before2"), lex.care) & _plain("gap") & _plain("before_gap"),
-    ]
-    cases = reduce(lambda c, i: c.when(F.coalesce(tests[i], F.lit(False)), i + 1), range(1, len(tests)), F.when(F.coalesce(tests[0], F.lit(False)), 1))
-    return cases.cast("int")
-
-
-def _points(n: int, lex: Lexicons, known: list[str]) -> Column:
-    """Points of the candidate of n words: those of its step, of a prefix letter and of known names beside it."""
-    parts = _known_words(known)
-    near = lambda c: (_has(c, parts) | (_has(F.when(c.startswith(lex.joined), _rest(c, len(lex.joined))), parts) if lex.joined else F.lit(False))).cast("int")
-    step = F.coalesce(F.get(F.array(*[F.lit(p) for p, _ in STEPS]), F.col(f"step{n}") - 1), F.lit(0))
-    return (step + 2 * F.col("letter").cast("int") + near(F.col("prv")) + near(F.col(f"next{n}"))).cast("int")
-
-
-def _candidate(n: int, lex: Lexicons, known: list[str]) -> Column:
-    """struct<name, pts, strong, why>, or null, of the candidate of n words that begins at a token. Points come first:
-    few candidates have any, and only theirs are the patterns tried."""
-    step = F.col(f"step{n}")
-    why = F.coalesce(F.get(F.array(*[F.lit(w) for _, w in STEPS]), step - 1), F.when(F.col("letter"), "prefix without the definite letter").otherwise("beside a known name"))
-    made = F.struct(F.col(f"name{n}").alias("name"), F.col(f"points{n}").alias("pts"), step.isNotNull().alias("strong"), why.alias("why"))
-    return F.when((F.col(f"points{n}") > 0) & _fits(n, lex, known), made)
-
-
-def _plain(gap: str) -> Column:
-    return F.col(gap).isNotNull() & ~_like(F.col(gap), r"[,.;:\n]")
-
-
 def _public(name: Column, lex: Lexicons) -> Column:
     if not lex.public:
         return F.lit(False)
@@ -227,19 +120,219 @@ def _public(name: Column, lex: Lexicons) -> Column:
     return _like(name, lex.public) | _like(bare, lex.public)
 
 
-def _accepted(rows: DataFrame, keys: list[str], lex: Lexicons, known: list[str]) -> DataFrame:
-    """(keys, name, pts, strong, why): at each token the pair, or else the single word, that has points."""
-    clean = lambda gap: F.col(gap).isNotNull() & ~_like(F.col(gap), r"[,.;:()\[\]\n]")
-    letter = F.lit(False)
-    if lex.prefixes:
-        w = F.col("w")
-        letter = _prefixed(w, lex) & (F.length(w) >= 4) & (F.substring(w, 2, 1) != lex.definite) & ~F.col("stem_defined") & F.col("stem_ok") & F.col("others")
-    x = rows.select("*", F.when(clean("gap"), F.col("before")).alias("prv"), *[F.when(clean(f"gap_{n}"), F.col(f"w_{n}")).alias(f"next{n}") for n in (1, 2)], F.col("base").alias("name1"), F.concat_ws(" ", "base", "base_1").alias("name2"), letter.alias("letter"))
-    x = x.withColumn("prv2", F.when(F.col("prv").isNotNull() & clean("before_gap"), F.col("before2")))
-    x = x.select("*", _step(1, lex).alias("step1"), _step(2, lex).alias("step2"))
-    x = x.select("*", _points(1, lex, known).alias("points1"), _points(2, lex, known).alias("points2"))
-    best = F.coalesce(_candidate(2, lex, known), _candidate(1, lex, known))
-    return x.select(*keys, F.inline_outer(F.array(best))).where("name is not null")  # a generator: the test is not copied into all that the candidate is made of
+@dataclass(frozen=True)
+class _Word:
+    """What a document knows of a word: whether it has it without its prefix letter; has it, or its stem, with the definite
+    letter; has the stem bare or with another letter; and whether the word and its stem may be names."""
+
+    bare: bool
+    defined: bool
+    stem_defined: bool
+    others: bool
+    ok: bool
+    stem_ok: bool
+
+
+@dataclass(frozen=True)
+class _Token:
+    """A word in its place: what stands before it, where it begins, its name form, whether that may be a name, is defined."""
+
+    w: str
+    gap: str
+    s: int
+    base: str
+    base_ok: bool
+    base_defined: bool
+    of: _Word
+
+
+class _Ladder:
+    """The ladder over the words of one document at a time. Patterns keep to what Java and Python read alike."""
+
+    def __init__(self, lex: Lexicons, known: list[str], least: int):
+        self.lex, self.least = lex, least
+        self.full, self.parts = frozenset(known), frozenset(_known_words(known))
+        sets = {k: frozenset(v) for k, v in vars(lex).items() if isinstance(v, list)}
+        self.sets, self.letters = sets, frozenset(lex.prefixes)
+        self.rx = {k: re.compile(v) for k in ("from_the", "negation", "first_person", "plural", "infinitive", "surname", "title", "public") if (v := getattr(lex, k))}
+        self.verbs, self.bound = sets["stop"] | sets["speech"] | sets["attribution"], sets["persons"] | sets["kin"] | sets["care"] | sets["relative"]
+        self.tails, self.no_first = sets["stop"] | sets["common"] | sets["speech"] | sets["trail"], sets["roles"] | sets["speech"] | self.parts | sets["placeholders"]
+        self.apart, self.breaks, self.plain, self.ends, self.quotes = (re.compile(x) for x in (r"[,.;:()\[\]\n]", r"[.!?;:,()\n]", r"[,.;:\n]", r"[.!?;:\n]", "['\"׳״]"))
+        self.joined = re.compile(f"^{lex.joined}") if lex.joined else None
+
+    def like(self, x: str, rx: str) -> bool:
+        return rx in self.rx and self.rx[rx].search(x) is not None
+
+    def prefixed(self, x: str) -> bool:
+        return x[:1] in self.letters
+
+    def peel(self, x: str) -> str:
+        return x[1:] if self.prefixed(x) else x
+
+    def public(self, name: str) -> bool:
+        return "public" in self.rx and (self.like(name, "public") or self.like(self.peel(name), "public"))
+
+    def facts(self, words: set[str]) -> dict[str, _Word]:
+        """The facts of a document's distinct words."""
+        with_letter: dict[str, set[str]] = {}
+        for w in words:
+            if len(w) > 1 and self.prefixed(w):
+                with_letter.setdefault(w[1:], set()).add(w[0])
+        return {w: self.fact(w, words, with_letter) for w in words}
+
+    def fact(self, w: str, words: set[str], with_letter: dict[str, set[str]]) -> _Word:
+        present, definite = [False] * 4, [False] * 4
+        for k in range(4):
+            form = w[k:]
+            if not form or k and not self.prefixed(w[k - 1 :]):
+                break
+            present[k], definite[k] = form in words, self.lex.definite in with_letter.get(form, ())
+        others = present[1] or self.prefixed(w) and bool(with_letter.get(w[1:], set()) - {w[0]})
+        return _Word(self.prefixed(w) and present[1], definite[0], definite[1], others, self.nameish(w, present, definite), self.nameish(w[1:], present[1:], definite[1:]))
+
+    def nameish(self, x: str, present: list[bool], definite: list[bool]) -> bool:
+        """Whether a form may be a name; the lists tell of the form and of what is left of it without prefix letters."""
+        s, n = self.sets, len(x)
+        if not 3 <= n <= 14 or x in s["places"] or x in s["roles"] or definite[0]:
+            return False
+        for k in range(3):
+            if k and not self.prefixed(x[k - 1 :]):
+                break
+            st = x[k:]
+            ordinary = st not in s["namelike"]
+            if len(st) >= 2 and ordinary and st in s["common"]:
+                return False
+            if len(st) >= 3 and (ordinary and st in self.verbs or st in self.bound or k and definite[k]):
+                return False
+        return not (self.lex.definite and x.startswith(self.lex.definite) and (n < 5 or present[1]))
+
+    def clean(self, gap: str) -> bool:
+        return not self.apart.search(gap)
+
+    def verb_tail(self, w: str) -> bool:
+        """Whether a word after a name is a verb or a common word that does not belong to it."""
+        family = w in self.sets["firsts"] or self.like(w, "surname")
+        return not family and (w in self.sets["speech"] or w in self.sets["common"] or self.like(w, "infinitive"))
+
+    def fits(self, name: str, row: list[_Token], prv: str | None, prv2: str | None) -> bool:
+        """Whether the words of row may be a name."""
+        s, used = self.sets, [t.base for t in row]
+        if not all(t.base_ok for t in row):
+            return False
+        if len(row) == 2:
+            one, two = row
+            tail = self.joined.sub("", two.w) if self.joined else two.w
+            if self.breaks.search(two.gap) or two.of.bare or one.w in s["lead"] or self.like(tail, "negation") or tail in self.tails or self.verb_tail(tail):
+                return False
+            if any(t.w in self.full or self.peel(t.w) in self.full for t in row) or any(self.like(x, "plural") and x not in s["firsts"] for x in used):
+                return False
+        elif self.like(row[0].w, "from_the") and row[0].w not in s["firsts"]:
+            return False
+        if any(self.like(x, "negation") or len(x) >= 6 and self.like(x, "first_person") or x in s["placeholders"] for x in used):
+            return False
+        if all(len(self.quotes.sub("", x)) <= 1 for x in used) or name in self.parts or self.like(name + " ", "title"):
+            return False
+        longer = [name, name if prv is None else f"{prv} {name}"]
+        longer += [f"{prv2} {longer[1]}"] if prv2 is not None else []
+        return not any(map(self.public, longer))
+
+    def step(self, row: list[_Token], after: _Token | None, nxt: str | None, before: list[_Token], prv: str | None, prv2: str | None) -> int | None:
+        """The first step of the ladder, counted from 0, that the context of row reaches."""
+        s, lex, first = self.sets, self.lex, row[0]
+        if nxt in s["speech"]:
+            return 0
+        if prv is not None:
+            if prv in s["attribution"]:
+                return 1
+            if prv in s["roles"]:
+                return 2
+            if prv2 is not None and f"{prv2} {prv}" in s["roles2"]:
+                return 3
+            if prv == lex.of and prv2 in s["kin"]:
+                return 4
+            if prv in s["persons"]:
+                return 5
+            if len(row) == 2 and lex.with_ and prv == lex.with_ and not any(t.base_defined for t in row):
+                return 6
+        if after is not None and after.w in s["relative"] and "," in after.gap and not any(t.base in s["speech"] for t in row) and prv not in s["common"]:
+            return 7
+        if prv is not None and prv == lex.of and first.base != first.w:
+            return 8
+        if before and not self.plain.search(first.gap) and (before[0].w in s["care"] or len(before) > 1 and before[1].w in s["care"] and not self.plain.search(before[0].gap)):
+            return 9
+        return None
+
+    def near(self, x: str | None) -> int:
+        """Whether a word beside a candidate is of a known name."""
+        return int(x is not None and (x in self.parts or bool(self.lex.joined) and x.startswith(self.lex.joined) and x[len(self.lex.joined) :] in self.parts))
+
+    def accepted(self, run: list[_Token], i: int) -> tuple[str, int, bool, str] | None:
+        """(name, points, strong, why) at a token: the pair, or else the single word, that has points."""
+        t, lex = run[i], self.lex
+        letter = self.prefixed(t.w) and len(t.w) >= 4 and t.w[1] != lex.definite and not t.of.stem_defined and t.of.stem_ok and t.of.others
+        before = [run[k] for k in (i - 1, i - 2) if k >= 0]
+        prv = before[0].w if before and self.clean(t.gap) else None
+        prv2 = before[1].w if prv is not None and len(before) > 1 and self.clean(before[0].gap) else None
+        for n in (2, 1):
+            row = run[i : i + n]
+            if len(row) < n:
+                continue
+            after = run[i + n] if i + n < len(run) else None
+            nxt = after.w if after is not None and self.clean(after.gap) else None
+            step = self.step(row, after, nxt, before, prv, prv2)
+            points = (STEPS[step][0] if step is not None else 0) + 2 * letter + self.near(prv) + self.near(nxt)
+            name = " ".join(x.base for x in row)
+            if points > 0 and self.fits(name, row, prv, prv2):
+                return name, points, step is not None, STEPS[step][1] if step is not None else "prefix without the definite letter" if letter else "beside a known name"
+        return None
+
+    def full_names(self, runs: list[tuple[int, list[_Token]]]) -> dict[str, tuple[int, str]]:
+        """(block, the word before) of words that follow a likely name at their first place in a block."""
+        out: dict[str, tuple[int, str]] = {}
+        for block, run in runs:
+            seen = set()
+            for p, t in zip(run, run[1:]):
+                if t.w in seen:
+                    continue
+                seen.add(t.w)
+                no = self.ends.search(t.gap) or len(p.w) < 3 or not p.of.ok or p.w in self.no_first or t.of.bare or self.lex.definite and p.w.startswith(self.lex.definite)
+                if not no:
+                    out[t.w] = min(out.get(t.w, (block, p.w)), (block, p.w))
+        return out
+
+    def names(self, blocks: list[tuple[int, list[str], list[str]]]) -> list[tuple[str, int, int, str, int, int]]:
+        """(name, n, points, why, block, s) of a document's blocks (block, gaps, words)."""
+        facts = self.facts({w for _, _, ws in blocks for w in ws})
+        runs = []
+        for block, gaps, ws in sorted(blocks):
+            run, at = [], 0
+            for gap, w in zip(gaps, ws):
+                f = facts[w]
+                at += len(gap)
+                run.append(_Token(w, gap, at, w[1:] if f.bare else w, f.stem_ok if f.bare else f.ok, f.stem_defined if f.bare else f.defined, f))
+                at += len(w)
+            runs.append((block, run))
+        hits: dict[str, list[tuple]] = {}
+        for block, run in runs:
+            for i, t in enumerate(run):
+                if t.base_ok and (got := self.accepted(run, i)):
+                    hits.setdefault(got[0], []).append(((block, i, t.s), *got[1:]))
+        whole, found = None, {}
+        for name, rows in hits.items():
+            points = sum(r[1] for r in rows) + (2 if len(rows) >= 3 else len(rows) - 1)
+            if points < self.least or not any(r[2] for r in rows) or self.public(name):
+                continue
+            firsts: dict[str, tuple] = {}
+            for at, _, _, why in rows:
+                firsts[why] = min(firsts.get(why, at), at)
+            why = "; ".join([w for _, w in sorted((at, w) for w, at in firsts.items())][:2])
+            whole = self.full_names(runs) if whole is None else whole
+            if " " not in name and name in whole:
+                name = f"{whole[name][1]} {name}"
+            made = (-points, min(r[0] for r in rows), len(rows), why)
+            found[name] = min(found.get(name, made), made)
+        words = {x for name in found if " " in name for x in name.split(" ")}
+        return [(name, n, -less, why, at[0], at[2]) for name, (less, at, n, why) in found.items() if name not in words]
 
 
 def body_names(blocks: DataFrame, by: list[str], lex: Lexicons, known: list[str] | None = None, least: int = 3) -> DataFrame:
@@ -247,44 +340,34 @@ def body_names(blocks: DataFrame, by: list[str], lex: Lexicons, known: list[str]
 
     Every accepted occurrence adds its points; two occurrences add one more, three or more add two. A single word that
     the document writes after another likely name becomes the full name, and single words of a full name go. why lists
-    the first two reasons; block and s are the first occurrence. Null and empty blocks give nothing. Blocks of a document
-    are told apart by ``block``, whose order is the document's.
+    the first two reasons; block and s are the first occurrence. Null and empty blocks, and blocks without ``by``, give
+    nothing. Blocks of a document are told apart by ``block``, whose order is the document's.
+
+    A document's texts are shuffled once, to its row; its words stay there. Words are cut in the JVM.
     """
+    kinds = {f.name: f for f in blocks.schema.fields}
+    rx = tx.WORDS[lex.word_class]
+    has = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*by, "text")))
+    docs = blocks.where(has).groupBy(*by).agg(F.collect_list(F.struct(F.col("block"), tx.norm(F.col("text")).alias("text"))).alias("_blocks"))
+    cut = lambda b: F.struct(b["block"].alias("block"), F.split(b["text"], rx, -1).alias("gaps"), F.regexp_extract_all(b["text"], F.lit(rx), F.lit(0)).alias("ws"))
+    docs = docs.select(*by, F.transform("_blocks", cut).alias("_blocks"))
+    made = StructType([*[kinds[c] for c in by], StructField("name", StringType()), StructField("n", LongType()), StructField("points", LongType()), StructField("why", StringType()), kinds["block"], StructField("s", LongType())])
+    schema = to_arrow_schema(made)
     known = known or []
-    tokens = _neighbours(blocks, by, lex)
-    facts = word_facts(tokens, by, lex)
-    rows = tokens.join(facts, [*by, "w"])
-    base = F.when(F.col("bare"), _rest(F.col("w"))).otherwise(F.col("w"))
-    rows = rows.withColumn("base", base).withColumn("base_ok", F.when(F.col("bare"), F.col("stem_ok")).otherwise(F.col("ok"))).withColumn("base_defined", F.when(F.col("bare"), F.col("stem_defined")).otherwise(F.col("defined")))
-    w = Window.partitionBy(*by, "block").orderBy("ix")
-    ahead = [F.lead(c, 1).over(w).alias(f"{c}_1") for c in ("w", "gap", "base", "base_ok", "base_defined", "bare")] + [F.lead(c, 2).over(w).alias(f"{c}_2") for c in ("w", "gap")]
-    behind = [F.lag("w", 1).over(w).alias("before"), F.lag("w", 2).over(w).alias("before2"), F.lag("gap", 1).over(w).alias("before_gap"), F.lag("ok", 1).over(w).alias("before_ok")]
-    rows = rows.select("*", *ahead, *behind)
-    hits = _accepted(rows.where("base_ok"), [*by, "block", "ix", "s"], lex, known)
-    first = F.struct("block", "ix", "s")
-    reason = hits.groupBy(*by, "name", "why").agg(F.min(first).alias("at"), F.count("*").alias("n"), F.sum("pts").alias("pts"), F.bool_or("strong").alias("strong"))
-    g = reason.groupBy(*by, "name").agg(F.sum("n").alias("n"), F.sum("pts").alias("pts"), F.bool_or("strong").alias("strong"), F.array_sort(F.collect_list(F.struct("at", "why"))).alias("whys"), F.min("at").alias("at"))
-    points = F.col("pts") + F.when(F.col("n") >= 3, 2).when(F.col("n") == 2, 1).otherwise(0)
-    found = g.where("strong").withColumn("points", points).where((F.col("points") >= least) & ~_public(F.col("name"), lex))
-    found = _expanded(found, rows, by, lex, known)
-    order = Window.partitionBy(*by, "name").orderBy(F.desc("points"), "at")
-    found = found.withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    words = found.where(F.contains("name", F.lit(" "))).select(*by, F.explode(F.split("name", " ")).alias("name")).distinct()
-    kept = found.join(words, [*by, "name"], "left_anti")
-    why = F.array_join(F.transform(F.slice("whys", 1, 2), lambda x: x["why"]), "; ")
-    return kept.select(*by, "name", F.col("n").cast("long").alias("n"), F.col("points").cast("long").alias("points"), why.alias("why"), F.col("at.block").alias("block"), F.col("at.s").cast("long").alias("s"))
-
-
-def _expanded(found: DataFrame, rows: DataFrame, by: list[str], lex: Lexicons, known: list[str]) -> DataFrame:
-    """found with single names in full, where the first place of a block at which they follow a word shows one."""
-    parts, p = _known_words(known), F.col("before")
-    no = [_like(F.col("gap"), r"[.!?;:\n]"), F.length(p) < 3, ~F.col("before_ok"), _has(p, lex.roles + lex.speech + parts + lex.placeholders), F.col("bare")]
-    if lex.definite:
-        no.append(p.startswith(lex.definite))
-    place = Window.partitionBy(*by, "block", "w").orderBy("ix")
-    follows = rows.where("ix > 0").withColumn("rank", F.row_number().over(place)).where("rank = 1").where(~_any(*no))
-    wholes = follows.groupBy(*by, F.col("w").alias("name")).agg(F.min(F.struct("block", F.col("before").alias("p"))).alias("x"))
-    return found.join(wholes, [*by, "name"], "left").withColumn("name", F.when(F.col("x").isNotNull() & ~F.contains("name", F.lit(" ")), F.concat_ws(" ", "x.p", "name")).otherwise(F.col("name")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ladder = _Ladder(lex, known, least)
+        for b in batches:
+            at, rows = [], []
+            for i in range(b.num_rows):
+                got = ladder.names([(x["block"], x["gaps"], x["ws"]) for x in b.column(len(by))[i].as_py()])
+                at += [i] * len(got)
+                rows += got
+            own = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[own.column(k).cast(schema.field(k).type) for k in range(len(by))], *[pa.array([r[k] for r in rows], schema.field(len(by) + k).type) for k in range(6)]], schema=schema)
+
+    ship.prepare(blocks.sparkSession)
+    return docs.mapInArrow(work, made)
 
 
 # --- predictions of a model, cleaned ----------------------------------------------------------------------------------
