@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -120,30 +121,40 @@ def _public(name: Column, lex: Lexicons) -> Column:
     return _like(name, lex.public) | _like(bare, lex.public)
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class _Word:
-    """What a document knows of a word: whether it has it without its prefix letter; has it, or its stem, with the definite
-    letter; has the stem bare or with another letter; and whether the word and its stem may be names."""
+    """What a document knows of a word: its form without a prefix letter that the document shows to be one, whether that may be
+    a name or occurs with the definite letter, whether a letter went, whether the word itself may be a name, and whether
+    its prefix letter is evidence. flags tell of the lists that hold the word."""
 
+    w: str
+    base: str
+    base_ok: bool
+    base_defined: bool
     bare: bool
-    defined: bool
-    stem_defined: bool
-    others: bool
     ok: bool
-    stem_ok: bool
+    letter: bool
+    flags: int
 
 
-@dataclass(frozen=True)
-class _Token:
-    """A word in its place: what stands before it, where it begins, its name form, whether that may be a name, is defined."""
+#: Flags of a word, and of what may make a neighbour a name: lists on either side.
+_SPEECH, _ATTRIBUTION, _ROLE, _ROLE2, _OF, _PERSON, _WITH, _CARE, _RELATIVE, _NEAR = (1 << i for i in range(10))
+_BEHIND, _AHEAD = _ATTRIBUTION | _ROLE | _ROLE2 | _OF | _PERSON | _WITH | _CARE | _NEAR, _SPEECH | _RELATIVE | _NEAR
+#: Most entries of a table of what was told before; a letter of every class of words.
+_TOLD, _LETTER = 1 << 17, "א"
 
-    w: str
-    gap: str
-    s: int
-    base: str
-    base_ok: bool
-    base_defined: bool
-    of: _Word
+
+class _Told(dict):
+    """A table of what a function told, emptied when it is full."""
+
+    def __init__(self, tell: Callable):
+        self.tell = tell
+
+    def __missing__(self, x):
+        if len(self) >= _TOLD:
+            self.clear()
+        self[x] = got = self.tell(x)
+        return got
 
 
 class _Ladder:
@@ -157,8 +168,13 @@ class _Ladder:
         self.rx = {k: re.compile(v) for k in ("from_the", "negation", "first_person", "plural", "infinitive", "surname", "title", "public") if (v := getattr(lex, k))}
         self.verbs, self.bound = sets["stop"] | sets["speech"] | sets["attribution"], sets["persons"] | sets["kin"] | sets["care"] | sets["relative"]
         self.tails, self.no_first = sets["stop"] | sets["common"] | sets["speech"] | sets["trail"], sets["roles"] | sets["speech"] | self.parts | sets["placeholders"]
-        self.apart, self.breaks, self.plain, self.ends, self.quotes = (re.compile(x) for x in (r"[,.;:()\[\]\n]", r"[.!?;:,()\n]", r"[,.;:\n]", r"[.!?;:\n]", "['\"׳״]"))
-        self.joined = re.compile(f"^{lex.joined}") if lex.joined else None
+        self.quotes, self.joined = re.compile("['\"׳״]"), re.compile(f"^{lex.joined}") if lex.joined else None
+        lists = [(_SPEECH, sets["speech"]), (_ATTRIBUTION, sets["attribution"]), (_ROLE, sets["roles"]), (_ROLE2, {x.rpartition(" ")[2] for x in sets["roles2"]}), (_OF, {lex.of}), (_PERSON, sets["persons"]), (_WITH, {lex.with_}), (_CARE, sets["care"]), (_RELATIVE, sets["relative"])]
+        self.flags = _Told(lambda w: sum(f for f, words in lists if w in words) | _NEAR * self.near(w))
+        apart, breaks, plain, ends = (re.compile(x) for x in (r"[,.;:()\[\]\n]", r"[.!?;:,()\n]", r"[,.;:\n]", r"[.!?;:\n]"))
+        self.clean, self.breaks, self.plain, self.ends = _Told(lambda g: not apart.search(g)), _Told(lambda g: bool(breaks.search(g))), _Told(lambda g: not plain.search(g)), _Told(lambda g: bool(ends.search(g)))
+        self.public, self.unfit, self.unfit_tail = _Told(self._public), _Told(self._unfit), _Told(self._unfit_tail)
+        self.alone = _Told(self._alone)
 
     def like(self, x: str, rx: str) -> bool:
         return rx in self.rx and self.rx[rx].search(x) is not None
@@ -169,26 +185,34 @@ class _Ladder:
     def peel(self, x: str) -> str:
         return x[1:] if self.prefixed(x) else x
 
-    def public(self, name: str) -> bool:
+    def _public(self, name: str) -> bool:
         return "public" in self.rx and (self.like(name, "public") or self.like(self.peel(name), "public"))
 
     def facts(self, words: set[str]) -> dict[str, _Word]:
         """The facts of a document's distinct words."""
         with_letter: dict[str, set[str]] = {}
         for w in words:
-            if len(w) > 1 and self.prefixed(w):
+            if w[0] in self.letters and len(w) > 1:
                 with_letter.setdefault(w[1:], set()).add(w[0])
-        return {w: self.fact(w, words, with_letter) for w in words}
+        return {w: self.fact(w, words, with_letter) if w in with_letter or w[0] in self.letters else self.alone[w] for w in words}
+
+    def _alone(self, w: str) -> _Word:
+        """A word of which the rest of its document tells nothing."""
+        ok = self.nameish(w, [False] * 4, [False] * 4)
+        return _Word(w, w, ok, False, False, ok, False, self.flags[w])
 
     def fact(self, w: str, words: set[str], with_letter: dict[str, set[str]]) -> _Word:
-        present, definite = [False] * 4, [False] * 4
+        present, definite, lex = [False] * 4, [False] * 4, self.lex
         for k in range(4):
             form = w[k:]
-            if not form or k and not self.prefixed(w[k - 1 :]):
+            if not form or k and w[k - 1] not in self.letters:
                 break
-            present[k], definite[k] = form in words, self.lex.definite in with_letter.get(form, ())
-        others = present[1] or self.prefixed(w) and bool(with_letter.get(w[1:], set()) - {w[0]})
-        return _Word(self.prefixed(w) and present[1], definite[0], definite[1], others, self.nameish(w, present, definite), self.nameish(w[1:], present[1:], definite[1:]))
+            present[k], definite[k] = form in words, lex.definite in with_letter.get(form, ())
+        first = w[0] in self.letters
+        bare = first and present[1]
+        ok, stem_ok = self.nameish(w, present, definite), first and self.nameish(w[1:], present[1:], definite[1:])
+        letter = stem_ok and len(w) >= 4 and w[1] != lex.definite and not definite[1] and (present[1] or bool(with_letter.get(w[1:], set()) - {w[0]}))
+        return _Word(w, w[1:] if bare else w, stem_ok if bare else ok, definite[1] if bare else definite[0], bare, ok, letter, self.flags[w])
 
     def nameish(self, x: str, present: list[bool], definite: list[bool]) -> bool:
         """Whether a form may be a name; the lists tell of the form and of what is left of it without prefix letters."""
@@ -206,96 +230,95 @@ class _Ladder:
                 return False
         return not (self.lex.definite and x.startswith(self.lex.definite) and (n < 5 or present[1]))
 
-    def clean(self, gap: str) -> bool:
-        return not self.apart.search(gap)
-
     def verb_tail(self, w: str) -> bool:
         """Whether a word after a name is a verb or a common word that does not belong to it."""
         family = w in self.sets["firsts"] or self.like(w, "surname")
         return not family and (w in self.sets["speech"] or w in self.sets["common"] or self.like(w, "infinitive"))
 
-    def fits(self, name: str, row: list[_Token], prv: str | None, prv2: str | None) -> bool:
-        """Whether the words of row may be a name."""
-        s, used = self.sets, [t.base for t in row]
-        if not all(t.base_ok for t in row):
+    def _unfit(self, base: str) -> bool:
+        return self.like(base, "negation") or len(base) >= 6 and self.like(base, "first_person") or base in self.sets["placeholders"]
+
+    def _unfit_tail(self, w: str) -> bool:
+        tail = self.joined.sub("", w) if self.joined else w
+        return self.like(tail, "negation") or tail in self.tails or self.verb_tail(tail)
+
+    def fits(self, name: str, row: list[_Word], gap: str, prv: str | None, prv2: str | None) -> bool:
+        """Whether the words of row, with this gap before the second, may be a name."""
+        s = self.sets
+        if not all(t.base_ok and not self.unfit[t.base] for t in row):
             return False
         if len(row) == 2:
             one, two = row
-            tail = self.joined.sub("", two.w) if self.joined else two.w
-            if self.breaks.search(two.gap) or two.of.bare or one.w in s["lead"] or self.like(tail, "negation") or tail in self.tails or self.verb_tail(tail):
+            if self.breaks[gap] or two.bare or one.w in s["lead"] or self.unfit_tail[two.w]:
                 return False
-            if any(t.w in self.full or self.peel(t.w) in self.full for t in row) or any(self.like(x, "plural") and x not in s["firsts"] for x in used):
+            if any(t.w in self.full or self.peel(t.w) in self.full or t.base not in s["firsts"] and self.like(t.base, "plural") for t in row):
                 return False
-        elif self.like(row[0].w, "from_the") and row[0].w not in s["firsts"]:
-            return False
-        if any(self.like(x, "negation") or len(x) >= 6 and self.like(x, "first_person") or x in s["placeholders"] for x in used):
+        elif row[0].w not in s["firsts"] and self.like(row[0].w, "from_the"):
             return False
-        if all(len(self.quotes.sub("", x)) <= 1 for x in used) or name in self.parts or self.like(name + " ", "title"):
+        if all(len(self.quotes.sub("", t.base)) <= 1 for t in row) or name in self.parts or self.like(name + " ", "title"):
             return False
-        longer = [name, name if prv is None else f"{prv} {name}"]
-        longer += [f"{prv2} {longer[1]}"] if prv2 is not None else []
-        return not any(map(self.public, longer))
-
-    def step(self, row: list[_Token], after: _Token | None, nxt: str | None, before: list[_Token], prv: str | None, prv2: str | None) -> int | None:
-        """The first step of the ladder, counted from 0, that the context of row reaches."""
-        s, lex, first = self.sets, self.lex, row[0]
-        if nxt in s["speech"]:
+        longer = name if prv is None else f"{prv} {name}"
+        return not (self.public[name] or self.public[longer] or prv2 is not None and self.public[f"{prv2} {longer}"])
+
+    def step(self, row: list[_Word], after: _Word | None, gap: str, nxt: _Word | None, prv: _Word | None, prv2: _Word | None, care: bool) -> int | None:
+        """The first step of the ladder, counted from 0, that the context of row reaches; gap stands before ``after``."""
+        if nxt is not None and nxt.flags & _SPEECH:
             return 0
-        if prv is not None:
-            if prv in s["attribution"]:
-                return 1
-            if prv in s["roles"]:
-                return 2
-            if prv2 is not None and f"{prv2} {prv}" in s["roles2"]:
-                return 3
-            if prv == lex.of and prv2 in s["kin"]:
-                return 4
-            if prv in s["persons"]:
-                return 5
-            if len(row) == 2 and lex.with_ and prv == lex.with_ and not any(t.base_defined for t in row):
-                return 6
-        if after is not None and after.w in s["relative"] and "," in after.gap and not any(t.base in s["speech"] for t in row) and prv not in s["common"]:
+        f = prv.flags if prv is not None else 0
+        if f & _ATTRIBUTION:
+            return 1
+        if f & _ROLE:
+            return 2
+        if f & _ROLE2 and prv2 is not None and f"{prv2.w} {prv.w}" in self.sets["roles2"]:
+            return 3
+        if f & _OF and prv2 is not None and prv2.w in self.sets["kin"]:
+            return 4
+        if f & _PERSON:
+            return 5
+        if f & _WITH and len(row) == 2 and not any(t.base_defined for t in row):
+            return 6
+        if after is not None and after.flags & _RELATIVE and "," in gap and not any(t.base in self.sets["speech"] for t in row) and not (prv is not None and prv.w in self.sets["common"]):
             return 7
-        if prv is not None and prv == lex.of and first.base != first.w:
+        if f & _OF and row[0].bare:
             return 8
-        if before and not self.plain.search(first.gap) and (before[0].w in s["care"] or len(before) > 1 and before[1].w in s["care"] and not self.plain.search(before[0].gap)):
-            return 9
-        return None
+        return 9 if care else None
 
     def near(self, x: str | None) -> int:
         """Whether a word beside a candidate is of a known name."""
         return int(x is not None and (x in self.parts or bool(self.lex.joined) and x.startswith(self.lex.joined) and x[len(self.lex.joined) :] in self.parts))
 
-    def accepted(self, run: list[_Token], i: int) -> tuple[str, int, bool, str] | None:
-        """(name, points, strong, why) at a token: the pair, or else the single word, that has points."""
-        t, lex = run[i], self.lex
-        letter = self.prefixed(t.w) and len(t.w) >= 4 and t.w[1] != lex.definite and not t.of.stem_defined and t.of.stem_ok and t.of.others
-        before = [run[k] for k in (i - 1, i - 2) if k >= 0]
-        prv = before[0].w if before and self.clean(t.gap) else None
-        prv2 = before[1].w if prv is not None and len(before) > 1 and self.clean(before[0].gap) else None
+    def accepted(self, run: list[_Word], gaps: list[str], i: int) -> tuple[str, int, bool, str] | None:
+        """(name, points, strong, why) at a word: the pair, or else the single word, that has points."""
+        t, many = run[i], len(run)
+        b1, b2 = run[i - 1] if i else None, run[i - 2] if i > 1 else None
+        prv = b1 if b1 is not None and self.clean[gaps[i]] else None
+        prv2 = b2 if prv is not None and b2 is not None and self.clean[gaps[i - 1]] else None
+        care = b1 is not None and self.plain[gaps[i]] and bool(b1.flags & _CARE or b2 is not None and b2.flags & _CARE and self.plain[gaps[i - 1]])
         for n in (2, 1):
-            row = run[i : i + n]
-            if len(row) < n:
+            j = i + n
+            if j > many:
                 continue
-            after = run[i + n] if i + n < len(run) else None
-            nxt = after.w if after is not None and self.clean(after.gap) else None
-            step = self.step(row, after, nxt, before, prv, prv2)
-            points = (STEPS[step][0] if step is not None else 0) + 2 * letter + self.near(prv) + self.near(nxt)
-            name = " ".join(x.base for x in row)
-            if points > 0 and self.fits(name, row, prv, prv2):
-                return name, points, step is not None, STEPS[step][1] if step is not None else "prefix without the definite letter" if letter else "beside a known name"
+            row, after = run[i:j], run[j] if j < many else None
+            gap = gaps[j] if after is not None else ""
+            nxt = after if after is not None and self.clean[gap] else None
+            step = self.step(row, after, gap, nxt, prv, prv2, care)
+            points = (STEPS[step][0] if step is not None else 0) + 2 * t.letter + (prv is not None and prv.flags & _NEAR > 0) + (nxt is not None and nxt.flags & _NEAR > 0)
+            if points > 0:
+                name = t.base if n == 1 else f"{t.base} {row[1].base}"
+                if self.fits(name, row, gaps[i + 1] if n == 2 else "", prv and prv.w, prv2 and prv2.w):
+                    return name, points, step is not None, STEPS[step][1] if step is not None else "prefix without the definite letter" if t.letter else "beside a known name"
         return None
 
-    def full_names(self, runs: list[tuple[int, list[_Token]]]) -> dict[str, tuple[int, str]]:
+    def full_names(self, runs: list[tuple[int, list[str], list[_Word]]]) -> dict[str, tuple[int, str]]:
         """(block, the word before) of words that follow a likely name at their first place in a block."""
         out: dict[str, tuple[int, str]] = {}
-        for block, run in runs:
+        for block, gaps, run in runs:
             seen = set()
-            for p, t in zip(run, run[1:]):
+            for gap, p, t in zip(gaps[1:], run, run[1:]):
                 if t.w in seen:
                     continue
                 seen.add(t.w)
-                no = self.ends.search(t.gap) or len(p.w) < 3 or not p.of.ok or p.w in self.no_first or t.of.bare or self.lex.definite and p.w.startswith(self.lex.definite)
+                no = not p.ok or t.bare or len(p.w) < 3 or self.ends[gap] or p.w in self.no_first or self.lex.definite and p.w.startswith(self.lex.definite)
                 if not no:
                     out[t.w] = min(out.get(t.w, (block, p.w)), (block, p.w))
         return out
@@ -303,24 +326,21 @@ class _Ladder:
     def names(self, blocks: list[tuple[int, list[str], list[str]]]) -> list[tuple[str, int, int, str, int, int]]:
         """(name, n, points, why, block, s) of a document's blocks (block, gaps, words)."""
         facts = self.facts({w for _, _, ws in blocks for w in ws})
-        runs = []
-        for block, gaps, ws in sorted(blocks):
-            run, at = [], 0
-            for gap, w in zip(gaps, ws):
-                f = facts[w]
-                at += len(gap)
-                run.append(_Token(w, gap, at, w[1:] if f.bare else w, f.stem_ok if f.bare else f.ok, f.stem_defined if f.bare else f.defined, f))
-                at += len(w)
-            runs.append((block, run))
+        runs = [(block, gaps, [facts[w] for w in ws]) for block, gaps, ws in sorted(blocks)]
         hits: dict[str, list[tuple]] = {}
-        for block, run in runs:
+        for block, gaps, run in runs:
+            flags = [0, 0, *[t.flags for t in run], 0, 0]
+            start = None
             for i, t in enumerate(run):
-                if t.base_ok and (got := self.accepted(run, i)):
-                    hits.setdefault(got[0], []).append(((block, i, t.s), *got[1:]))
+                # few words have any points: they have a prefix letter, or a listed word one or two places off
+                if t.base_ok and (t.letter or flags[i + 1] & _BEHIND or flags[i] & _CARE or (flags[i + 3] | flags[i + 4]) & _AHEAD) and (got := self.accepted(run, gaps, i)):
+                    if start is None:
+                        start = list(accumulate(len(x) for pair in zip(gaps, (t.w for t in run)) for x in pair))[::2]
+                    hits.setdefault(got[0], []).append(((block, i, start[i]), *got[1:]))
         whole, found = None, {}
         for name, rows in hits.items():
             points = sum(r[1] for r in rows) + (2 if len(rows) >= 3 else len(rows) - 1)
-            if points < self.least or not any(r[2] for r in rows) or self.public(name):
+            if points < self.least or not any(r[2] for r in rows) or self.public[name]:
                 continue
             firsts: dict[str, tuple] = {}
             for at, _, _, why in rows:
@@ -349,7 +369,8 @@ def body_names(blocks: DataFrame, by: list[str], lex: Lexicons, known: list[str]
     rx = tx.WORDS[lex.word_class]
     has = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*by, "text")))
     docs = blocks.where(has).groupBy(*by).agg(F.collect_list(F.struct(F.col("block"), tx.norm(F.col("text")).alias("text"))).alias("_blocks"))
-    cut = lambda b: F.struct(b["block"].alias("block"), F.split(b["text"], rx, -1).alias("gaps"), F.regexp_extract_all(b["text"], F.lit(rx), F.lit(0)).alias("ws"))
+    # no word holds a space, and no gap a letter of words: joined so, they reach Python as two strings a block
+    cut = lambda b: F.struct(b["block"].alias("block"), F.array_join(F.split(b["text"], rx, -1), _LETTER).alias("gaps"), F.array_join(F.regexp_extract_all(b["text"], F.lit(rx), F.lit(0)), " ").alias("ws"))
     docs = docs.select(*by, F.transform("_blocks", cut).alias("_blocks"))
     made = StructType([*[kinds[c] for c in by], StructField("name", StringType()), StructField("n", LongType()), StructField("points", LongType()), StructField("why", StringType()), kinds["block"], StructField("s", LongType())])
     schema = to_arrow_schema(made)
@@ -360,7 +381,7 @@ def body_names(blocks: DataFrame, by: list[str], lex: Lexicons, known: list[str]
         for b in batches:
             at, rows = [], []
             for i in range(b.num_rows):
-                got = ladder.names([(x["block"], x["gaps"], x["ws"]) for x in b.column(len(by))[i].as_py()])
+                got = ladder.names([(x["block"], x["gaps"].split(_LETTER), x["ws"].split(" ") if x["ws"] else []) for x in b.column(len(by))[i].as_py()])
                 at += [i] * len(got)
                 rows += got
             own = b.take(pa.array(at, pa.int64()))
