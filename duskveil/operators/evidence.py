@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import accumulate
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -309,13 +310,13 @@ class _Ladder:
                     return name, points, step is not None, STEPS[step][1] if step is not None else "prefix without the definite letter" if t.letter else "beside a known name"
         return None
 
-    def full_names(self, runs: list[tuple[int, list[str], list[_Word]]]) -> dict[str, tuple[int, str]]:
-        """(block, the word before) of words that follow a likely name at their first place in a block."""
+    def full_names(self, runs: list[tuple[int, list[str], list[_Word]]], asked: set[str]) -> dict[str, tuple[int, str]]:
+        """(block, the word before) of the asked words that follow a likely name at their first place in a block."""
         out: dict[str, tuple[int, str]] = {}
         for block, gaps, run in runs:
             seen = set()
             for gap, p, t in zip(gaps[1:], run, run[1:]):
-                if t.w in seen:
+                if t.w not in asked or t.w in seen:
                     continue
                 seen.add(t.w)
                 no = not p.ok or t.bare or len(p.w) < 3 or self.ends[gap] or p.w in self.no_first or self.lex.definite and p.w.startswith(self.lex.definite)
@@ -330,24 +331,28 @@ class _Ladder:
         hits: dict[str, list[tuple]] = {}
         for block, gaps, run in runs:
             flags = [0, 0, *[t.flags for t in run], 0, 0]
-            start = None
+            ends = None
             for i, t in enumerate(run):
                 # few words have any points: they have a prefix letter, or a listed word one or two places off
                 if t.base_ok and (t.letter or flags[i + 1] & _BEHIND or flags[i] & _CARE or (flags[i + 3] | flags[i + 4]) & _AHEAD) and (got := self.accepted(run, gaps, i)):
-                    if start is None:
-                        start = list(accumulate(len(x) for pair in zip(gaps, (t.w for t in run)) for x in pair))[::2]
-                    hits.setdefault(got[0], []).append(((block, i, start[i]), *got[1:]))
-        whole, found = None, {}
+                    if ends is None:
+                        ends = list(accumulate(map(add, map(len, gaps), [len(x.w) for x in run])))
+                    hits.setdefault(got[0], []).append(((block, i, ends[i] - len(t.w)), *got[1:]))
+        strong, found = {}, {}
         for name, rows in hits.items():
             points = sum(r[1] for r in rows) + (2 if len(rows) >= 3 else len(rows) - 1)
             if points < self.least or not any(r[2] for r in rows) or self.public[name]:
                 continue
+            strong[name] = points
+        single = {name for name in strong if " " not in name}
+        whole = self.full_names(runs, single) if single else {}
+        for name, points in strong.items():
+            rows = hits[name]
             firsts: dict[str, tuple] = {}
             for at, _, _, why in rows:
                 firsts[why] = min(firsts.get(why, at), at)
             why = "; ".join([w for _, w in sorted((at, w) for w, at in firsts.items())][:2])
-            whole = self.full_names(runs) if whole is None else whole
-            if " " not in name and name in whole:
+            if name in whole:
                 name = f"{whole[name][1]} {name}"
             made = (-points, min(r[0] for r in rows), len(rows), why)
             found[name] = min(found.get(name, made), made)
