@@ -16,6 +16,8 @@ from ..functions.ship import BATCH_BYTES, prepare  # noqa: F401
 
 #: A key is hot if it has more rows than this, and more than one in HOT_KEYS of all: so there are at most HOT_KEYS of them.
 HOT_ROWS, HOT_KEYS = 1 << 16, 4096
+#: Bits of a sieve, sent to all tasks as 64 to a row: half a million rows at most.
+SIEVE_BITS = 1 << 25
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,6 +58,22 @@ def hot_join(many: DataFrame, one: DataFrame, on: str, how: str = "inner", count
     return many.join(keys, on, "left_semi").join(theirs, on, how).unionByName(many.join(keys, on, "left_anti").join(one, on, how))
 
 
+def sieved(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(met, rest): the rows whose values of ``on`` the table keys(on) may hold, and those whose values it surely does not.
+
+    Every key sets one bit of ``SIEVE_BITS``, so what is sent to all tasks is bounded whatever the number of keys; with more
+    keys more rows are met in vain. A join of met with keys then shuffles few rows and tells exactly. Nulls are values.
+    """
+    place = lambda df: F.pmod(F.xxhash64(*[df[c] for c in on]), F.lit(SIEVE_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))
+    words = keys.select(place(keys).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    bit = place(rows)
+    tested = rows.join(F.broadcast(words), F.shiftright(bit, 6) == words["word"], "left")
+    held = F.coalesce(F.getbit(words["bits"], F.pmod(bit, F.lit(64)).cast("int")), F.lit(0)) == 1
+    mine = [rows[c] for c in rows.columns]
+    return tested.where(held).select(*mine), tested.where(~held).select(*mine)
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 of each string of an Arrow column; null gives b''."""
     for x in column.cast(pa.large_binary()):

@@ -245,9 +245,12 @@ def exact_links(docs: DataFrame, classes: DataFrame, doubts: DataFrame, k: int,
     groups = groups.unionByName(groups.select("key", F.col("key").alias("id"))).distinct()
     asked = common.stored(groups.join(classes.select("id", "low", "mark", "size"), "id"), "asked")
     sizes = asked.groupBy("key").agg(F.ceil(F.sum(F.col("size") * 8 + _SKETCH.itemsize) / BLOCK_BYTES).cast("long").alias("blocks"))
-    texts, rows = _marked(docs), asked.select("id", "low", F.col("mark").alias("of"))
-    texts = texts.join(rows, (texts["mark"] == rows["of"]) & texts["doc_id"].eqNullSafe(rows["low"])).select("id", "text")
-    items = common.stored(_sets(texts.dropDuplicates(["id"]), k), "sets")
+    rows = asked.select("id", F.col("low").alias("doc_id"), "mark")
+    texts = common.sieved(_marked(docs), rows, ["doc_id", "mark"])[0]  # of the others no text is shuffled
+    row = ["mark", "number", "unnumbered"]
+    texts, rows = (x.select("*", F.coalesce("doc_id", F.lit(0)).alias("number"), F.col("doc_id").isNull().alias("unnumbered")).drop("doc_id") for x in (texts, rows))
+    texts = texts.join(rows, row).dropDuplicates([*row, "id"]).select("id", "text")
+    items = common.stored(_sets(texts, k), "sets")
     units = common.hot_join(asked, sizes, "key").select("key", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), (F.col("blocks") - 1).alias("last"))
     return linkage.block_links(common.stored(units, "units"), _similar(least), items)
 
@@ -281,11 +284,12 @@ def deduplicated(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     found = common.stored(near_classes(docs, k, least).where("doc_id is not null"), "near")
     row = [F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))]
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row[0].alias("k1"), row[1].alias("k2"))
-    on = lambda other: (keyed["k1"] == other["doc_id"]) & (keyed["k2"] == other["mark"])
-    gone = found.where("doc_id <> component_id").select("doc_id", "mark").distinct()
-    kept = keyed.join(gone, on(gone), "left_anti")
-    twice = found.where("doc_id = component_id").groupBy("doc_id", "mark").count().where("count > 1").drop("count")
-    if not twice.isEmpty():
-        one = keyed.join(twice, on(twice), "left_semi").dropDuplicates(["k1", "k2"])
-        kept = kept.join(twice, on(twice), "left_anti").unionByName(one)
-    return kept.select("row.*")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("k1"), F.col("mark").alias("k2")).distinct()
+    twice = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("k1"), F.col("mark").alias("k2")).count().where("count > 1").drop("count")
+    again = not twice.isEmpty()
+    met, rest = common.sieved(keyed, gone.unionByName(twice) if again else gone, ["k1", "k2"])  # most rows stay and are not shuffled
+    kept = met.join(gone, ["k1", "k2"], "left_anti")
+    if again:
+        one = met.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        kept = kept.join(twice, ["k1", "k2"], "left_anti").unionByName(one)
+    return rest.unionByName(kept).select("row.*")
