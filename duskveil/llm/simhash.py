@@ -5,9 +5,10 @@ is a table; both sides enter it under every value of their Hamming ball of radiu
 less meet. Whole distances are then verified. A pair of random fingerprints meets by chance with probability 2 x 529 / 2^32,
 so n fingerprints have about n^2 / 8 million such pairs: 25 to a fingerprint at a hundred million, 250 at a billion.
 
-``near_classes`` serves similarities that sign bits cannot separate: at a Jaccard similarity of 0.8 fingerprints differ
-in 9 bits at the median and up to 18. There the segments are tuples of min-wise hashes of the shingle set (equal with
-the similarity's power), found in the same tables and verified on 128 min-wise values.
+``near_classes`` takes the pairs that these tables find, and goes on to similarities that sign bits cannot separate: at a
+Jaccard similarity of 0.8 fingerprints differ in 9 bits at the median and up to 18. Such pairs meet in further tables whose
+segments are tuples of min-wise hashes of the shingle set (equal with the similarity's power), sifted on 128 min-wise
+values. All pairs of both are decided on their whole shingle sets.
 
 Null text is the empty text. A text of fewer words than a shingle is one shingle; one of no words has fingerprint zero.
 Repeated rows each get their row. An empty table gives an empty result.
@@ -136,16 +137,19 @@ def minwise(hashed: np.ndarray, probes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, mark, id, keys array<bigint>, payload binary): id is a hash of the shingle set, so equal sets are one
-    class; mark is a hash of the text; payload holds the set's size and its min-wise values."""
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("id", pa.int64()), ("keys", pa.list_(pa.int64())), ("payload", pa.binary())])
+    """(doc_id, mark, fp bigint, id, keys array<bigint>, payload binary): fp is the text's fingerprint; id is a hash of the
+    shingle set, so equal sets are one class; mark is a hash of the text; payload holds the set's size and its min-wise
+    values."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.int64()), ("id", pa.int64()), ("keys", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probes()
         for b in batches:
-            ids, keys, loads = [], [], []
+            fps, ids, keys, loads = [], [], [], []
             for t in common.text_bytes(b.column(1)):
-                got = np.unique(shingle_hashes(t, k))
+                hashed = shingle_hashes(t, k)
+                fps.append(fingerprint(hashed))
+                got = np.unique(hashed)
                 ids.append(xxhash.xxh64_intdigest(got.tobytes()))
                 if not len(got):
                     keys.append([])
@@ -155,10 +159,10 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                 bands = sig[: ROWS * SEGMENTS].reshape(SEGMENTS, ROWS)
                 keys.append(np.array([xxhash.xxh64_intdigest(bytes([s]) + bands[s].tobytes()) for s in range(SEGMENTS)], np.uint64).view(np.int64).tolist())
                 loads.append(_packed(len(got), sig))
-            yield common.batch(schema, b.column(0), b.column(2), common.signed(np.array(ids, np.uint64)), keys, loads)
+            yield common.batch(schema, b.column(0), b.column(2), common.signed(np.array(fps, np.uint64)), common.signed(np.array(ids, np.uint64)), keys, loads)
 
     common.prepare(docs.sparkSession)
-    return _marked(docs).mapInArrow(work, "doc_id long, mark long, id long, keys array<long>, payload binary")
+    return _marked(docs).mapInArrow(work, "doc_id long, mark long, fp long, id long, keys array<long>, payload binary")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -255,19 +259,35 @@ def exact_links(docs: DataFrame, classes: DataFrame, doubts: DataFrame, k: int,
     return linkage.block_links(common.stored(units, "units"), _similar(least), items)
 
 
+def sign_links(classes: DataFrame, most: int = 4) -> DataFrame:
+    """Links (a, b) between classes(id, fp), a stored table, that connect all whose fingerprints differ in ``most`` bits or
+    fewer; classes of one fingerprint are linked to the smallest of them."""
+    led = common.stored(classes.groupBy("fp").agg(F.min("id").alias("lead"), F.count("*").alias("count")), "led")
+    same = common.hot_join(classes.select("id", "fp"), led.select("fp", "lead"), "fp", counts=led.select("fp", "count"))
+    same = same.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    links = common.stored(hamming_links(led.select("fp"), most), "links")
+    for end in ("a", "b"):
+        links = common.hot_join(links, led.select(F.col("fp").alias(end), F.col("lead").alias(f"{end}_id")), end)
+        links = common.stored(links, "links") if end == "a" else links
+    return links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(same)
+
+
 def near_classes(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, mark, component_id): classes of texts whose sets of k-word shingles have a similarity of ``least`` or more.
 
-    The similarity is that of the whole sets; min-wise values only find the pairs to compare. Texts without words are one
-    class with equal sets, linked to nothing else. mark is xxhash64 of the text, null as empty.
+    The similarity is that of the whole sets; fingerprints at 4 bits or fewer and, for pairs further apart, min-wise values
+    only find the pairs to compare. Texts without words are one class with equal sets, linked to nothing else. mark is
+    xxhash64 of the text, null as empty.
     """
     made = common.stored(signatures(docs, k), "signatures")
-    one = F.min(F.struct("doc_id", "mark"))  # a row of the class, whose text gives the set
+    one = F.min(F.struct("doc_id", "mark", "fp"))  # a row of the class, whose text gives the set and the fingerprint
     classes = made.groupBy("id").agg(F.min("doc_id").alias("low"), one.alias("one"), F.first("keys").alias("keys"), F.first("payload").alias("payload"))
     size = F.conv(F.hex(F.substring("payload", 1, 4)), 16, 10).cast("long")
     classes = common.stored(classes.withColumn("size", size), "classes")
+    signs = sign_links(common.stored(classes.where("size > 0").select("id", F.col("one.fp").alias("fp")), "signs"))
     table = classes.select(F.explode("keys").alias("key"), "id")
-    doubts = common.stored(linkage.bucket_links(table, _doubtful(least), items=classes.select("id", "payload")), "doubts")
+    far = linkage.bucket_links(table, _doubtful(least), items=classes.select("id", "payload"))
+    doubts = common.stored(signs.unionByName(far), "doubts")
     rows = classes.select("id", F.col("one.doc_id").alias("low"), F.col("one.mark").alias("mark"), "size")
     roots = linkage.components(exact_links(docs, rows, doubts, k, least))
     named = common.stored(classes.select("id", "low").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
