@@ -176,7 +176,7 @@ def shared_chunks(docs: DataFrame, most: int = TABLE) -> DataFrame:
             yield common.batch(schema, found[:, 0], found[:, 1], n)
 
     common.prepare(docs.sparkSession)
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(work, "chunk long, more long, times long")
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(common.tidy(work), "chunk long, more long, times long")
     counted = counted.groupBy("chunk", "more").agg(F.sum("times").alias("times")).where("times > 1")
     return common.greatest(common.stored(counted, "chunks"), "times", "chunk", most) if most else counted.limit(0)
 
@@ -257,13 +257,13 @@ def encoded(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:
             yield common.batch(out, *([x] for x in ended()))
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = common.stored(texts.mapInArrow(split, _DOC), "pieces")  # only of documents that hold chunks of the table
-    direct = texts.mapInArrow(alone, "doc_id long, ids binary")
+    pieces = common.stored(texts.mapInArrow(common.tidy(split), _DOC), "pieces")  # only of documents that hold chunks of the table
+    direct = texts.mapInArrow(common.tidy(alone), "doc_id long, ids binary")
     texts = pieces.where("text is not null").select("chunk", "text").dropDuplicates(["chunk"])
-    ids = common.stored(texts.mapInArrow(once, "chunk long, ids binary"), "chunk_ids")
+    ids = common.stored(texts.mapInArrow(common.tidy(once), "chunk long, ids binary"), "chunk_ids")
     shared = common.hot_join(pieces.where("chunk is not null").select("key", "doc_id", "seq", "chunk"), ids, "chunk").select("key", "doc_id", "seq", "ids")
     own = pieces.where("chunk is null").select("key", "doc_id", "seq", "ids")
-    made = shared.unionByName(own).repartition("key").sortWithinPartitions("key", "doc_id", "seq").mapInArrow(assemble, "doc_id long, ids binary")
+    made = shared.unionByName(own).repartition("key").sortWithinPartitions("key", "doc_id", "seq").mapInArrow(common.tidy(assemble), "doc_id long, ids binary")
     return direct.unionByName(made)
 
 
@@ -278,7 +278,7 @@ def digests(ids: DataFrame, path: str) -> DataFrame:
             text = [enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in raw]
             yield common.batch(schema, b.column(0), [len(x) // 4 for x in raw], [hashlib.sha256(x).hexdigest() for x in raw], [hashlib.sha256(t).hexdigest() for t in text])
 
-    return ids.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return ids.mapInArrow(common.tidy(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:
@@ -290,4 +290,4 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield common.batch(schema, b.column(0), [enc.decode(np.frombuffer(x, "<u4").tolist()) for x in b.column(1).to_pylist()])
 
-    return ids.mapInArrow(work, "doc_id long, text string")
+    return ids.mapInArrow(common.tidy(work), "doc_id long, text string")

@@ -15,6 +15,7 @@ results. Very long texts are read whole, a stretch at a time.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +50,19 @@ def counts_of(text: bytes) -> np.ndarray:
     return out
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """The buckets that have counts, and these, compressed: some 4,000 of them meet in the driver."""
+    at = np.flatnonzero(counts)
+    return zlib.compress(at.astype("<u2").tobytes() + counts[at].astype("<f4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def _unpacked(packed: bytes) -> tuple[bytes, bytes]:
+    """(buckets as "<u2", counts as "<f4")"""
+    raw = zlib.decompress(packed)
+    cut = len(raw) // 3
+    return raw[:cut], np.frombuffer(raw, np.uint8, offset=cut).reshape(4, -1).T.tobytes()
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -83,20 +97,15 @@ def _sample(docs: DataFrame, lang: Column, most: int) -> DataFrame:
 def train(docs: DataFrame, lang_col: str = "lang", most: int = SAMPLE, epochs: int = 12, seed: int = 1) -> Model:
     """Learns from text and non-null languages of docs (doc_id only chooses the sample)."""
     common.prepare(docs.sparkSession)
-    schema = pa.schema([("lang", pa.string()), ("at", pa.binary()), ("count", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, n = [], []
-            for t in common.text_bytes(b.column(1)):
-                c = counts_of(t)
-                i = np.flatnonzero(c)
-                at.append(i.astype("<u2").tobytes())
-                n.append(c[i].astype("<f4").tobytes())
-            yield common.batch(schema, b.column(0), at, n)
-
-    chosen = _sample(docs, F.col(lang_col), most).mapInArrow(work, "lang string, at binary, count binary")
-    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in chosen.collect())
+            yield common.batch(schema, b.column(0), [_packed(counts_of(t)) for t in common.text_bytes(b.column(1))])
+
+    chosen = _sample(docs, F.col(lang_col), most).mapInArrow(common.tidy(work), "lang string, counts binary").toArrow()
+    rows = sorted((lang, *_unpacked(c)) for lang, c in zip(*(column.to_pylist() for column in chosen.columns)))
+    del chosen
     langs = sorted({r[0] for r in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
@@ -104,7 +113,10 @@ def train(docs: DataFrame, lang_col: str = "lang", most: int = SAMPLE, epochs: i
     rows = [rows[i] for i in rng.permutation(len(rows))]
     y = np.array([langs.index(r[0]) for r in rows])
     at = [np.frombuffer(r[1], "<u2") for r in rows]
-    val = [np.frombuffer(r[2], "<f4") / np.frombuffer(r[2], "<f4").sum() for r in rows]
+    val = []
+    for n, r in enumerate(rows):
+        val.append(np.frombuffer(r[2], "<f4") / np.frombuffer(r[2], "<f4").sum())
+        rows[n] = r[:1]  # the counts are no longer needed
     unseen = max(1, len(rows) // 5) if len(rows) > 4 else 0
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     out = rng.normal(0, 0.1, (WIDTH, len(langs))).astype(np.float32)
@@ -121,13 +133,18 @@ def train(docs: DataFrame, lang_col: str = "lang", most: int = SAMPLE, epochs: i
             part = order[s : s + 64]
             cut = np.cumsum([0, *[len(at[i]) for i in part]])
             i, v = np.concatenate([at[k] for k in part]).astype(np.int64), np.concatenate([val[k] for k in part])[:, None]
-            mean = np.add.reduceat(emb[i] * v, cut[:-1], axis=0)
+            back = emb[i]  # one buffer of this size at a time: the driver has little memory
+            back *= v
+            mean = np.add.reduceat(back, cut[:-1], axis=0)
+            del back
             g = softmax(mean @ out + bias)
             g[np.arange(len(part)), y[part]] -= 1
-            back = np.repeat(g @ out.T, np.diff(cut), axis=0) * v
+            back = np.repeat(g @ out.T, np.diff(cut), axis=0)
+            back *= v
             grad_emb = np.zeros_like(emb)
             for w in range(WIDTH):
                 grad_emb[:, w] = np.bincount(i, back[:, w], BUCKETS)
+            del back
             for x, acc, gr in zip((emb, out, bias), sums, (grad_emb, mean.T @ g, g.sum(0))):
                 acc += gr * gr
                 x -= 0.3 * gr / np.sqrt(acc)
@@ -137,6 +154,8 @@ def train(docs: DataFrame, lang_col: str = "lang", most: int = SAMPLE, epochs: i
     truth = y[list(held)]
     scale = min(np.geomspace(0.2, 5, 40), key=lambda t: -np.log(softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean())
     floor = float(np.quantile(softmax(z / scale).max(1), REJECT))
+    del rows, at, val
+    common.give_back()
     return Model(langs, weights.astype(np.float32), bias, float(scale), min(floor, 0.5))
 
 
@@ -151,7 +170,7 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFram
             made = [own.predict(t) for t in common.text_bytes(b.column(1))]
             yield common.batch(schema, b.column(0), [m[0] for m in made], [m[1] for m in made])
 
-    return docs.select(F.col(id_col).cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long"), F.col("text").cast("string")).mapInArrow(common.tidy(work), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -165,4 +184,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             made = [own.predict(t) for t in common.text_bytes(b.column(place))]
             yield b.filter(pa.array([m[0] != "und" and m[1] >= own.floor for m in made], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(common.tidy(work), docs.schema)

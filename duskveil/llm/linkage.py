@@ -67,7 +67,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def blocks_of(table: DataFrame, block: int) -> DataFrame:
     """(key, id, block, last): the rows of table(key, id) whose key occurs again, each key's cut into blocks 0 to last."""
     spark = common.prepare(table.sparkSession)
-    made = table.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_runs, "key long, id long, place long, run long, part int")
+    made = table.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(common.tidy(_runs), "key long, id long, place long, run long, part int")
     made = common.stored(made, "runs")
     edges = sorted((r["key"], r["part"], r["count"]) for r in made.where("run < 0").groupBy("key", "part").count().collect())  # two rows a partition
     total: dict[int, int] = {}
@@ -208,7 +208,7 @@ def unit_links(units: DataFrame, near_of: Callable, items: DataFrame | None = No
             links = flush()
             yield common.batch(_LINK, [x[0] for x in links], [x[1] for x in links])
 
-    links = units.mapInArrow(work, "a long, b long")
+    links = units.mapInArrow(common.tidy(work), "a long, b long")
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 

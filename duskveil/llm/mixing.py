@@ -87,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, epochs: int =
         for b in batches:
             yield common.batch(schema, b.column(0), [features(t)[0].astype("<i4").tobytes() for t in common.text_bytes(b.column(1))])
 
-    rows = sorted((r[0], bytes(r[1])) for r in chosen.mapInArrow(work, "c int, at binary").collect())
+    rows = sorted((r[0], bytes(r[1])) for r in chosen.mapInArrow(common.tidy(work), "c int, at binary").collect())
     rng = np.random.default_rng(seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
     y = np.array([r[0] for r in rows], np.int64)
@@ -130,7 +130,7 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
             yield common.batch(schema, b.column(0), [m[1] for m in made], p[:, 0], p[:, 1], p[:, 2], draws(b.column(0), texts))
 
     made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return made.mapInArrow(work, "doc_id long, n_tokens long, p_low double, p_good double, p_toxic double, draw double")
+    return made.mapInArrow(common.tidy(work), "doc_id long, n_tokens long, p_low double, p_good double, p_toxic double, draw double")
 
 
 @dataclass
@@ -186,10 +186,10 @@ def fit(members: DataFrame, targets: dict[str, float] | None = None, total: floa
                 yield common.batch(state_schema, *b.columns[:4], *replayed(b)[2])
 
         if len(rates.history) - kept == KEPT:
-            state = common.stored(state.mapInArrow(keep, "n_tokens long, p_low double, p_good double, p_toxic double, r double, y double"), "rates")
+            state = common.stored(state.mapInArrow(common.tidy(keep), "n_tokens long, p_low double, p_good double, p_toxic double, r double, y double"), "rates")
             kept = len(rates.history)
             continue
-        got = state.mapInArrow(work, "p_low double, p_good double, p_toxic double").agg(*[F.sum(c) for c in _P]).first()
+        got = state.mapInArrow(common.tidy(work), "p_low double, p_good double, p_toxic double").agg(*[F.sum(c) for c in _P]).first()
         rates.history = np.vstack([rates.history, np.array(got, float) - want])
         if len(rates.history) > 1 and np.abs(rates.history[-1] - rates.history[-2]).max() < STILL:
             return rates
@@ -218,7 +218,7 @@ def with_rates(members: DataFrame, rates: Rates) -> DataFrame:
             r = rates.of(p)
             yield common.batch(schema, *b.columns[:5], r, copies_of(r, b.column(5).to_numpy(zero_copy_only=False)))
 
-    return members.mapInArrow(work, "doc_id long, n_tokens long, p_low double, p_good double, p_toxic double, rate double, copies long")
+    return members.mapInArrow(common.tidy(work), "doc_id long, n_tokens long, p_low double, p_good double, p_toxic double, rate double, copies long")
 
 
 def mixed(docs: DataFrame, model: Classifier, rates: Rates) -> DataFrame:
@@ -237,4 +237,4 @@ def mixed(docs: DataFrame, model: Classifier, rates: Rates) -> DataFrame:
             for s in range(0, len(k), 64):
                 yield b.take(pa.array(np.repeat(np.arange(s, min(s + 64, len(k))), k[s : s + 64])))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(common.tidy(work), docs.schema)

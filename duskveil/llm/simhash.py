@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col:
             yield common.batch(schema, b.column(0), common.signed(made))
 
     common.prepare(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(common.tidy(work), "doc_id long, fp long")
 
 
 def ball_keys(fp: Column) -> Column:
@@ -162,7 +162,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
             yield common.batch(schema, b.column(0), b.column(2), common.signed(np.array(fps, np.uint64)), common.signed(np.array(ids, np.uint64)), keys, loads)
 
     common.prepare(docs.sparkSession)
-    return _marked(docs).mapInArrow(work, "doc_id long, mark long, fp long, id long, keys array<long>, payload binary")
+    return _marked(docs).mapInArrow(common.tidy(work), "doc_id long, mark long, fp long, id long, keys array<long>, payload binary")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             got = [np.unique(shingle_hashes(t, k)) for t in common.text_bytes(b.column(1))]
             yield common.batch(schema, b.column(0), [_packed(len(g), minwise(g, probes)) + g.astype("<u8").tobytes() for g in got])
 
-    return docs.select("id", "text").mapInArrow(work, "id long, payload binary")
+    return docs.select("id", "text").mapInArrow(common.tidy(work), "id long, payload binary")
 
 
 def exact_links(docs: DataFrame, classes: DataFrame, doubts: DataFrame, k: int, least: float) -> DataFrame:

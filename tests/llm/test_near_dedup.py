@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from duskveil.llm import common, linkage, simhash
+from duskveil.llm import common, langid, linkage, simhash
 
 
 @pytest.fixture
@@ -108,3 +109,13 @@ def test_sieve_loses_no_key(spark, monkeypatch):
         assert met.where("bits % 100 < 3").count() == 90 and rest.where("bits % 100 < 3").count() == 0
     met, rest = common.sieved(rows, keys.limit(0), ["a", "b"])
     assert met.isEmpty() and rest.count() == 3000
+
+
+def test_training_sample_travels_small():
+    """The counts of the driver's sample are compressed on their way and the model learns from the same numbers."""
+    for text in (b"", b"a", b"the quick brown fox " * 4000, "日本語 naïve".encode()):
+        counts = langid.counts_of(text)
+        at, n = langid._unpacked(langid._packed(counts))
+        assert (np.frombuffer(at, "<u2") == np.flatnonzero(counts)).all() and (np.frombuffer(n, "<f4") == counts[counts > 0]).all()
+    prose = " ".join(f"word{i % 997} and thing{i % 13}" for i in range(400)).encode()
+    assert 2 * len(langid._packed(langid.counts_of(prose))) < 6 * np.count_nonzero(langid.counts_of(prose))
