@@ -88,7 +88,8 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def give_back() -> None:
-    """Returns to the system what this Python process has freed; glibc keeps it otherwise."""
+    """Returns to the system what this Python process has freed; glibc and Arrow's allocator keep it otherwise."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
     if trim:
         trim(0)
@@ -111,7 +112,7 @@ def hashes(items: Iterable[bytes], n: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> pa.Array:
     """An unsigned 64-bit array as Spark's bigint."""
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+    return column(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,8 +125,69 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A record batch of this schema from arrays or lists."""
-    made = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)]
-    return pa.RecordBatch.from_arrays(made, schema=schema)
+    return pa.RecordBatch.from_arrays([column(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_PLAIN = {pa.int32(): np.int32, pa.int64(): np.int64, pa.float32(): np.float32, pa.float64(): np.float64}
+
+
+def column(values, kind: pa.DataType) -> pa.Array:
+    """What pa.array(values, kind) makes, from buffers where these are plain: pa.array loads pandas, some 25 MB in every
+    Python worker."""
+    if isinstance(values, pa.Array):
+        return values
+    made = None
+    if kind in _PLAIN or pa.types.is_boolean(kind):
+        made = _numbers(values, kind)
+    elif pa.types.is_list(kind) and not any(v is None for v in values):
+        ends = np.cumsum([0, *map(len, values)])
+        made = pa.ListArray.from_arrays(column(ends, pa.int32()), column([x for v in values for x in v], kind.value_type))
+    elif pa.types.is_binary(kind) or pa.types.is_string(kind):
+        made = _strings(values, kind)
+    return pa.array(values, kind) if made is None else made
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    """column.to_numpy, which loads pandas too; numbers without nulls are read from their buffer."""
+    kind = _PLAIN.get(column.type)
+    if kind is None or column.null_count:
+        return column.to_numpy(zero_copy_only=False)
+    return np.frombuffer(column.buffers()[1], kind, len(column), column.offset * np.dtype(kind).itemsize) if len(column) else np.empty(0, kind)
+
+
+def _bits(x: np.ndarray) -> pa.Buffer:
+    return pa.py_buffer(np.packbits(x, bitorder="little"))
+
+
+def _filled(values, blank) -> tuple[list, pa.Buffer | None]:
+    """values with blank in place of None, and the bitmap of the others where there is a None."""
+    known = [v is not None for v in values]
+    return (values, None) if all(known) else ([v if v is not None else blank for v in values], _bits(np.array(known)))
+
+
+def _numbers(values, kind: pa.DataType) -> pa.Array | None:
+    valid = None
+    if not isinstance(values, np.ndarray):
+        values, valid = _filled(values, 0)
+        values = np.array(values, None if len(values) else bool if pa.types.is_boolean(kind) else np.int64)
+    if pa.types.is_boolean(kind):
+        return pa.Array.from_buffers(kind, len(values), [valid, _bits(values)]) if values.dtype == bool else None
+    fit = np.ascontiguousarray(values, _PLAIN[kind]) if values.ndim == 1 and values.dtype.kind in "if" else None
+    if fit is None or fit.dtype != values.dtype and len(fit) and not np.array_equal(fit, values):  # pa.array tells what is wrong
+        return None
+    return pa.Array.from_buffers(kind, len(fit), [valid, pa.py_buffer(fit)])
+
+
+def _strings(values, kind: pa.DataType) -> pa.Array | None:
+    of = bytes if pa.types.is_binary(kind) else str
+    raw, valid = _filled(values, of())
+    if not all(type(v) is of for v in raw):
+        return None
+    raw = raw if of is bytes else [v.encode() for v in raw]
+    ends = np.cumsum([0, *map(len, raw)])
+    if ends[-1] > np.iinfo(np.int32).max:
+        return None
+    return pa.Array.from_buffers(kind, len(raw), [valid, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(b"".join(raw))])
 
 
 def greatest(df: DataFrame, value: str, key: str, most: int) -> DataFrame:

@@ -182,6 +182,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         own = sent.value
         for b in batches:
             made = [own.predict(t) for t in common.text_bytes(b.column(place))]
-            yield b.filter(pa.array([m[0] != "und" and m[1] >= own.floor for m in made], pa.bool_()))
+            yield b.filter(common.column([m[0] != "und" and m[1] >= own.floor for m in made], pa.bool_()))
 
     return docs.mapInArrow(common.tidy(work), docs.schema)

@@ -43,7 +43,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        key, item = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        key, item = (common.numbers(b.column(i)) for i in (0, 1))
         if now is not None and key[0] != now:
             yield from closed(first)
             held, first = [], False
@@ -191,8 +191,8 @@ def unit_links(units: DataFrame, near_of: Callable, items: DataFrame | None = No
         for b in batches:
             if not b.num_rows:
                 continue
-            k, i, j = (b.column(n).to_numpy(zero_copy_only=False) for n in ("key", "i", "j"))
-            ids = b.column("id").to_numpy(zero_copy_only=False)
+            k, i, j = (common.numbers(b.column(n)) for n in ("key", "i", "j"))
+            ids = common.numbers(b.column("id"))
             load = b.column("payload") if loaded else None
             cuts = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             links: list[tuple[int, int]] = []

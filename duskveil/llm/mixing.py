@@ -172,7 +172,7 @@ def fit(members: DataFrame, targets: dict[str, float] | None = None, total: floa
         own = Rates(rates.history, rates.step, pull)
 
         def replayed(b: pa.RecordBatch, own: Rates = own, kept: int = kept) -> tuple:
-            n, *p, r, y = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            n, *p, r, y = (common.numbers(b.column(i)) for i in range(6))
             p = np.stack(p, 1)
             return n, p, own.replay(p, kept, (r, y))
 
@@ -198,8 +198,9 @@ def fit(members: DataFrame, targets: dict[str, float] | None = None, total: floa
 
 def draws(doc_id: pa.Array, texts: list[bytes]) -> np.ndarray:
     """A number in [0, 1) from doc_id, or from the text where that is null."""
-    of_text = np.fromiter((xxhash.xxh64_intdigest(t) if i is None else 0 for i, t in zip(doc_id.to_pylist(), texts)), np.uint64, len(texts))
-    seed = doc_id.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) ^ of_text
+    ids = doc_id.cast(pa.int64()).to_pylist()
+    of_text = np.fromiter((xxhash.xxh64_intdigest(t) if i is None else 0 for i, t in zip(ids, texts)), np.uint64, len(texts))
+    seed = np.fromiter((i or 0 for i in ids), np.int64, len(ids)).view(np.uint64) ^ of_text
     return common.mix(seed + np.uint64(0x9E3779B97F4A7C15)) / 2.0**64
 
 
@@ -214,9 +215,9 @@ def with_rates(members: DataFrame, rates: Rates) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)], 1).reshape(-1, 3)
+            p = np.stack([common.numbers(b.column(i)) for i in (2, 3, 4)], 1).reshape(-1, 3)
             r = rates.of(p)
-            yield common.batch(schema, *b.columns[:5], r, copies_of(r, b.column(5).to_numpy(zero_copy_only=False)))
+            yield common.batch(schema, *b.columns[:5], r, copies_of(r, common.numbers(b.column(5))))
 
     return members.mapInArrow(common.tidy(work), "doc_id long, n_tokens long, p_low double, p_good double, p_toxic double, rate double, copies long")
 
@@ -235,6 +236,6 @@ def mixed(docs: DataFrame, model: Classifier, rates: Rates) -> DataFrame:
             texts = list(common.text_bytes(b.column(text)))
             k = copies_of(fitted.of(np.array([own.posterior(t)[0] for t in texts], float)), draws(b.column(ident), texts))
             for s in range(0, len(k), 64):
-                yield b.take(pa.array(np.repeat(np.arange(s, min(s + 64, len(k))), k[s : s + 64])))
+                yield b.take(common.column(np.repeat(np.arange(s, min(s + 64, len(k))), k[s : s + 64]), pa.int64()))
 
     return docs.mapInArrow(common.tidy(work), docs.schema)
