@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Links that are followed in the driver: two numbers each, a quarter of a MB. Larger graphs are shrunk to so many first.
+FEW = 1 << 14
+
 _MEMBER = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("run", pa.int64()), ("part", pa.int32())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -212,22 +215,41 @@ def unit_links(units: DataFrame, near_of: Callable, items: DataFrame | None = No
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
+def _followed(links: pa.Table) -> pa.Table:
+    """(id, root) of links(u, v), by union to the smaller root; roots themselves have no row."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (above := up.get(x, x)) != x:
+            up[x] = up.get(above, above)
+            x = above
+        return x
+
+    for a, b in zip(*(column.to_pylist() for column in links.columns)):
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return pa.table({"id": pa.array(list(up), pa.int64()), "root": pa.array([root(x) for x in list(up)], pa.int64())})
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable, for every id that has a link, by alternating large-star and small-star.
 
     A node's links are never gathered: each step is a minimum per node (combined before the shuffle) joined back, the
-    centres of large stars by broadcast (``common.hot_join``).
+    centres of large stars by broadcast (``common.hot_join``). Steps shrink the graph; once ``FEW`` links are left these
+    few are followed in the driver, whatever the graph's size was.
     """
     edges = common.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     state, n = None, edges.count()
     while True:
-        few = 2 * n <= common.HOT_ROWS  # no key can be hot
-        join = (lambda many, one, counts: many.join(one, "u")) if few else (lambda many, one, counts: common.hot_join(many, one, "u", counts=counts))
+        if n <= FEW:
+            return common.stored(edges.sparkSession.createDataFrame(_followed(edges.select("u", "v").toArrow())), "roots")
+        join = lambda many, one, counts: common.hot_join(many, one, "u", counts=counts)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count"))
         large = join(both, low.select("u", F.least("u", "m").alias("m")), low.select("u", "count"))
         large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = large if few else common.stored(large, "large")
+        large = common.stored(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count"))
         small = join(large, low.select("u", "m"), low.select("u", "count"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
