@@ -47,7 +47,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document's whole text, as digests. Null text has no ids; repeated rows each get their row."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.encoded(docs, path), path)
+    return bpe.encoded_digests(docs, path)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("mixture", mixture), ("tokens", tokens)]

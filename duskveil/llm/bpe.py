@@ -24,7 +24,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -181,8 +181,21 @@ def shared_chunks(docs: DataFrame, most: int = TABLE) -> DataFrame:
     return common.greatest(common.stored(counted, "chunks"), "times", "chunk", most) if most else counted.limit(0)
 
 
+_IDS, _DIGESTS = "doc_id long, ids binary", "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def encoded(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:
     """(doc_id, ids binary): the ids of every whole text as little-endian unsigned 32-bit integers."""
+    return _encoded(docs, path, most, lambda batches: batches, _IDS)
+
+
+def encoded_digests(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:
+    """``digests`` of ``encoded``, made in the Python worker that made the ids: a task then holds one worker, not two."""
+    return _encoded(docs, path, most, _digested(path), _DIGESTS)
+
+
+def _encoded(docs: DataFrame, path: str, most: int, then: Callable, kind: str) -> DataFrame:
+    """What ``then`` makes of the batches (doc_id, ids); kind is its schema."""
     spark = common.prepare(docs.sparkSession)
     found = shared_chunks(docs, most).select("chunk", "more").toArrow()  # at most ``most`` hashes
     found = np.stack([found.column(c).to_numpy() for c in ("chunk", "more")], 1)
@@ -227,7 +240,7 @@ def encoded(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:
                     else:
                         rows.append((key, doc_id, len(ends), s, None, None, encode(enc, piece).astype(small).tobytes()))
                     s = e
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_DOC_ARROW)], schema=_DOC_ARROW)
+            yield common.batch(_DOC_ARROW, *([r[i] for r in rows] for i in range(len(_DOC_ARROW))))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
@@ -258,17 +271,16 @@ def encoded(docs: DataFrame, path: str, most: int = TABLE) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pieces = common.stored(texts.mapInArrow(common.tidy(split), _DOC), "pieces")  # only of documents that hold chunks of the table
-    direct = texts.mapInArrow(common.tidy(alone), "doc_id long, ids binary")
+    direct = texts.mapInArrow(common.tidy(lambda batches: then(alone(batches))), kind)
     texts = pieces.where("text is not null").select("chunk", "text").dropDuplicates(["chunk"])
     ids = common.stored(texts.mapInArrow(common.tidy(once), "chunk long, ids binary"), "chunk_ids")
     shared = common.hot_join(pieces.where("chunk is not null").select("key", "doc_id", "seq", "chunk"), ids, "chunk").select("key", "doc_id", "seq", "ids")
     own = pieces.where("chunk is null").select("key", "doc_id", "seq", "ids")
-    made = shared.unionByName(own).repartition("key").sortWithinPartitions("key", "doc_id", "seq").mapInArrow(common.tidy(assemble), "doc_id long, ids binary")
+    made = shared.unionByName(own).repartition("key").sortWithinPartitions("key", "doc_id", "seq").mapInArrow(common.tidy(lambda batches: then(assemble(batches))), kind)
     return direct.unionByName(made)
 
 
-def digests(ids: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded texts; decoding is part of it."""
+def _digested(path: str) -> Callable:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +290,12 @@ def digests(ids: DataFrame, path: str) -> DataFrame:
             text = [enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in raw]
             yield common.batch(schema, b.column(0), [len(x) // 4 for x in raw], [hashlib.sha256(x).hexdigest() for x in raw], [hashlib.sha256(t).hexdigest() for t in text])
 
-    return ids.mapInArrow(common.tidy(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return work
+
+
+def digests(ids: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded texts; decoding is part of it."""
+    return ids.mapInArrow(common.tidy(_digested(path)), _DIGESTS)
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:

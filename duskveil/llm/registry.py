@@ -37,7 +37,7 @@ def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the decoded text, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.encoded(_read(spark, sf_dir, "documents"), path), path)
+    return bpe.encoded_digests(_read(spark, sf_dir, "documents"), path)
 
 
 def ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
